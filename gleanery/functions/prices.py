@@ -19,7 +19,7 @@ def price_value(price: Column) -> Column:
 
 def clean_price(price: Column) -> Column:
     """``€`` and two decimals; null stays null and so does a price that cannot be read."""
-    return F.concat(F.lit(fixed.PRICE_SIGN), F.format_number(price_value(price), "0.00"))
+    return F.concat(F.lit(fixed.PRICE_SIGN), F.call_function("format_number", price_value(price), F.lit("0.00")))
 
 
 def price_rejected(price: Column) -> Column:

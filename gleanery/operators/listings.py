@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_EMPTY_DOCUMENTS = ("{}", "[]", "null", "0", "0.0", "-0", '""', "false")
-
+from gleanery.functions.jsontext import parse_json_text, with_json
+from gleanery.functions.naming import let
 
 def is_kind(value: Column, kind: str) -> Column:
     """False, not null, for a missing value."""
@@ -18,21 +18,30 @@ def is_kind(value: Column, kind: str) -> Column:
 
 
 def classify_documents(documents: DataFrame, text: str = "text") -> DataFrame:
-    """Parse each document and say what it is good for: adds ``doc`` and ``reason``.
+    """Parse each document and say what it is good for: adds ``listings`` and ``reason``.
 
-    ``ok`` documents go on; every other reason is a reject, kept in the table.
+    ``ok`` documents go on with their list of records; every other reason is a
+    reject, kept in the table. Only rejects pay for finding out why.
     """
-    parsed = documents.withColumn("doc", F.try_parse_json(text))
-    listings = F.try_variant_get("doc", "$.listings", "variant")
-    reason = (
-        F.when(F.col("doc").isNull(), "undecodable")
-        .when(F.to_json("doc").isin(*_EMPTY_DOCUMENTS), "empty")
-        .when(~is_kind(F.col("doc"), "OBJECT"), "not an object")
-        .when(listings.isNull(), "no listings")
-        .when(~is_kind(listings, "ARRAY"), "listings not a list")
-        .otherwise("ok")
-    )
-    return parsed.withColumn("reason", reason)
+
+    def judged(doc: Column) -> Column:
+        inside = F.try_variant_get(doc, "$.listings", "variant")
+        why = (
+            F.when(doc.isNull(), "undecodable")
+            .when(F.to_json(doc).isin("{}", "[]", "null", "0", "0.0", "-0", '""', "false"), "empty")
+            .when(~is_kind(doc, "OBJECT"), "not an object")
+            .when(inside.isNull(), "no listings")
+            .otherwise("listings not a list")
+        )
+        listings = F.try_variant_get(doc, "$.listings", "array<variant>")
+        return let(
+            listings,
+            lambda found: F.struct(
+                found.alias("listings"), F.when(found.isNotNull(), "ok").otherwise(why).alias("reason")
+            ),
+        )
+
+    return with_json(documents, text, "_doc").select("*", F.inline(F.array(judged(F.col("_doc"))))).drop("_doc")
 
 
 def good_documents(classified: DataFrame) -> DataFrame:
@@ -45,8 +54,7 @@ def rejected_documents(classified: DataFrame, key: str = "file") -> DataFrame:
 
 def flatten_listings(classified: DataFrame, key: str = "file") -> DataFrame:
     """One row per element of ``listings``: ``key, pos, record``."""
-    elements = F.try_variant_get("doc", "$.listings", "array<variant>")
-    return good_documents(classified).select(key, F.posexplode(elements).alias("pos", "record"))
+    return good_documents(classified).select(key, F.posexplode("listings").alias("pos", "record"))
 
 
 def unwrap_records(replies: DataFrame, key: str, doc: str = "doc") -> DataFrame:
@@ -59,7 +67,7 @@ def unwrap_records(replies: DataFrame, key: str, doc: str = "doc") -> DataFrame:
     """
     value = F.col(doc)
     text = F.when(is_kind(value, "STRING"), F.try_variant_get(value, "$", "string"))
-    opened = replies.select(key, F.when(text.isNotNull(), F.try_parse_json(text)).otherwise(value).alias("_v"))
+    opened = replies.select(key, F.when(text.isNotNull(), parse_json_text(text)).otherwise(value).alias("_v"))
 
     whole = F.try_variant_get("_v", "$", "map<string,variant>")
     single = F.element_at(F.map_values(whole), 1)
@@ -118,11 +126,16 @@ def unwrap_records(replies: DataFrame, key: str, doc: str = "doc") -> DataFrame:
 
 @dataclass(frozen=True)
 class FlatColumn:
-    """A column to read from records: key path, Spark type, and whether objects at that path are to be skipped."""
+    """A column to read from records.
+
+    ``mixed``: objects at that path belong to longer paths and are skipped.
+    ``as_json``: other values than text are kept as JSON text.
+    """
 
     path: tuple[str, ...]
     type: T.DataType
     mixed: bool = False
+    as_json: bool = False
 
     @property
     def name(self) -> str:
@@ -135,9 +148,15 @@ def _schema(text: str) -> T.DataType:
     return T.StructType.fromDDL(f"v {ddl}")[0].dataType
 
 
+def _cell(path: tuple[str, ...], found: T.DataType, mixed: bool = False) -> FlatColumn:
+    kind = _cell_type(found)
+    return FlatColumn(path, kind, mixed, isinstance(kind, T.StringType) and not isinstance(found, T.StringType))
+
+
 def _cell_type(found: T.DataType) -> T.DataType:
     if isinstance(found, T.DecimalType):
-        return found if found.scale == 0 else T.DoubleType()
+        # 23.0 is read as a decimal without scale; only integers too long for bigint stay decimal.
+        return found if found.scale == 0 and found.precision > 20 else T.DoubleType()
     if isinstance(found, T.ArrayType):
         element = found.elementType
         if isinstance(element, (T.StructType, T.VariantType, T.ArrayType, T.NullType)):
@@ -148,17 +167,16 @@ def _cell_type(found: T.DataType) -> T.DataType:
     return found
 
 
-def _at(record: Column, path: tuple[str, ...]) -> Column:
-    value = record
-    plain = "$"
+def _at(record: Column, path: tuple[str, ...], kind: str = "variant") -> Column:
+    """The value at a key path. Keys a path text cannot quote are looked up one by one."""
+    value, steps = record, "$"
     for key in path:
         if "'" in key or "\\" in key:
-            if plain != "$":
-                value, plain = F.try_variant_get(value, plain, "variant"), "$"
-            value = F.try_element_at(F.try_variant_get(value, "$", "map<string,variant>"), F.lit(key))
+            held = F.try_variant_get(value, steps, "map<string,variant>")
+            value, steps = F.try_element_at(held, F.lit(key)), "$"
         else:
-            plain += f"['{key}']"
-    return value if plain == "$" else F.try_variant_get(value, plain, "variant")
+            steps += f"['{key}']"
+    return F.try_variant_get(value, steps, kind)
 
 
 def discover_columns(records: DataFrame, record: str = "record") -> list[FlatColumn]:
@@ -169,7 +187,7 @@ def discover_columns(records: DataFrame, record: str = "record") -> list[FlatCol
     values one more pass looks into just those paths, per level of such mixing.
     """
     found: list[FlatColumn] = []
-    pending: list[tuple[str, ...]] = [()]
+    pending: list[tuple[str, ...]] = []
 
     def walk(path: tuple[str, ...], kind: T.DataType) -> None:
         if isinstance(kind, T.StructType):
@@ -177,9 +195,10 @@ def discover_columns(records: DataFrame, record: str = "record") -> list[FlatCol
                 walk((*path, field.name), field.dataType)
         elif isinstance(kind, T.VariantType):
             pending.append(path)
-        else:
-            found.append(FlatColumn(path, _cell_type(kind)))
+        elif path:  # an element that is no object has no columns
+            found.append(_cell(path, kind))
 
+    walk((), _schema(records.agg(F.schema_of_variant_agg(record)).first()[0]))
     while pending:
         level, pending = pending, []
         looks = []
@@ -192,20 +211,24 @@ def discover_columns(records: DataFrame, record: str = "record") -> list[FlatCol
             objects, others = _schema(seen[f"o{i}"]), _schema(seen[f"s{i}"])
             has_objects = isinstance(objects, T.StructType)
             if path:
-                found.append(FlatColumn(path, _cell_type(others), mixed=has_objects))
+                found.append(_cell(path, others, mixed=has_objects))
             if has_objects:
                 walk(path, objects)
     return sorted(found, key=lambda c: c.path)
 
 
 def _read(record: Column, column: FlatColumn) -> Column:
-    value = _at(record, column.path)
-    if column.mixed:
-        value = F.when(~is_kind(value, "OBJECT"), value)
-    if isinstance(column.type, T.StringType):
-        text = F.try_variant_get(value, "$", "string")
-        return F.when(is_kind(value, "STRING"), text).when(~is_kind(value, "VOID"), F.to_json(value))
-    return F.try_variant_get(value, "$", column.type.simpleString())
+    kind = column.type.simpleString()
+    if not (column.mixed or column.as_json):
+        return _at(record, column.path, kind)
+
+    def shown(value: Column) -> Column:
+        cell = F.try_variant_get(value, "$", kind)
+        if column.as_json:
+            cell = F.when(is_kind(value, "STRING"), cell).when(~is_kind(value, "VOID"), F.to_json(value))
+        return F.when(~is_kind(value, "OBJECT"), cell) if column.mixed else cell
+
+    return let(_at(record, column.path), shown)
 
 
 def normalize_records(

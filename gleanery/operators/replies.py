@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanery.functions import fixed
+from gleanery.functions.jsontext import with_json
 from gleanery.functions.text import first_fence
 from gleanery.operators.listings import is_kind
 
@@ -46,7 +47,7 @@ def parse_replies(replies: DataFrame, record: T.StructType | None = None, reply:
     With a record schema, ``missing_fields`` counts the required fields that
     are absent or not text, over all listings of the reply.
     """
-    parsed = replies.withColumn("doc", F.try_parse_json(reply)).withColumn("ok", F.col("doc").isNotNull())
+    parsed = with_json(replies, reply, "doc").withColumn("ok", F.col("doc").isNotNull())
     tokens = [c for c in ("input_tokens", "output_tokens") if c in replies.columns]
     parsed = parsed.withColumns(
         {c: F.when(F.col("ok"), F.coalesce(F.col(c), F.lit(0).cast("bigint"))).otherwise(F.lit(0).cast("bigint")) for c in tokens}
@@ -68,7 +69,7 @@ def parse_replies(replies: DataFrame, record: T.StructType | None = None, reply:
 
 def fenced_json(replies: DataFrame, reply: str = "reply") -> DataFrame:
     """First fenced block of each reply: adds ``body`` (null when none) and ``doc``."""
-    return replies.withColumn("body", first_fence(F.col(reply))).withColumn("doc", F.try_parse_json("body"))
+    return with_json(replies.withColumn("body", first_fence(F.col(reply))), "body", "doc")
 
 
 def mapping_entries(replies: DataFrame, key: str, reply: str = "reply") -> DataFrame:
@@ -81,7 +82,7 @@ def mapping_entries(replies: DataFrame, key: str, reply: str = "reply") -> DataF
         F.try_variant_get(value, "$", "array<string>")
     )
     return (
-        replies.withColumn("doc", F.try_parse_json(reply))
+        with_json(replies, reply, "doc")
         .where(is_kind(F.col("doc"), "OBJECT"))
         .select(key, "doc", F.posexplode(F.json_object_keys(reply)).alias("ord", "new_col"))
         .select(key, "ord", "new_col", old_cols.alias("old_cols"))

@@ -1,2 +1,318 @@
-QUERIES = {}
-ORACLES = {}
+"""Queries on listing documents, records and combined columns.
+
+The documents are built from lineitem, one per row, in every shape the scan
+meets. How a row becomes a document depends on its flags only.
+"""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleanery.functions.prices import clean_price
+from gleanery.operators import columns, listings, replies
+from gleanery.plans.merge_job import combined_table
+from gleanery.queries.tables import table
+from gleanery.session import scratch_path
+from gleanery.sources.listing_files import scan_listing_files
+
+_MAPPING = [("price", ["price", "cost"]), ("title", "name nothing".split()), ("absent", ["nowhere"])]
+
+
+def _filled(template: str) -> Column:
+    """The template with each ``<column>`` replaced by that column's value."""
+    parts = re.split(r"<(\w+)>", template)
+    return F.concat(*[F.col(p).cast("string") if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+
+
+def listing_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``file, text``: good, empty, broken, array-rooted, keyless and non-list documents."""
+    rows = table(spark, sf_dir, "lineitem")
+    good = _filled(
+        '{"listings": [{"line": <l_linenumber>, "price": "$<l_extendedprice>", "dims": {"w": <l_quantity>, "q": {"h": <l_discount>}},'
+        ' "tags": [<l_partkey>, <l_suppkey>], "seen": true},'
+        ' {"name": "part <l_partkey>", "price": "<l_extendedprice>,00", "cost": "<l_tax> EUR", "dims": "n/a",'
+        ' "image_url": " http://img.example.org/<l_partkey>.png ", "product_url": "http://shop.example.org/?back=http://x/<l_suppkey>"}]}'
+    )
+    flag, status, tax = F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_tax")
+    text = (
+        F.when(flag == "A", good)
+        .when((flag == "R") & (status == "F"), F.concat(F.lit("["), good, F.lit("]")))
+        .when(flag == "R", _filled('{"listings": {"line": <l_linenumber>}}'))
+        .when(status == "F", _filled('{"listings": [{"line": <l_linenumber>}'))
+        .when(tax == 0, "{}")
+        .when(tax < 0.03, "null")
+        .when(tax < 0.05, '{"listings": []}')
+        .otherwise(_filled('{"items": [{"line": <l_linenumber>}]}'))
+    )
+    return rows.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("file"), text.alias("text"))
+
+
+def q_listing_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as lines of a listing file, then scanned; a second name must not be read."""
+    folder = scratch_path(spark, "scan")
+    texts = listing_documents(spark, sf_dir).select("text")
+    texts.write.text(f"{folder}/sorted_data_1.json")
+    texts.write.text(f"{folder}/other.json")
+    found = listings.classify_documents(scan_listing_files(spark, folder, wholetext=False))
+    return found.groupBy("reason").agg(F.count("*").alias("documents"))
+
+
+def q_listing_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listings.classify_documents(listing_documents(spark, sf_dir)).select("file", "reason")
+
+
+def q_flatten_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = listings.flatten_listings(listings.classify_documents(listing_documents(spark, sf_dir)))
+    return flat.select(
+        "file",
+        "pos",
+        F.try_variant_get("record", "$.line", "bigint").alias("line"),
+        F.try_variant_get("record", "$.name", "string").alias("name"),
+    )
+
+
+def q_normalize_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = listings.flatten_listings(listings.classify_documents(listing_documents(spark, sf_dir)))
+    wide = listings.normalize_records(flat)
+    return wide.withColumn("tags", F.array_join(wide["tags"].cast("array<string>"), ","))
+
+
+def q_merge_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = combined_table(listing_documents(spark, sf_dir), _MAPPING)
+    return wide.withColumn("tags", F.array_join(wide["tags"].cast("array<string>"), ","))
+
+
+def reply_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id, reply``: the shapes a reply's records come in, by order priority."""
+    orders = table(spark, sf_dir, "orders")
+    status = F.col("o_orderstatus")
+    by_priority = {
+        "1-URGENT": _filled('{"listings": [{"k": <o_orderkey>, "v": "<o_orderstatus>"}, {"k": <o_custkey>, "v": "b"}]}'),
+        "2-HIGH": _filled('{"k": [<o_orderkey>, <o_custkey>], "v": ["<o_orderstatus>", "b"]}'),
+        "3-MEDIUM": _filled('[{"k": <o_orderkey>, "v": "<o_orderstatus>"}]'),
+        "4-NOT SPECIFIED": F.when(status == "F", _filled('{"k": [<o_orderkey>, <o_custkey>], "v": ["x"]}'))
+        .when(status == "O", _filled('{"k": <o_orderkey>, "v": "<o_orderstatus>"}'))
+        .otherwise(_filled('{"k": <o_orderkey>')),
+    }
+    reply = _filled('"{\\"k\\": [<o_orderkey>, <o_custkey>], \\"v\\": \\"<o_orderstatus>\\"}"')
+    for priority, text in by_priority.items():
+        reply = F.when(F.col("o_orderpriority") == priority, text).otherwise(reply)
+    return orders.select(F.col("o_orderkey").alias("id"), reply.alias("reply"))
+
+
+def q_unwrap_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = replies.parse_replies(reply_documents(spark, sf_dir))
+    return listings.unwrap_records(parsed, "id").select(
+        "id",
+        "pos",
+        F.try_variant_get("record", "$.k", "bigint").alias("k"),
+        F.try_variant_get("record", "$.v", "string").alias("v"),
+        "reason",
+    )
+
+
+def q_column_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select(
+        "event_id", "user_id", "value", F.nullif("event_type", F.lit("error")).alias("event_type")
+    )
+    return columns.column_sample(events, ["event_id"], rows=3)
+
+
+def q_unify_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    event = F.col("event_type")
+    sparse = table(spark, sf_dir, "events").select(
+        "event_id",
+        F.when(event == "view", F.col("user_id")).alias("cost"),
+        F.when(event.isin("view", "click"), F.col("user_id") + 1).alias("amount"),
+        F.when(event == "purchase", F.col("user_id") + 2).alias("price"),
+        F.col("event_type").alias("label"),
+    )
+    return columns.unify_columns(sparse, [("price", ["price", "cost", "amount", "nowhere"]), ("kind", ["label"])])
+
+
+def q_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    return columns.preview(orders, ["o_orderkey"])
+
+
+def q_empty_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One gate over all records, one over the records of documents that are no objects (none)."""
+    found = listings.classify_documents(listing_documents(spark, sf_dir))
+    records = listings.flatten_listings(found)
+    none = records.where(F.col("pos") < 0)
+    return columns.has_rows(records, "records").unionByName(columns.has_rows(none, "none"))
+
+
+def _signed_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order totals as text: each currency sign, thousands separators, words and nothing at all."""
+    total = F.col("o_totalprice").cast("string")
+    price = (
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit("$"), total))
+        .when(F.col("o_orderpriority") == "2-HIGH", F.concat(F.lit("£"), total))
+        .when(F.col("o_orderpriority") == "3-MEDIUM", F.concat(F.lit("€ "), total))
+        .when(F.col("o_orderstatus") == "F", F.concat(F.lit("1,"), total))
+        .when(F.col("o_orderstatus") == "P", "on request")
+    )
+    return table(spark, sf_dir, "orders").select("o_orderkey", price.alias("price"))
+
+
+def q_clean_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return columns.clean_columns(_signed_prices(spark, sf_dir))
+
+
+def q_price_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-decimal rounding of computed prices, most of which need it."""
+    net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", clean_price(net).alias("price"))
+
+
+def q_price_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return columns.price_rejects(_signed_prices(spark, sf_dir))
+
+
+def _event_replies(spark: SparkSession, sf_dir: str, fenced: bool) -> DataFrame:
+    props, event = F.col("props"), F.col("event_type")
+    if fenced:
+        reply = (
+            F.when(event == "view", F.concat(F.lit("Sure:\n```json\n"), props, F.lit("\n```\nand\n```json\n{}\n```")))
+            .when(event == "click", F.concat(F.lit("```json\n \t"), props, F.lit(" \n\n```")))
+            .when(event == "signup", "```json\n \n```")
+            .when(event == "error", F.concat(F.lit("```json\n"), props, F.lit("x\n```")))
+            .otherwise(props)
+        )
+    else:
+        reply = (
+            F.when(event == "view", F.concat(F.lit('{"listings": ['), props, F.lit(', {"k": "text", "name": null}]}')))
+            .when(event == "click", F.concat(F.lit('{"listings": [{"name": "a", "k": "b"}, '), props, F.lit("]}")))
+            .when(event == "error", F.concat(F.lit("Sorry: "), props))
+            .otherwise(props)
+        )
+    return table(spark, sf_dir, "events").select(
+        "event_id", reply.alias("reply"), F.col("user_id").alias("input_tokens"), F.nullif("user_id", F.lit(8)).alias("output_tokens")
+    )
+
+
+def q_reply_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies good and bad; required fields name and k counted as missing where absent or not text."""
+    parsed = replies.parse_replies(_event_replies(spark, sf_dir, fenced=False), replies.listing_schema(["name", "k"]))
+    return parsed.select(
+        "event_id", "ok", "input_tokens", "output_tokens", "missing_fields", F.try_variant_get("doc", "$.k", "bigint").alias("k")
+    )
+
+
+def q_fenced_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = replies.fenced_json(_event_replies(spark, sf_dir, fenced=True))
+    return found.select("event_id", "body", F.try_variant_get("doc", "$.k", "bigint").alias("k"))
+
+
+def q_mapping_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One mapping reply per part, its shape by part size."""
+    size = F.col("p_size")
+    reply = (
+        F.when(size <= 10, _filled('{"<p_brand>": ["<p_name>", "size"], "name": "<p_type>"}'))
+        .when(size <= 20, _filled('["<p_name>"]'))
+        .when(size <= 30, _filled('{"<p_brand>": '))
+        .when(size <= 40, _filled('{"z": null, "<p_brand>": "<p_name>", "a": <p_size>}'))
+        .otherwise(_filled('"<p_name>"'))
+    )
+    entries = replies.mapping_entries(table(spark, sf_dir, "part").select("p_partkey", reply.alias("reply")), "p_partkey")
+    return entries.select("p_partkey", "ord", "new_col", F.array_join("old_cols", "|").alias("old_cols"))
+
+
+QUERIES = {
+    "listing_scan": q_listing_scan,
+    "listing_reject": q_listing_reject,
+    "flatten_listings": q_flatten_listings,
+    "normalize_records": q_normalize_records,
+    "unwrap_records": q_unwrap_records,
+    "column_sample": q_column_sample,
+    "unify_columns": q_unify_columns,
+    "preview": q_preview,
+    "empty_gate": q_empty_gate,
+    "clean_price": q_clean_price,
+    "price_format": q_price_format,
+    "price_rejects": q_price_rejects,
+    "reply_parse": q_reply_parse,
+    "fenced_json": q_fenced_json,
+    "mapping_reply": q_mapping_reply,
+    "merge_job": q_merge_job,
+}
+
+
+# --- SQL checks -------------------------------------------------------------
+
+_REASON = """case when l_returnflag = 'A' then 'ok'
+  when l_returnflag = 'R' and l_linestatus = 'F' then 'not an object'
+  when l_returnflag = 'R' then 'listings not a list'
+  when l_linestatus = 'F' then 'undecodable'
+  when l_tax < 0.03 then 'empty' when l_tax < 0.05 then 'ok' else 'no listings' end"""
+_FILE = "l_orderkey || '-' || l_linenumber"
+_BY_PRIORITY = """case when o_orderpriority = '1-URGENT' then '$' || o_totalprice when o_orderpriority = '2-HIGH' then '£' || o_totalprice
+  when o_orderpriority = '3-MEDIUM' then '€ ' || o_totalprice when o_orderstatus = 'F' then '1,' || o_totalprice
+  when o_orderstatus = 'P' then 'on request' end"""
+
+_RECORDS = f"""
+select {_FILE} as file, cast(0 as int) as pos, l_linenumber as line, '$' || l_extendedprice as price, l_quantity as w, l_discount as h,
+  l_partkey || ',' || l_suppkey as tags, true as seen, null as name, null as cost, null as dims, null as image_url, null as product_url
+from lineitem where l_returnflag = 'A'
+union all
+select {_FILE}, 1, null, l_extendedprice || ',00', null, null, null, null, 'part ' || l_partkey, l_tax || ' EUR', 'n/a',
+  ' http://img.example.org/' || l_partkey || '.png ', 'http://shop.example.org/?back=http://x/' || l_suppkey
+from lineitem where l_returnflag = 'A'"""
+
+ORACLES = {
+    "listing_scan": f"select {_REASON} as reason, count(*) as documents from lineitem group by 1",
+    "listing_reject": f"select {_FILE} as file, {_REASON} as reason from lineitem",
+    "flatten_listings": f"select file, pos, cast(line as bigint) as line, name from ({_RECORDS})",
+    "normalize_records": f"""select file, pos, cast(line as bigint) as line, price, w as "dims.w", h as "dims.q.h", tags, seen,
+  name, cost, dims, image_url, product_url from ({_RECORDS})""",
+    "merge_job": f"""select file, pos, cast(line as bigint) as line,
+  coalesce(case when pos = 0 then '€' || printf('%.2f', cast(replace(price, '$', '') as double)) end, cost) as price,
+  w as "dims.w", h as "dims.q.h", tags, seen, name as title, dims,
+  replace(trim(image_url), 'http://', 'https://') as image_url, replace(product_url, 'http://', 'https://') as product_url
+from ({_RECORDS})""",
+    "unwrap_records": """
+with o as (select o_orderkey as id, o_custkey as c, o_orderstatus as s, o_orderpriority as p from orders),
+r as (
+  select id, 0 as pos, id as k, s as v, 'ok' as reason from o where p <> '4-NOT SPECIFIED'
+  union all select id, 1, c, case when p = '5-LOW' then s else 'b' end, 'ok' from o where p in ('1-URGENT', '2-HIGH', '5-LOW')
+  union all select id, 0, null, null, case s when 'F' then 'lengths differ' when 'O' then 'no rows' else 'undecodable' end
+    from o where p = '4-NOT SPECIFIED')
+select id, cast(pos as int) as pos, k, v, reason from r""",
+    "column_sample": """
+with t as (select event_id, user_id, value, nullif(event_type, 'error') as event_type from events order by event_id limit 3),
+l as (select list(event_id order by event_id) a, list(user_id order by event_id) b, list(value order by event_id) c,
+  list(event_type order by event_id) d from t)
+select 'event_id' as "column", cast(to_json(a) as varchar) as sample from l union all
+select 'user_id', cast(to_json(b) as varchar) from l union all
+select 'value', cast(to_json(c) as varchar) from l union all
+select 'event_type', cast(to_json(d) as varchar) from l""",
+    "unify_columns": """
+select event_id, case event_type when 'view' then user_id when 'click' then user_id + 1 when 'purchase' then user_id + 2 end as price,
+  event_type as kind from events""",
+    "preview": "select o_orderkey, o_custkey, o_orderstatus, o_totalprice from orders order by o_orderkey limit 25",
+    "empty_gate": """select 'records' as table_name, exists(select 1 from lineitem where l_returnflag = 'A') as has_rows
+union all select 'none', false""",
+    "clean_price": f"""
+select o_orderkey, '€' || printf('%.2f', try_cast(regexp_replace({_BY_PRIORITY}, '[$£€]', '', 'g') as double)) as price from orders""",
+    "price_format": "select l_orderkey, l_linenumber, '€' || printf('%.2f', l_extendedprice * (1 - l_discount)) as price from lineitem",
+    "price_rejects": f"""
+with p as (select {_BY_PRIORITY} as price from orders)
+select count(price) as prices, count(*) filter (price is not null and
+  try_cast(regexp_replace(price, '[$£€]', '', 'g') as double) is null) as rejects from p""",
+    "reply_parse": """
+select event_id, event_type <> 'error' as ok, case when event_type = 'error' then 0 else user_id end as input_tokens,
+  case when event_type = 'error' or user_id = 8 then 0 else user_id end as output_tokens,
+  cast(case event_type when 'view' then 3 when 'click' then 2 end as int) as missing_fields,
+  case when event_type not in ('view', 'click', 'error') then cast(json_extract(props, '$.k') as bigint) end as k from events""",
+    "fenced_json": """
+select event_id, case when event_type in ('view', 'click') then props when event_type = 'error' then props || 'x' end as body,
+  case when event_type in ('view', 'click') then cast(json_extract(props, '$.k') as bigint) end as k from events""",
+    "mapping_reply": """
+select p_partkey, cast(0 as int) as ord, p_brand as new_col, p_name || '|size' as old_cols from part where p_size <= 10
+union all select p_partkey, 1, 'name', p_type from part where p_size <= 10
+union all select p_partkey, 1, p_brand, p_name from part where p_size > 30 and p_size <= 40""",
+}

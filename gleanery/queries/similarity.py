@@ -1,2 +1,51 @@
-QUERIES = {}
-ORACLES = {}
+"""Queries on similar vectors and texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleanery.operators import similarity
+from gleanery.queries.tables import table
+
+_COSINE = 0.4  # no pair of the given vectors reaches the standard 0.8
+_RATIO = 0.7
+
+
+def q_cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = similarity.cosine_pairs(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), _COSINE)
+    return pairs.select("id_a", "id_b", F.round("cosine", 6).alias("cosine"))
+
+
+def q_vector_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.copies(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding")
+
+
+def q_string_ratio_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    return similarity.string_ratio_pairs(parts, "p_partkey", "p_name", _RATIO)
+
+
+def q_text_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows behind each name that ``string_ratio_pairs`` compares."""
+    return similarity.copies(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey", "p_name")
+
+
+QUERIES = {
+    "cosine_pairs": q_cosine_pairs,
+    "vector_copies": q_vector_copies,
+    "string_ratio_pairs": q_string_ratio_pairs,
+    "text_copies": q_text_copies,
+}
+
+
+# --- SQL checks -------------------------------------------------------------
+
+ORACLES = {
+    "cosine_pairs": """
+with d as (select min(vec_id) as id, embedding::double[] as v from embeddings group by embedding)
+select a.id as id_a, b.id as id_b, round(list_cosine_similarity(a.v, b.v), 6) as cosine
+from d a join d b on a.id <> b.id where list_cosine_similarity(a.v, b.v) > 0.4""",
+    "vector_copies": "select vec_id, min(vec_id) over (partition by embedding) as rep from embeddings",
+    "text_copies": "select p_partkey, min(p_partkey) over (partition by p_name) as rep from part",
+}

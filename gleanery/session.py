@@ -15,6 +15,9 @@ def build_session(app: str = "gleanery", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Keys of different listings may differ in case only; of a repeated key the last value counts.
+        "spark.sql.caseSensitive": "true",
+        "spark.sql.variant.allowDuplicateKeys": "true",
         **conf,
     }
     builder = SparkSession.builder.appName(app)
