@@ -10,26 +10,37 @@ from gleanery.functions.naming import let
 _END = "end of text"
 
 
-def parse_json_text(text: Column) -> Column:
-    """The text as one JSON value; null when it is anything else.
+def framed_json(text: Column) -> Column:
+    """The text parsed as the first of two array elements.
 
     ``try_parse_json`` stops after the first value and ignores what follows.
-    Read as the first of two array elements, the text must be one whole value
-    for the second element to be found where it belongs.
+    Inside an array the text must be one whole value for the second element to
+    be found where it belongs; ``unframed`` looks for it.
     """
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
 
-    def whole(framed: Column) -> Column:
-        return F.when(
-            F.try_variant_get(framed, "$[1]", "string") == _END, F.try_variant_get(framed, "$[0]", "variant")
-        )
 
-    return let(F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]'))), whole)
+def unframed(framed: Column, path: str = "", kind: str = "variant") -> Column:
+    """A path of the framed value; null when the text was not exactly one JSON value."""
+    whole = F.try_variant_get(framed, "$[1]", "string") == _END
+    return F.when(whole, F.try_variant_get(framed, f"$[0]{path}", kind))
 
 
-def with_json(table: DataFrame, text: str, name: str) -> DataFrame:
-    """Add the parsed text as a column that is parsed once per row.
+def parse_json_text(text: Column) -> Column:
+    """The text as one JSON value; null when it is anything else."""
+    return let(framed_json(text), lambda framed: unframed(framed))
+
 
-    As a plain projection it would be copied into every filter above it. The
-    rows come out of a generator instead, which filters cannot be moved below.
+def once(table: DataFrame, value: Column, name: str) -> DataFrame:
+    """Add a column that is worked out once per row.
+
+    A plain projection would be copied into every filter and projection above
+    it. These rows come out of a generator, which nothing is moved across.
     """
-    return table.select("*", F.explode(F.array(parse_json_text(F.col(text)))).alias(name))
+    return table.select("*", F.explode(F.array(value)).alias(name))
+
+
+def with_json(table: DataFrame, text: str, name: str) -> DataFrame:
+    """Add the parsed text, parsed once per row."""
+    framed = once(table, framed_json(F.col(text)), "_framed")
+    return once(framed, unframed(F.col("_framed")), name).drop("_framed")

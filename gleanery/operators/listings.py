@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleanery.functions.jsontext import parse_json_text, with_json
+from gleanery.functions.jsontext import framed_json, once, parse_json_text, unframed
 from gleanery.functions.naming import let
 
+
 def is_kind(value: Column, kind: str) -> Column:
     """False, not null, for a missing value."""
     return F.coalesce(F.schema_of_variant(value).startswith(kind), F.lit(False))
@@ -23,25 +24,20 @@ def classify_documents(documents: DataFrame, text: str = "text") -> DataFrame:
     ``ok`` documents go on with their list of records; every other reason is a
     reject, kept in the table. Only rejects pay for finding out why.
     """
-
-    def judged(doc: Column) -> Column:
-        inside = F.try_variant_get(doc, "$.listings", "variant")
-        why = (
-            F.when(doc.isNull(), "undecodable")
-            .when(F.to_json(doc).isin("{}", "[]", "null", "0", "0.0", "-0", '""', "false"), "empty")
-            .when(~is_kind(doc, "OBJECT"), "not an object")
-            .when(inside.isNull(), "no listings")
-            .otherwise("listings not a list")
-        )
-        listings = F.try_variant_get(doc, "$.listings", "array<variant>")
-        return let(
-            listings,
-            lambda found: F.struct(
-                found.alias("listings"), F.when(found.isNotNull(), "ok").otherwise(why).alias("reason")
-            ),
-        )
-
-    return with_json(documents, text, "_doc").select("*", F.inline(F.array(judged(F.col("_doc"))))).drop("_doc")
+    framed = once(documents, framed_json(F.col(text)), "_framed")
+    listed = once(framed, unframed(F.col("_framed"), ".listings", "array<variant>"), "listings")
+    doc = unframed(F.col("_framed"))
+    # Cheap looks at one place come before tests that go through the whole document.
+    reason = (
+        F.when(F.col("listings").isNotNull(), "ok")
+        .when(doc.isNull(), "undecodable")
+        .when(unframed(F.col("_framed"), ".listings").isNotNull(), "listings not a list")
+        .when(unframed(F.col("_framed"), "[0]").isNotNull(), "not an object")
+        .when(F.to_json(doc).isin("{}", "[]", "null", "0", "0.0", "-0", '""', "false"), "empty")
+        .when(~is_kind(doc, "OBJECT"), "not an object")
+        .otherwise("no listings")
+    )
+    return listed.withColumn("reason", reason).drop("_framed")
 
 
 def good_documents(classified: DataFrame) -> DataFrame:
@@ -54,7 +50,8 @@ def rejected_documents(classified: DataFrame, key: str = "file") -> DataFrame:
 
 def flatten_listings(classified: DataFrame, key: str = "file") -> DataFrame:
     """One row per element of ``listings``: ``key, pos, record``."""
-    return good_documents(classified).select(key, F.posexplode("listings").alias("pos", "record"))
+    # Only good documents have a list to explode.
+    return classified.select(key, F.posexplode("listings").alias("pos", "record"))
 
 
 def unwrap_records(replies: DataFrame, key: str, doc: str = "doc") -> DataFrame:
