@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from gleanery.functions.jsontext import framed_json, once, parse_json_text, unframed
 from gleanery.functions.naming import let
+from gleanery.session import exact_names
 
 
 def is_kind(value: Column, kind: str) -> Column:
@@ -195,22 +196,24 @@ def discover_columns(records: DataFrame, record: str = "record") -> list[FlatCol
         elif path:  # an element that is no object has no columns
             found.append(_cell(path, kind))
 
-    walk((), _schema(records.agg(F.schema_of_variant_agg(record)).first()[0]))
-    while pending:
-        level, pending = pending, []
-        looks = []
-        for i, path in enumerate(level):
-            value = _at(F.col(record), path)
-            looks.append(F.schema_of_variant_agg(F.when(is_kind(value, "OBJECT"), value)).alias(f"o{i}"))
-            looks.append(F.schema_of_variant_agg(F.when(~is_kind(value, "OBJECT"), value)).alias(f"s{i}"))
-        seen = records.agg(*looks).first()
-        for i, path in enumerate(level):
-            objects, others = _schema(seen[f"o{i}"]), _schema(seen[f"s{i}"])
-            has_objects = isinstance(objects, T.StructType)
-            if path:
-                found.append(_cell(path, others, mixed=has_objects))
-            if has_objects:
-                walk(path, objects)
+    # Schemas merged without regard to case would lose one of two keys.
+    with exact_names(records.sparkSession):
+        walk((), _schema(records.agg(F.schema_of_variant_agg(record)).first()[0]))
+        while pending:
+            level, pending = pending, []
+            looks = []
+            for i, path in enumerate(level):
+                value = _at(F.col(record), path)
+                looks.append(F.schema_of_variant_agg(F.when(is_kind(value, "OBJECT"), value)).alias(f"o{i}"))
+                looks.append(F.schema_of_variant_agg(F.when(~is_kind(value, "OBJECT"), value)).alias(f"s{i}"))
+            seen = records.agg(*looks).first()
+            for i, path in enumerate(level):
+                objects, others = _schema(seen[f"o{i}"]), _schema(seen[f"s{i}"])
+                has_objects = isinstance(objects, T.StructType)
+                if path:
+                    found.append(_cell(path, others, mixed=has_objects))
+                if has_objects:
+                    walk(path, objects)
     return sorted(found, key=lambda c: c.path)
 
 

@@ -20,6 +20,7 @@ def scan_listing_files(
 
     ``wholetext`` reads one document per file, so a file must fit in a task;
     without it each line is a document, which splits and suits many small ones.
+    Spark plans no task for a file of zero bytes, so such a file is not listed.
     """
     try:
         files = spark.read.text(f"{folder.rstrip('/')}/{prefix}*{suffix}", wholetext=wholetext)

@@ -1,0 +1,106 @@
+import random
+from difflib import SequenceMatcher
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import plan_of, rows
+from gleanery.operators import similarity
+from gleanery.operators.similarity import copies, cosine_pairs, string_ratio, string_ratio_pairs
+
+
+def clustered(seed, n=240, dims=8, copied=80):
+    """Vectors around a few directions, a third of them copies of one vector, and a zero vector."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(6, dims))
+    data = (centres[rng.integers(0, 6, n)] + 0.3 * rng.normal(size=(n, dims))).astype("float32")
+    data[:copied] = data[0]
+    data[-1] = 0
+    return data
+
+
+def brute_cosine(data, threshold):
+    unique = {}
+    for i, v in enumerate(data):
+        unique.setdefault(v.tobytes(), i)
+    ids = sorted(unique.values())
+    out = set()
+    for i in ids:
+        for j in ids:
+            a, b = data[i].astype("float64"), data[j].astype("float64")
+            scale = np.linalg.norm(a) * np.linalg.norm(b)
+            if i != j and (a @ b / scale if scale else 0.0) > threshold:
+                out.add((i, j))
+    return out
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.3, -0.5])
+@pytest.mark.parametrize("block_rows", [7, 64, 4096])
+def test_cosine_pairs_match_brute_force(spark, many_chunks, threshold, block_rows):
+    data = clustered(1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id bigint, embedding array<float>")
+    got = cosine_pairs(df, threshold, block_rows=block_rows)
+    pairs = [(r.id_a, r.id_b) for r in got.collect()]
+    assert len(pairs) == len(set(pairs))
+    assert set(pairs) == brute_cosine(data, threshold)
+    assert {(b, a) for a, b in pairs} == set(pairs)
+    members = rows(copies(df, "vec_id", "embedding"))
+    assert len(members) == len(data) and sum(rep == 0 for _, rep in members) == 80
+
+
+def test_blocks_are_skipped_and_no_cross_join(spark, many_chunks):
+    data = clustered(2, copied=1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id bigint, embedding array<float>")
+    seen = {}
+    original = similarity._meet
+
+    def spy(items, meetings, *rest):
+        seen["meetings"] = meetings.count()
+        seen["blocks"] = items.select("block").distinct().count()
+        return original(items, meetings, *rest)
+
+    similarity._meet = spy
+    try:
+        plan = plan_of(cosine_pairs(df, 0.95, block_rows=10))
+    finally:
+        similarity._meet = original
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert seen["blocks"] > 20
+    assert seen["meetings"] < seen["blocks"] * (seen["blocks"] + 1) / 2
+
+
+def test_cosine_edge_inputs(spark):
+    none = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
+    assert rows(cosine_pairs(none)) == []
+    one = spark.createDataFrame([(1, [1.0, 0.0])], "vec_id bigint, embedding array<float>")
+    assert rows(cosine_pairs(one)) == []
+
+
+GOLDEN = [("price", "prices", 10 / 11), ("abcd", "bcda", 0.75), ("tide", "diet", 0.25), ("diet", "tide", 0.5), ("", "", 1.0)]
+
+
+def test_ratio_golden_and_not_symmetric(spark):
+    df = spark.createDataFrame([(a, b) for a, b, _ in GOLDEN], "a string, b string")
+    got = df.select("a", "b", string_ratio()(F.col("a"), F.col("b")).alias("r")).collect()
+    assert [(r.a, r.b, r.r) for r in got] == GOLDEN
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.85])
+def test_ratio_pairs_match_brute_force(spark, many_chunks, threshold):
+    rng = random.Random(4)
+    words = ["price", "product", "image", "url", "name", "Preis", "prix", "título", "😀"]
+    texts = ["".join(rng.choices(words, k=rng.randint(0, 4))) + rng.choice(["", "s", "_1"]) for _ in range(150)]
+    texts[:50] = ["price"] * 50
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, t string")
+    first = {}
+    for i, t in enumerate(texts):
+        first.setdefault(t, i)
+    expected = {}
+    for a, i in first.items():
+        for b, j in first.items():
+            ratio = SequenceMatcher(None, a, b).ratio()
+            if i != j and ratio > threshold:
+                expected[(i, j)] = ratio
+    got = {(r.id_a, r.id_b): r.ratio for r in string_ratio_pairs(df, "id", "t", threshold, block_rows=16).collect()}
+    assert got == expected
