@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.operators.ordering import number_rows
-from gleanery.session import cut_lineage
+from gleanery.session import scratch_path, written
 
-_BROADCAST_ROWS = 100_000  # a frontier of at most this many rows is sent to the links, not the other way
-_MERGE_EVERY = 20  # rounds after which the visited parts are written as one
+_SMALL = 100_000  # rows of (url, key) that may be broadcast, after they were counted
 
 
 def crawl_frontier(
@@ -23,42 +22,70 @@ def crawl_frontier(
     ``ordered`` a column ``rank`` gives the visiting order inside one seed and
     depth (parent's order, then place on the parent page).
 
-    One reliable checkpoint per round keeps the plan flat. A round shuffles the
-    new candidates and the visited keys; the links are only scanned while the
-    frontier is small enough to broadcast (its rows are counted first) and are
-    shuffled beside it otherwise.
+    Each round is written below one folder of the shared storage, which as a
+    whole is the visited table, so the plan of a round does not grow with the
+    number of rounds. Whatever is small, by its count, is broadcast: a frontier
+    to the links, few candidates to a long visited table. Neither of the large
+    tables is shuffled then, however many rounds there are; a large round
+    shuffles both sides.
     """
-    starts = seeds.groupBy("url").agg(F.min("seed_pos").alias("root"))
-    frontier = cut_lineage(starts.select("root", "url", F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("rank")))
+    spark = seeds.sparkSession
     # Read every round: written once, so that no round repeats the work of finding the links.
-    links = cut_lineage(links.select("src_url", "pos", "dst_url").where(F.col("dst_url").isNotNull()))
-    visited = frontier
-    parts = 1
+    links = written(links.select("src_url", "pos", "dst_url").where(F.col("dst_url").isNotNull()), "links")
+    folder = scratch_path(spark, "crawl")
+    schema = "root int, url string, depth int, rank bigint"
+
+    def keep(round_rows: DataFrame, depth: int, rank) -> DataFrame:
+        shaped = round_rows.select(
+            F.col("root").cast("int"), "url", F.lit(depth).alias("depth"), rank.cast("bigint").alias("rank")
+        )
+        return written(shaped, "round", f"{folder}/round_{depth:06d}")
+
+    starts = seeds.groupBy("url").agg(F.min("seed_pos").alias("root"))
+    frontier = keep(starts, 0, F.lit(0))
     depth = 0
-    reached = frontier.count()
+    reached = total = frontier.count()
     while reached and (max_depth is None or depth < max_depth):
         depth += 1
-        ahead = frontier.select("root", F.col("url").alias("src_url"), "rank")
-        if reached <= _BROADCAST_ROWS:
-            ahead = F.broadcast(ahead)
-        via = F.min(F.struct("rank", "pos")).alias("via") if ordered else F.lit(None).cast("string").alias("via")
+        visited = spark.read.schema(schema).parquet(f"{folder}/round_*").select("root", "url")
+        ahead = _small(frontier.select("root", F.col("url").alias("src_url"), "rank"), reached)
+        via = F.min(F.struct("rank", "pos")).alias("via") if ordered else F.first(F.lit(0)).alias("via")
         found = links.join(ahead, "src_url").groupBy("root", F.col("dst_url").alias("url")).agg(via)
-        new = found.join(visited.select("root", "url"), ["root", "url"], "left_anti")
+        new = _unvisited(found, visited, total, small_round=reached <= _SMALL)
+        rank = F.lit(0)
         if ordered:
             new = new.repartitionByRange("root", "via").sortWithinPartitions("root", "via")
             rank = F.monotonically_increasing_id()
-        else:
-            rank = F.lit(0).cast("bigint")
-        frontier = cut_lineage(new.select("root", "url", F.lit(depth).alias("depth"), rank.alias("rank")))
+        frontier = keep(new, depth, rank)
         reached = frontier.count()
-        visited = visited.unionByName(frontier)
-        parts += 1
-        if parts >= _MERGE_EVERY:
-            visited = cut_lineage(visited)
-            parts = 1
-    roots = seeds.join(starts.withColumnRenamed("url", "start"), F.col("url") == F.col("start")).select("seed_pos", "root")
+        total += reached
+    visited = spark.read.schema(schema).parquet(f"{folder}/round_*")
+    mates = seeds.select(F.col("url").alias("start"), "seed_pos")
+    owners = frontier.sparkSession.read.schema(schema).parquet(f"{folder}/round_{0:06d}")
+    owners = owners.select("root", F.col("url").alias("start")).join(mates, "start").select("root", "seed_pos")
     columns = ["seed_pos", "url", "depth"] + (["rank"] if ordered else [])
-    return visited.join(roots, "root").select(*columns)
+    return visited.join(_small(owners, owners.count()), "root").select(*columns)
+
+
+def _small(rows: DataFrame, count: int) -> DataFrame:
+    return F.broadcast(rows) if count <= _SMALL else rows
+
+
+def _unvisited(found: DataFrame, visited: DataFrame, total: int, small_round: bool) -> DataFrame:
+    """Candidates not visited before.
+
+    A small visited table is broadcast. To a large one, after a small frontier,
+    the candidates are written and counted; if they are few, the table is only
+    scanned for them.
+    """
+    key = ["root", "url"]
+    if total <= _SMALL or not small_round:
+        return found.join(_small(visited, total), key, "left_anti")
+    found = written(found, "found")
+    if found.count() > _SMALL:
+        return found.join(visited, key, "left_anti")
+    known = visited.join(F.broadcast(found.select(*key)), key, "left_semi")
+    return found.join(F.broadcast(known), key, "left_anti")  # no more rows than the candidates
 
 
 def visit_numbers(visits: DataFrame) -> DataFrame:
@@ -69,8 +96,10 @@ def visit_numbers(visits: DataFrame) -> DataFrame:
 def first_page(pages: DataFrame, order: list[str]) -> DataFrame:
     """The page that comes first in ``order``, whole.
 
-    The key is found on the order columns alone; only then is the wide row
-    fetched, through a join with that single row.
+    The key is found on the order columns alone. Its values then filter the
+    wide rows inside the scan, where file statistics rule most of them out.
     """
-    key = pages.select(*order).orderBy(*order).limit(1)
-    return pages.join(F.broadcast(key), order, "left_semi")  # one row by construction
+    key = pages.select(F.min(F.struct(*order)).alias("key"))
+    for name in order:
+        pages = pages.where(F.col(name) == key.select(F.col("key")[name]).scalar())
+    return pages

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.session import cut_lineage
+from gleanery.session import written
 
 _ROW_BITS = 33  # monotonically_increasing_id: partition above, row in partition below
 
@@ -17,8 +17,8 @@ def ordered_chunks(rows: DataFrame, order: Sequence[str]) -> DataFrame:
 
     Chunks are range partitions: a later chunk holds only later rows, and since
     the whole order key decides, equal leading values spread over chunks. The
-    checkpoint fixes the boundaries, which sampling could draw differently on a
-    second evaluation. Pass narrow rows.
+    rows are written once, as sampling could draw the boundaries differently on
+    a second evaluation. Pass narrow rows.
     """
     if "_rid" in rows.columns:
         raise ValueError("_rid is taken")
@@ -30,7 +30,7 @@ def ordered_chunks(rows: DataFrame, order: Sequence[str]) -> DataFrame:
         .withColumn("chunk_pos", F.col("_rid").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)))
         .drop("_rid")
     )
-    return cut_lineage(placed)
+    return written(placed, "chunks")
 
 
 def number_rows(rows: DataFrame, order: Sequence[str], name: str = "n") -> DataFrame:

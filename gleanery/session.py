@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "gleanery", master: str | None = None, **conf: str) -> SparkSession:
@@ -68,7 +68,13 @@ def exact_names(spark: SparkSession):
         spark.conf.set(key, before)
 
 
-def cut_lineage(df):
-    """Reliable checkpoint: the rows survive the loss of any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    """The rows as a table in the shared folder: a plan that starts at its files.
+
+    It outlives any executor, is never worked out twice, is read by column, and
+    its size on disk is known to the planner.
+    """
+    spark = df.sparkSession
+    path = path or scratch_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
