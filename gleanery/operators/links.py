@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions import fixed
+from gleanery.functions.naming import let
 from gleanery.functions.text import unescape_entities
 from gleanery.functions.urls import resolve_url, url_parts
 from gleanery.operators.pages import INERT
@@ -44,13 +45,12 @@ def page_links(pages: DataFrame, nav_class: str | None = fixed.PAGINATION_CLASS)
     the resulting list. Everything happens inside the page's own row, so there
     is no shuffle.
     """
-    return (
-        pages.select("page_id", F.col("url").alias("src_url"), page_hrefs(F.col("html"), nav_class).alias("hrefs"))
-        .where(F.size("hrefs") > 0)
-        .withColumn("base", url_parts(F.col("src_url")))
-        .withColumn(
-            "resolved",
-            F.array_distinct(F.transform("hrefs", lambda h: resolve_url(F.col("src_url"), h, F.col("base")))),
-        )
-        .select("page_id", "src_url", F.posexplode("resolved").alias("pos", "dst_url"))
+    hrefs = page_hrefs(F.col("html"), nav_class)
+    found = pages.select("page_id", F.col("url").alias("src_url"), hrefs.alias("hrefs"))
+    page = F.col("src_url")
+    # The page's own address is taken apart once for all its links.
+    resolved = let(
+        url_parts(page),
+        lambda parts: F.array_distinct(F.transform("hrefs", lambda href: resolve_url(page, href, parts))),
     )
+    return found.select("page_id", "src_url", F.posexplode(resolved).alias("pos", "dst_url"))

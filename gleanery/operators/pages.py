@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions import fixed
+from gleanery.functions.naming import let
 from gleanery.functions.text import unescape_entities
 
 # Text a browser never shows as markup. Scanned left to right in one pass, so a
@@ -22,8 +23,6 @@ _BLOCK_TAGS = (
 
 # Inline markup to Markdown, applied in this order.
 _MARKUP = (
-    (r"\s{2,}|[\t\n\r\f]", " "),
-    (_INERT_OR_HEAD, ""),
     (
         r"""(?is)<img\b(?=[^>]*?\ssrc\s*=\s*"([^"]*)")(?:(?=[^>]*?\salt\s*=\s*"([^"]*)"))?[^>]*>""",
         "![$2]($1)",
@@ -118,17 +117,25 @@ def _tag_trail(html: Column) -> Column:
     return F.lower(F.array_join(F.regexp_extract_all(html, F.lit(rf"(?i)</?(?:{names})\b"), F.lit(0)), ""))
 
 
-def chrome_is_regular(html: Column) -> Column:
-    """True when chrome tags come as plain open/close pairs outside scripts and comments."""
-    trail = _tag_trail(html)
-    left = trail
-    for tag in fixed.CHROME_TAGS:
-        left = F.replace(left, F.lit(f"<{tag}</{tag}"), F.lit(""))
-    inert = F.array_join(F.regexp_extract_all(html, F.lit(INERT), F.lit(0)), "")
-    return (trail == "") | ((left == "") & (_tag_trail(inert) == ""))
+def chrome_is_regular(html: Column, inert: bool = True) -> Column:
+    """True when chrome tags come as plain open/close pairs, none of them inside scripts or comments.
+
+    ``inert=False``: the page has no scripts and comments any more.
+    """
+
+    def judged(trail: Column) -> Column:
+        unpaired = trail
+        for tag in fixed.CHROME_TAGS:
+            unpaired = F.replace(unpaired, F.lit(f"<{tag}</{tag}"), F.lit(""))
+        if not inert:
+            return unpaired == ""
+        hidden = F.array_join(F.regexp_extract_all(html, F.lit(INERT), F.lit(0)), "")
+        return (trail == "") | ((unpaired == "") & (_tag_trail(hidden) == ""))
+
+    return let(_tag_trail(html), judged)
 
 
-def strip_chrome(pages: DataFrame, html: str = "html", repair: bool = True) -> DataFrame:
+def strip_chrome(pages: DataFrame, html: str = "html", repair: bool = True, inert: bool = True) -> DataFrame:
     """Remove every header and footer element with its content, at any depth.
 
     Regular pages stay in native regexes. Only the text of irregular pages is
@@ -141,7 +148,7 @@ def strip_chrome(pages: DataFrame, html: str = "html", repair: bool = True) -> D
         native = F.regexp_replace(native, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
     if not repair:
         return pages.withColumn(html, native)
-    irregular = F.when(~chrome_is_regular(F.col(html)), F.col(html))
+    irregular = F.when(~chrome_is_regular(F.col(html), inert), F.col(html))
     return (
         pages.withColumn("_irregular", irregular)
         .withColumn("_repaired", _chrome_repair()("_irregular"))
@@ -150,11 +157,21 @@ def strip_chrome(pages: DataFrame, html: str = "html", repair: bool = True) -> D
     )
 
 
+def _visible(pages: DataFrame, repair: bool) -> DataFrame:
+    """Pages without anything that gives no text: head, scripts, styles, comments, chrome.
+
+    Scripts and comments go first; what is left decides more cheaply whether
+    its chrome tags are regular.
+    """
+    html = F.regexp_replace(F.regexp_replace("html", r"\s{2,}|[\t\n\r\f]", " "), _INERT_OR_HEAD, "")
+    return strip_chrome(pages.withColumn("html", html), repair=repair, inert=False)
+
+
 def markdown_blocks(html: Column) -> Column:
-    """Array of non-blank Markdown blocks of one page whose chrome is already gone.
+    """Array of non-blank Markdown blocks of the visible part of one page.
 
-    Tag subset: head, title, script, style (dropped); a, img, b, strong, i, em,
-    br, hr, h1-h6, li; the usual block tags; all others vanish, their text stays.
+    Tag subset: a, img, b, strong, i, em,
+    br, hr, h1-h6, li; the usual block tags. All others vanish, their text stays.
     """
     text = html
     for pattern, replacement in _MARKUP:
@@ -173,7 +190,7 @@ def markdown_blocks(html: Column) -> Column:
 
 def page_blocks(pages: DataFrame, repair: bool = True) -> DataFrame:
     """One row per Markdown block: ``page_id, block_no, kind, text``."""
-    blocks = strip_chrome(pages.select("page_id", "html"), repair=repair).select(
+    blocks = _visible(pages.select("page_id", "html"), repair).select(
         "page_id", F.posexplode(markdown_blocks(F.col("html"))).alias("block_no", "text")
     )
     kind = (
@@ -187,4 +204,4 @@ def page_blocks(pages: DataFrame, repair: bool = True) -> DataFrame:
 def page_markdown(pages: DataFrame, repair: bool = True) -> DataFrame:
     """Pages to Markdown, adding ``markdown`` in place of ``html``. No shuffle: a page is one row."""
     blocks = markdown_blocks(F.col("html"))
-    return strip_chrome(pages, repair=repair).withColumn("markdown", F.array_join(blocks, "\n\n")).drop("html")
+    return _visible(pages, repair).withColumn("markdown", F.array_join(blocks, "\n\n")).drop("html")
