@@ -15,7 +15,7 @@ from gleanery.functions.text import unescape_entities
 INERT = r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>"
 _INERT_OR_HEAD = r"(?is)<!--.*?-->|<(head|title|script|style)\b[^>]*>.*?</\1\s*>"
 
-_HEADING_MARK = "﷐"  # a noncharacter: never part of text
+_MARK = "﷐"  # a noncharacter: never part of text
 _BLOCK_TAGS = (
     "p|div|article|section|main|aside|nav|ul|ol|li|dl|dt|dd|table|tr|blockquote|pre|form|figure|figcaption"
     "|address|fieldset|body|html|h[1-6]"
@@ -35,9 +35,8 @@ _MARKUP = (
     (r"(?i)</?(?:i|em)\b[^>]*>", "_"),
     (r"(?i)<br\b[^>]*>", "\n"),
     (r"(?i)<hr\b[^>]*>", "\n\n* * *\n\n"),
-    (r"(?i)<h([1-6])\b[^>]*>", f"\n\n{_HEADING_MARK}$1"),
-    (r"(?i)<li\b[^>]*>", "\n\n  * "),
-    (rf"(?i)</?(?:{_BLOCK_TAGS})\b[^>]*>", "\n\n"),
+    # An opening heading or item leaves its digit or its i between the marks.
+    (rf"(?i)<(?:h([1-6])|l(i)|/?(?:{_BLOCK_TAGS}))\b[^>]*>", f"\n\n{_MARK}$1$2{_MARK}"),
     (r"<[/!?a-zA-Z][^>]*>", ""),
 )
 
@@ -178,14 +177,18 @@ def markdown_blocks(html: Column) -> Column:
         text = F.regexp_replace(text, pattern, replacement)
     text = unescape_entities(text)
 
-    def titled(block: Column) -> Column:
-        level = F.repeat(F.lit("#"), F.substring(block, 2, 1).try_cast("int"))
-        words = F.ltrim(F.substr(block, F.lit(3)))
-        heading = F.when(words == "", "").otherwise(F.concat(level, F.lit(" "), words))
-        return F.when(block.startswith(_HEADING_MARK), heading).otherwise(block)
+    def finished(block: Column) -> Column:
+        kind = F.substring(block, 2, 1)
+        words = F.ltrim(F.substr(block, F.lit(4)))
+        lead = F.when(F.lower(kind) == "i", "* ").otherwise(F.concat(F.repeat(F.lit("#"), kind.try_cast("int")), F.lit(" ")))
+        return (
+            F.when(~block.startswith(_MARK), block)
+            .when(kind == _MARK, F.ltrim(F.substr(block, F.lit(3))))
+            .otherwise(F.when(words == "", "").otherwise(F.concat(lead, words)))
+        )
 
     trimmed = F.transform(F.split(text, r"\n\s*\n"), lambda block: F.regexp_replace(block, r"^\s+|\s+$", ""))
-    return F.filter(F.transform(trimmed, titled), lambda block: ~block.isin("", "*"))
+    return F.filter(F.transform(trimmed, finished), lambda block: block != "")
 
 
 def page_blocks(pages: DataFrame, repair: bool = True) -> DataFrame:
