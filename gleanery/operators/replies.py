@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,6 +69,23 @@ def parse_replies(replies: DataFrame, record: T.StructType | None = None, reply:
     return parsed.withColumn("missing_fields", count)
 
 
+def typed_listings(parsed: DataFrame, record: T.StructType, key: str = "page_id") -> DataFrame:
+    """Listings of parsed replies as rows of the declared schema: ``key, pos, conforms`` and its fields.
+
+    A field that is absent or not text is null, and the row does not conform.
+    """
+    listings = F.try_variant_get("doc", "$.listings", "array<variant>")
+    rows = parsed.select(key, F.posexplode(listings).alias("pos", "_listing"))
+
+    def cell(name: str):
+        value = F.try_variant_get("_listing", f"$['{name}']", "variant")
+        return F.when(is_kind(value, "STRING"), F.try_variant_get(value, "$", "string")).alias(name)
+
+    cells = rows.select(key, "pos", *[cell(name) for name in record.fieldNames()])
+    whole = [F.col(f"`{name}`").isNotNull() for name in record.fieldNames()]
+    return cells.withColumn("conforms", reduce(and_, whole, F.lit(True)))
+
+
 def fenced_json(replies: DataFrame, reply: str = "reply") -> DataFrame:
     """First fenced block of each reply: adds ``body`` (null when none) and ``doc``."""
     return with_json(replies.withColumn("body", first_fence(F.col(reply))), "body", "doc")
@@ -90,6 +109,24 @@ def mapping_entries(replies: DataFrame, key: str, reply: str = "reply") -> DataF
     )
 
 
+def mapping_prompt(samples: DataFrame) -> DataFrame:
+    """The request for a column mapping, from ``column, sample`` rows: one row, no row without samples.
+
+    One small row per column of a table is all that is brought together.
+    """
+    names = F.to_json(F.array("column"))  # quoted as JSON, in brackets
+    quoted = F.substring(names, F.lit(2), F.length(names) - 2)
+    lines = F.array_sort(F.collect_list(F.concat(quoted, F.lit(": "), F.col("sample"))))
+    return (
+        samples.agg(lines.alias("lines"))
+        .where(F.size("lines") > 0)
+        .select(
+            F.lit(fixed.MAPPING_SYSTEM_TEXT).alias("system_prompt"),
+            F.concat(F.lit("{"), F.array_join("lines", ", "), F.lit("}")).alias("user_prompt"),
+        )
+    )
+
+
 def mapping_list(entries: DataFrame, limit: int = 10_000) -> list[tuple[str, list[str]]]:
     """One mapping for the driver: its size is bounded by the number of columns, which is checked."""
     rows = entries.orderBy("ord").select("new_col", "old_cols").take(limit + 1)

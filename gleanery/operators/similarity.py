@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import fixed
 from gleanery.operators.ordering import number_rows
+from gleanery.session import written
 
 _PIVOTS = 8
 
@@ -86,7 +87,7 @@ def cosine_pairs(
     Blocks are skipped by the triangle inequality on angles to a few pivot
     vectors; which vectors serve as pivots changes the work, never the result.
     """
-    items = distinct_values(vectors, key, vector).select("rep", F.col(vector).alias("vec"))
+    items = written(distinct_values(vectors, key, vector).select("rep", F.col(vector).alias("vec")), "vectors")
     pivots = [r.vec for r in items.orderBy(F.xxhash64("vec"), "rep").limit(_PIVOTS).collect()]
     limit = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
 

@@ -51,8 +51,9 @@ def run_totals(
     usage: DataFrame,
     prices: Mapping[str, tuple[float, float]] | DataFrame = fixed.MODEL_PRICES,
     by: Sequence[str] = (),
+    counts: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Calls, tokens and cost of a run, or per ``by``.
+    """Calls, tokens and cost of a run, or per ``by``; ``counts`` adds how many calls meet a condition.
 
     Tokens are first summed as integers per model, so the prices meet a handful
     of rows and the cost does not depend on the order of the calls.
@@ -61,6 +62,7 @@ def run_totals(
         F.count("*").alias("calls"),
         F.sum("input_tokens").alias("input_tokens"),
         F.sum("output_tokens").alias("output_tokens"),
+        *[F.count_if(condition).alias(name) for name, condition in (counts or {}).items()],
     )
     return (
         _costed(per_model, prices)
@@ -71,6 +73,7 @@ def run_totals(
             F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"),
             F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost"),
             F.coalesce(F.sum(F.when(F.col("unpriced"), F.col("calls"))), F.lit(0)).alias("unpriced_calls"),
+            *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in counts or {}],
         )
     )
 
@@ -95,7 +98,7 @@ def budget_breaches(
         F.coalesce(F.col(tokens), F.lit(0)).cast("bigint").alias("tokens"),
         F.date_trunc("minute", ts).alias("minute"),
         F.date_trunc("day", ts).alias("day"),
-    )
+    ).where(F.col("ts").isNotNull())  # a call without a time is in no window
     counted = running_sums(
         log,
         ["ts", "call_id"],

@@ -29,7 +29,5 @@ def reply_costs(
 def reply_totals(
     replies: DataFrame, prices: Mapping[str, tuple[float, float]] | DataFrame = fixed.MODEL_PRICES
 ) -> DataFrame:
-    """One row: pages, failed pages, tokens and cost of the run."""
-    parsed = parse_replies(replies)
-    failed = parsed.agg(F.count_if(~F.col("ok")).alias("failed"))
-    return run_totals(parsed, prices).join(F.broadcast(failed))  # two one-row tables
+    """One row: calls, tokens, cost and failed pages of the run, in one pass over the replies."""
+    return run_totals(parse_replies(replies), prices, counts={"failed": ~F.col("ok")})

@@ -11,6 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanery.functions import fixed
 from gleanery.functions.prices import clean_price
 from gleanery.operators import columns, listings, replies
 from gleanery.plans.merge_job import combined_table
@@ -203,6 +204,16 @@ def q_reply_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_typed_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    record = replies.listing_schema(["name", "k"])
+    parsed = replies.parse_replies(_event_replies(spark, sf_dir, fenced=False))
+    return replies.typed_listings(parsed, record, "event_id")
+
+
+def q_mapping_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replies.mapping_prompt(q_column_sample(spark, sf_dir))
+
+
 def q_fenced_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = replies.fenced_json(_event_replies(spark, sf_dir, fenced=True))
     return found.select("event_id", "body", F.try_variant_get("doc", "$.k", "bigint").alias("k"))
@@ -236,6 +247,8 @@ QUERIES = {
     "price_format": q_price_format,
     "price_rejects": q_price_rejects,
     "reply_parse": q_reply_parse,
+    "typed_listings": q_typed_listings,
+    "mapping_prompt": q_mapping_prompt,
     "fenced_json": q_fenced_json,
     "mapping_reply": q_mapping_reply,
     "merge_job": q_merge_job,
@@ -263,6 +276,15 @@ select {_FILE}, 1, null, l_extendedprice || ',00', null, null, null, null, 'part
   ' http://img.example.org/' || l_partkey || '.png ', 'http://shop.example.org/?back=http://x/' || l_suppkey
 from lineitem where l_returnflag = 'A'"""
 
+_SAMPLES = """
+with t as (select event_id, user_id, value, nullif(event_type, 'error') as event_type from events order by event_id limit 3),
+l as (select list(event_id order by event_id) a, list(user_id order by event_id) b, list(value order by event_id) c,
+  list(event_type order by event_id) d from t)
+select 'event_id' as "column", cast(to_json(a) as varchar) as sample from l union all
+select 'user_id', cast(to_json(b) as varchar) from l union all
+select 'value', cast(to_json(c) as varchar) from l union all
+select 'event_type', cast(to_json(d) as varchar) from l"""
+
 ORACLES = {
     "listing_scan": f"select {_REASON} as reason, count(*) as documents from lineitem group by 1",
     "listing_reject": f"select {_FILE} as file, {_REASON} as reason from lineitem",
@@ -282,14 +304,7 @@ r as (
   union all select id, 0, null, null, case s when 'F' then 'lengths differ' when 'O' then 'no rows' else 'undecodable' end
     from o where p = '4-NOT SPECIFIED')
 select id, cast(pos as int) as pos, k, v, reason from r""",
-    "column_sample": """
-with t as (select event_id, user_id, value, nullif(event_type, 'error') as event_type from events order by event_id limit 3),
-l as (select list(event_id order by event_id) a, list(user_id order by event_id) b, list(value order by event_id) c,
-  list(event_type order by event_id) d from t)
-select 'event_id' as "column", cast(to_json(a) as varchar) as sample from l union all
-select 'user_id', cast(to_json(b) as varchar) from l union all
-select 'value', cast(to_json(c) as varchar) from l union all
-select 'event_type', cast(to_json(d) as varchar) from l""",
+    "column_sample": _SAMPLES,
     "unify_columns": """
 select event_id, case event_type when 'view' then user_id when 'click' then user_id + 1 when 'purchase' then user_id + 2 end as price,
   event_type as kind from events""",
@@ -308,6 +323,15 @@ select event_id, event_type <> 'error' as ok, case when event_type = 'error' the
   case when event_type = 'error' or user_id = 8 then 0 else user_id end as output_tokens,
   cast(case event_type when 'view' then 3 when 'click' then 2 end as int) as missing_fields,
   case when event_type not in ('view', 'click', 'error') then cast(json_extract(props, '$.k') as bigint) end as k from events""",
+    "typed_listings": """
+select event_id, cast(1 as int) as pos, cast(null as varchar) as name, 'text' as k, false as conforms from events where event_type = 'view'
+union all select event_id, 0, null, null, false from events where event_type = 'view'
+union all select event_id, 0, 'a', 'b', true from events where event_type = 'click'
+union all select event_id, 1, null, null, false from events where event_type = 'click'""",
+    "mapping_prompt": f"""
+with s as ({_SAMPLES})
+select '{fixed.MAPPING_SYSTEM_TEXT}' as system_prompt,
+  '{{' || string_agg('"' || "column" || '": ' || sample, ', ' order by "column") || '}}' as user_prompt from s""",
     "fenced_json": """
 select event_id, case when event_type in ('view', 'click') then props when event_type = 'error' then props || 'x' end as body,
   case when event_type in ('view', 'click') then cast(json_extract(props, '$.k') as bigint) end as k from events""",
