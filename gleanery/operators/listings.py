@@ -55,70 +55,93 @@ def flatten_listings(classified: DataFrame, key: str = "file") -> DataFrame:
     return classified.select(key, F.posexplode("listings").alias("pos", "record"))
 
 
+def _as_list(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "array<variant>")
+
+
+def _as_columns(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "map<string,variant>")
+
+
+def _found(records: Column | None, reason: str) -> Column:
+    records = F.array(F.lit(None).cast("variant")) if records is None else records
+    return F.struct(records.alias("records"), F.lit(reason).alias("reason"))
+
+
+def _from_columns(columns: Column) -> Column:
+    """Records of an object of columns: row by row, scalars repeated."""
+
+    def by_length(lists: Column) -> Column:
+        sizes = F.array_distinct(
+            F.transform(F.filter(F.map_values(lists), lambda a: a.isNotNull()), lambda a: F.size(a))
+        )
+
+        def row(position: Column) -> Column:
+            cells = F.transform(
+                F.map_keys(columns),
+                lambda name: F.when(lists[name].isNotNull(), F.get(lists[name], position)).otherwise(columns[name]),
+            )
+            return F.to_variant_object(F.map_from_arrays(F.map_keys(columns), cells))
+
+        def judged(lengths: Column) -> Column:
+            rows = F.when(lengths[0] > 0, F.transform(F.sequence(F.lit(0), lengths[0] - 1), row))
+            rows = F.coalesce(rows, F.array().cast("array<variant>"))
+            return (
+                F.when(F.size(lengths) == 0, _found(None, "no rows"))
+                .when(F.size(lengths) > 1, _found(None, "lengths differ"))
+                .otherwise(_found(rows, "ok"))
+            )
+
+        return let(sizes, judged)
+
+    # An object inside a column has no rows to align with the others.
+    nested = F.exists(F.map_values(columns), lambda v: is_kind(v, "OBJECT"))
+    return (
+        F.when(F.size(columns) == 0, _found(F.array().cast("array<variant>"), "ok"))
+        .when(nested, _found(None, "no rows"))
+        .otherwise(let(F.transform_values(columns, lambda _, v: _as_list(v)), by_length))
+    )
+
+
+def _shape(value: Column, inside=lambda value: _found(None, "not records"), single: bool = True) -> Column:
+    """Records and reason of a value that may be a list or an object; ``inside`` judges the others."""
+
+    def of_object(columns: Column) -> Column:
+        held = _from_columns(columns)
+        if single:
+            only = F.element_at(F.map_values(columns), 1)
+            held = F.when(F.size(columns) == 1, let(only, lambda v: _shape(v, single=False))).otherwise(held)
+        return F.when(columns.isNull(), inside(value)).otherwise(held)
+
+    def of_list(elements: Column) -> Column:
+        return F.when(elements.isNotNull(), _found(elements, "ok")).otherwise(let(_as_columns(value), of_object))
+
+    return let(_as_list(value), of_list)
+
+
 def unwrap_records(replies: DataFrame, key: str, doc: str = "doc") -> DataFrame:
     """Records of replies of any accepted shape: ``key, pos, record, reason``.
 
     An object with one key stands for its value; a list gives its elements; an
     object of columns gives one record per row, scalars repeated, when all its
     lists have the same length. JSON text inside a JSON string is parsed first.
-    Other replies give one row without a record and a ``reason``.
+    Other replies give one row without a record and a ``reason``. The shapes are
+    tried in this order, so a plain list costs one look.
     """
-    value = F.col(doc)
-    text = F.when(is_kind(value, "STRING"), F.try_variant_get(value, "$", "string"))
-    opened = replies.select(key, F.when(text.isNotNull(), parse_json_text(text)).otherwise(value).alias("_v"))
-
-    whole = F.try_variant_get("_v", "$", "map<string,variant>")
-    single = F.element_at(F.map_values(whole), 1)
-    body = F.when(is_kind(F.col("_v"), "OBJECT") & (F.size(whole) == 1), single).otherwise(F.col("_v"))
-    opened = opened.select(
-        key,
-        F.schema_of_variant(F.col("_v")).alias("_root"),
-        body.alias("_v"),
-    )
 
-    columns = F.try_variant_get("_v", "$", "map<string,variant>")
-    lists = F.transform_values(columns, lambda _, v: F.try_variant_get(v, "$", "array<variant>"))
-    sizes = F.array_distinct(
-        F.transform(F.filter(F.map_values("_lists"), lambda a: a.isNotNull()), lambda a: F.size(a))
-    )
-    shaped = opened.withColumns({"_columns": columns, "_lists": lists}).withColumn("_sizes", sizes)
-    # A nested object inside a column object has no row of its own to align with.
-    flat = ~F.exists(F.map_values("_columns"), lambda v: is_kind(v, "OBJECT"))
-    is_list = is_kind(F.col("_v"), "ARRAY")
-    is_object = is_kind(F.col("_v"), "OBJECT")
-    reason = (
-        F.when(F.col("_root").isNull(), "undecodable")
-        .when(is_list, "ok")
-        .when(~is_object | ~(F.col("_root").startswith("OBJECT")), "not records")
-        .when(F.size("_columns") == 0, "ok")
-        .when(~flat | (F.size("_sizes") == 0), "no rows")
-        .when(F.size("_sizes") > 1, "lengths differ")
-        .otherwise("ok")
-    )
-
-    def row(position: Column) -> Column:
-        return F.to_variant_object(
-            F.map_from_arrays(
-                F.map_keys("_columns"),
-                F.transform(
-                    F.map_keys("_columns"),
-                    lambda name: F.when(
-                        F.col("_lists")[name].isNotNull(), F.get(F.col("_lists")[name], position)
-                    ).otherwise(F.col("_columns")[name]),
-                ),
-            )
+    def parsed_text(value: Column) -> Column:
+        text = F.try_variant_get(value, "$", "string")
+        opened = let(
+            parse_json_text(text), lambda v: F.when(v.isNull(), _found(None, "undecodable")).otherwise(_shape(v))
         )
+        return F.when(is_kind(value, "STRING"), opened).otherwise(_found(None, "not records"))
 
-    length = F.coalesce(F.get("_sizes", F.lit(0)), F.lit(0))
-    positions = F.when(length > 0, F.sequence(F.lit(0), length - 1)).otherwise(F.array().cast("array<int>"))
-    records = (
-        F.when(is_list, F.try_variant_get("_v", "$", "array<variant>"))
-        .when(is_object & (F.col("_reason") == "ok"), F.transform(positions, row))
-    )
-    rejected = F.when(F.col("_reason") != "ok", F.array(F.lit(None).cast("variant")))
+    value = F.col(doc)
+    judged = F.when(value.isNull(), _found(None, "undecodable")).otherwise(_shape(value, parsed_text))
     return (
-        shaped.withColumn("_reason", reason)
-        .select(key, F.posexplode(F.coalesce(rejected, records)).alias("pos", "record"), F.col("_reason").alias("reason"))
+        replies.select(key, F.inline(F.array(judged)))
+        .select(key, "reason", F.posexplode("records").alias("pos", "record"))
+        .select(key, "pos", "record", "reason")
     )
 
 

@@ -86,70 +86,70 @@ def cosine_pairs(
     Each pair is computed once, in double precision, and given in both orders.
     Blocks are skipped by the triangle inequality on angles to a few pivot
     vectors; which vectors serve as pivots changes the work, never the result.
+    Vectors are of one length; one that is not finite is similar to none.
     """
+    id_type = vectors.schema[key].dataType.simpleString()
+    pair_schema = f"id_a {id_type}, id_b {id_type}, cosine double"
     items = written(distinct_values(vectors, key, vector).select("rep", F.col(vector).alias("vec")), "vectors")
     pivots = [r.vec for r in items.orderBy(F.xxhash64("vec"), "rep").limit(_PIVOTS).collect()]
+    if not pivots:
+        return vectors.sparkSession.createDataFrame([], pair_schema)
     limit = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
 
-    def angles(batches):
+    def unit(rows):
+        """Rows scaled to length one; a zero row stays zero."""
         import numpy as np
 
-        def unit(rows):
-            rows = np.asarray(rows, dtype="float64")
-            norm = np.linalg.norm(rows, axis=1, keepdims=True)
-            return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
+        rows = np.stack(rows).astype("float64")
+        norm = np.linalg.norm(rows, axis=1, keepdims=True)
+        with np.errstate(invalid="ignore"):
+            return np.divide(rows, norm, out=np.zeros_like(rows), where=norm != 0)
+
+    def angles(batches):
+        import numpy as np
 
-        anchor = unit(np.stack(pivots))
+        anchor = np.nan_to_num(unit(pivots))  # a vector that is not finite becomes zero and rules out nothing
         for batch in batches:
-            if len(batch):
-                turn = np.arccos(np.clip(unit(np.stack(batch["vec"])) @ anchor.T, -1.0, 1.0))
-                nearest = turn.argmin(axis=1)
-                yield batch.assign(
-                    near=nearest.astype("int32"), angle=turn[np.arange(len(turn)), nearest], turn=list(turn)
+            scaled = unit(batch["vec"]) if len(batch) else np.zeros((0, 0))
+            finite = np.isfinite(scaled).all(axis=1)
+            if finite.any():
+                turn = np.arccos(np.clip(scaled[finite] @ anchor.T, -1.0, 1.0))
+                near = turn.argmin(axis=1)
+                yield batch[finite].assign(
+                    near=near.astype("int32"), angle=turn[np.arange(len(turn)), near], turn=list(turn)
                 )
 
-    schema = "rep long, vec array<float>, near int, angle double, turn array<double>"
-    if not pivots:
-        return vectors.sparkSession.createDataFrame([], "id_a long, id_b long, cosine double")
-    placed = items.mapInPandas(angles, schema)
-    blocks = _in_blocks(placed, ["near", "angle", "rep"], block_rows)
+    vec_type = vectors.schema[vector].dataType.simpleString()
+    schema = f"rep {id_type}, vec {vec_type}, near int, angle double, turn array<double>"
+    blocks = _in_blocks(items.mapInPandas(angles, schema), ["near", "angle", "rep"], block_rows)
     spread = [f(F.col("turn")[i]).alias(f"{n}{i}") for i in range(len(pivots)) for n, f in (("lo", F.min), ("hi", F.max))]
     bounds = blocks.groupBy("block").agg(*spread)
-    # A zero vector has cosine 0 with everything: angles say nothing about it.
-    near = F.lit(threshold < 0)
     gaps = [
         F.greatest(F.col(f"lo{i}_r") - F.col(f"hi{i}"), F.col(f"lo{i}") - F.col(f"hi{i}_r")) for i in range(len(pivots))
     ]
-    near = near | (F.greatest(*gaps, F.lit(-1.0)) <= limit)
+    # A zero vector has cosine 0 with everything, whatever its angles: no bound below 0.
+    may_match = F.lit(threshold < 0) | (F.greatest(*gaps, F.lit(-1.0)) <= limit)
 
     def compare(meeting, left, right):
         import numpy as np
 
-        def unit(rows):
-            rows = np.stack(rows).astype("float64")
-            norm = np.linalg.norm(rows, axis=1, keepdims=True)
-            return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
-
-        empty = pd.DataFrame({"id_a": [], "id_b": [], "cosine": []}).astype({"id_a": "int64", "id_b": "int64"})
-        if left.empty or right.empty:
-            return empty
-        a, b = unit(left["vec"]), unit(right["vec"])
         same = meeting[0] == meeting[1]
-        ids_a, ids_b = left["rep"].to_numpy(), right["rep"].to_numpy()
-        out = []
-        for start in range(0, len(a), 512):
-            product = a[start : start + 512] @ b.T
-            i, j = np.nonzero(product > threshold)
-            score = product[i, j]
-            i = ids_a[i + start]
-            j = ids_b[j]
-            if same:
-                once = i < j
-                i, j, score = i[once], j[once], score[once]
-            out.append(pd.DataFrame({"id_a": i, "id_b": j, "cosine": score}))
-        return pd.concat(out, ignore_index=True) if out else empty
-
-    found = _meet(blocks, _meetings(bounds, near), ["rep", "vec"], compare, "id_a long, id_b long, cosine double")
+        right = left if same else right
+        out = [pd.DataFrame({"id_a": left["rep"][:0], "id_b": left["rep"][:0], "cosine": np.zeros(0)})]
+        if len(left) and len(right):
+            a, b = unit(left["vec"]), unit(right["vec"])
+            ids_a, ids_b = left["rep"].to_numpy(), right["rep"].to_numpy()
+            for start in range(0, len(a), 512):
+                product = a[start : start + 512] @ b.T
+                i, j = np.nonzero(product > threshold)
+                score = product[i, j]
+                i = i + start
+                if same:
+                    i, j, score = i[i < j], j[i < j], score[i < j]
+                out.append(pd.DataFrame({"id_a": ids_a[i], "id_b": ids_b[j], "cosine": score}))
+        return pd.concat(out, ignore_index=True)
+
+    found = _meet(blocks, _meetings(bounds, may_match), ["rep", "vec"], compare, pair_schema)
     return found.select(
         F.explode(
             F.array(
@@ -184,6 +184,7 @@ def string_ratio_pairs(
     on arrays, leaves few pairs to the matcher. Both orders are computed, as
     the ratio depends on the order.
     """
+    id_type = table.schema[key].dataType.simpleString()
     items = distinct_values(table, key, text).select(
         "rep", F.col(text).alias("text"), F.length(text).alias("size")
     )
@@ -204,6 +205,7 @@ def string_ratio_pairs(
             return counts
 
         same = meeting[0] == meeting[1]
+        right = left if same else right
         texts_a, texts_b = left["text"].tolist(), right["text"].tolist()
         ids_a, ids_b = left["rep"].tolist(), right["rep"].tolist()
         counts_a, counts_b = profile(texts_a), profile(texts_b)
@@ -222,8 +224,7 @@ def string_ratio_pairs(
                 ):
                     if ratio > threshold:
                         found.append((x, y, ratio))
-        return pd.DataFrame(found, columns=["id_a", "id_b", "ratio"]).astype(
-            {"id_a": "int64", "id_b": "int64", "ratio": "float64"}
-        )
+        return pd.DataFrame(found, columns=["id_a", "id_b", "ratio"])
 
-    return _meet(blocks, _meetings(bounds, may_match), ["rep", "text"], compare, "id_a long, id_b long, ratio double")
+    pair_schema = f"id_a {id_type}, id_b {id_type}, ratio double"
+    return _meet(blocks, _meetings(bounds, may_match), ["rep", "text"], compare, pair_schema)

@@ -77,6 +77,20 @@ def test_cosine_edge_inputs(spark):
     assert rows(cosine_pairs(one)) == []
 
 
+def test_cosine_of_named_columns_and_odd_vectors(spark, many_chunks):
+    vectors = {"price": [1.0, 0.1], "cost": [1.0, 0.2], "name": [0.0, 1.0], "zero": [0.0, 0.0], "nan": [float("nan"), 1.0], "inf": [float("inf"), 1.0]}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id string, embedding array<float>")
+    for block_rows in (1, 2, 100):
+        got = {(r.id_a, r.id_b) for r in cosine_pairs(df, 0.8, block_rows=block_rows).collect()}
+        assert got == {("price", "cost"), ("cost", "price")}
+
+
+def test_ratio_pairs_of_named_columns(spark, many_chunks):
+    df = spark.createDataFrame([(t, t) for t in ("price", "prices", "prix", "name")], "id string, t string")
+    got = {(r.id_a, r.id_b) for r in string_ratio_pairs(df, "id", "t", 0.9, block_rows=1).collect()}
+    assert got == {("price", "prices"), ("prices", "price")}
+
+
 GOLDEN = [("price", "prices", 10 / 11), ("abcd", "bcda", 0.75), ("tide", "diet", 0.25), ("diet", "tide", 0.5), ("", "", 1.0)]
 
 
