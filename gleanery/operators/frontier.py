@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanery import session
 from gleanery.operators.ordering import number_rows
-from gleanery.session import scratch_path, written
-
-_SMALL = 100_000  # rows of (url, key) that may be broadcast, after they were counted
-
+from gleanery.session import scratch_path, sized, written
 
 def crawl_frontier(
     seeds: DataFrame, links: DataFrame, max_depth: int | None = None, ordered: bool = False
@@ -33,11 +31,11 @@ def crawl_frontier(
     # Read every round: written once, so that no round repeats the work of finding the links.
     links = written(links.select("src_url", "pos", "dst_url").where(F.col("dst_url").isNotNull()), "links")
     folder = scratch_path(spark, "crawl")
-    schema = "root int, url string, depth int, rank bigint"
+    schema = "root bigint, url string, depth int, rank bigint"
 
     def keep(round_rows: DataFrame, depth: int, rank) -> DataFrame:
         shaped = round_rows.select(
-            F.col("root").cast("int"), "url", F.lit(depth).alias("depth"), rank.cast("bigint").alias("rank")
+            F.col("root").cast("bigint"), "url", F.lit(depth).alias("depth"), rank.cast("bigint").alias("rank")
         )
         return written(shaped, "round", f"{folder}/round_{depth:06d}")
 
@@ -48,10 +46,10 @@ def crawl_frontier(
     while reached and (max_depth is None or depth < max_depth):
         depth += 1
         visited = spark.read.schema(schema).parquet(f"{folder}/round_*").select("root", "url")
-        ahead = _small(frontier.select("root", F.col("url").alias("src_url"), "rank"), reached)
+        ahead = sized(frontier.select("root", F.col("url").alias("src_url"), "rank"), reached)
         via = F.min(F.struct("rank", "pos")).alias("via") if ordered else F.first(F.lit(0)).alias("via")
         found = links.join(ahead, "src_url").groupBy("root", F.col("dst_url").alias("url")).agg(via)
-        new = _unvisited(found, visited, total, small_round=reached <= _SMALL)
+        new = _unvisited(found, visited, total, small_round=reached <= session.SMALL_ROWS)
         rank = F.lit(0)
         if ordered:
             new = new.repartitionByRange("root", "via").sortWithinPartitions("root", "via")
@@ -64,11 +62,7 @@ def crawl_frontier(
     owners = frontier.sparkSession.read.schema(schema).parquet(f"{folder}/round_{0:06d}")
     owners = owners.select("root", F.col("url").alias("start")).join(mates, "start").select("root", "seed_pos")
     columns = ["seed_pos", "url", "depth"] + (["rank"] if ordered else [])
-    return visited.join(_small(owners, owners.count()), "root").select(*columns)
-
-
-def _small(rows: DataFrame, count: int) -> DataFrame:
-    return F.broadcast(rows) if count <= _SMALL else rows
+    return visited.join(sized(owners), "root").select(*columns)
 
 
 def _unvisited(found: DataFrame, visited: DataFrame, total: int, small_round: bool) -> DataFrame:
@@ -79,10 +73,10 @@ def _unvisited(found: DataFrame, visited: DataFrame, total: int, small_round: bo
     scanned for them.
     """
     key = ["root", "url"]
-    if total <= _SMALL or not small_round:
-        return found.join(_small(visited, total), key, "left_anti")
+    if total <= session.SMALL_ROWS or not small_round:
+        return found.join(sized(visited, total), key, "left_anti")
     found = written(found, "found")
-    if found.count() > _SMALL:
+    if found.count() > session.SMALL_ROWS:
         return found.join(visited, key, "left_anti")
     known = visited.join(F.broadcast(found.select(*key)), key, "left_semi")
     return found.join(F.broadcast(known), key, "left_anti")  # no more rows than the candidates

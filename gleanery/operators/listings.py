@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from gleanery.functions.jsontext import framed_json, once, parse_json_text, unframed
 from gleanery.functions.naming import let
-from gleanery.session import exact_names
+from gleanery.session import exact_names, written
 
 
 def is_kind(value: Column, kind: str) -> Column:
@@ -260,9 +260,12 @@ def normalize_records(
     """Records to typed columns named by dotted path; missing values are null.
 
     Arrays stay one cell: typed for plain elements, JSON text otherwise. Without
-    ``columns`` the records are read twice, once to find them.
+    ``columns`` the records are read more than once, first to find them; they
+    are written for that, parsed, so that no pass goes back to the documents.
     """
-    columns = discover_columns(records, record) if columns is None else columns
+    if columns is None:
+        records = written(records, "records")
+        columns = discover_columns(records, record)
     by_name: dict[str, list[FlatColumn]] = {}
     for column in columns:
         by_name.setdefault(column.name, []).append(column)

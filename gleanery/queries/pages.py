@@ -114,8 +114,9 @@ def q_page_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = source.select((F.col("page_id") * 3).alias("first"), F.posexplode(forms).alias("p", "url")).select(
         (F.col("first") + F.col("p")).alias("seed_pos"), "url"
     )
-    found = pages_of_seeds(seeds, source)
-    return found.select("seed_pos", "url", "page_id", F.length("html").cast("bigint").alias("size"))
+    # Measured where the page is read: its text does not travel.
+    sizes = source.select("url", "page_id", F.length("html").cast("bigint").alias("size"))
+    return pages_of_seeds(seeds, sizes)
 
 
 def q_crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:

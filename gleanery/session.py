@@ -7,6 +7,7 @@ import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "gleanery", master: str | None = None, **conf: str) -> SparkSession:
@@ -78,3 +79,12 @@ def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     path = path or scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+SMALL_ROWS = 100_000  # narrow rows (keys, URLs) that may be broadcast
+
+
+def sized(rows: DataFrame, count: int | None = None) -> DataFrame:
+    """Narrow rows for a join: broadcast if they were counted and found few, as they are otherwise."""
+    count = rows.count() if count is None else count
+    return F.broadcast(rows) if count <= SMALL_ROWS else rows

@@ -53,7 +53,7 @@ def test_visiting_order_matches_a_queue(spark, many_chunks, seed):
 
 @pytest.mark.parametrize("small", [0, 1, 100_000])
 def test_every_size_of_round_gives_the_same(spark, monkeypatch, small):
-    monkeypatch.setattr("gleanery.operators.frontier._SMALL", small)
+    monkeypatch.setattr("gleanery.session.SMALL_ROWS", small)
     edges = {str(i): [str(i + 1), "0"] for i in range(9)}
     got = crawl_frontier(*tables(spark, [(0, "0")], edges))
     assert sorted((r.depth, r.url) for r in got.collect()) == [(i, str(i)) for i in range(10)]

@@ -89,6 +89,13 @@ def test_pages_job_numbers_missing_pages_too(spark):
     assert sorted(r.page_id for r in first_seen(doubled).collect()) == [1, 2]
 
 
+def test_seeds_without_a_page_keep_their_row(spark):
+    pages = spark.createDataFrame([(1, "a", "A"), (2, "b", "B")], "page_id bigint, url string, html string")
+    seeds = seed_list(spark, ["b", "c", "b"])
+    got = sorted(rows(pages_of_seeds(seeds, pages).select("seed_pos", "url", "page_id", "html")))
+    assert got == [(0, "b", 2, "B"), (1, "c", None, None), (2, "b", 2, "B")]
+
+
 def test_replies_job(spark):
     data = [(1, '{"listings":[{"a":1},{"a":2}]}', "m", 10, 2), (2, "no", "m", 99, 99), (3, '[{"a":3}]', "x", 1, 1)]
     df = spark.createDataFrame(data, "page_id bigint, reply string, model string, input_tokens bigint, output_tokens bigint")
