@@ -34,6 +34,7 @@ _MARKUP = (
     (r"(?i)</?(?:b|strong)\b[^>]*>", "**"),
     (r"(?i)</?(?:i|em)\b[^>]*>", "_"),
     (r"(?i)<br\b[^>]*>", "\n"),
+    (r"(?i)</t[dh]\s*>\s*<t[dh]\b[^>]*>", "| "),
     (r"(?i)<hr\b[^>]*>", "\n\n* * *\n\n"),
     # An opening heading or item leaves its digit or its i between the marks.
     (rf"(?i)<(?:h([1-6])|l(i)|/?(?:{_BLOCK_TAGS}))\b[^>]*>", f"\n\n{_MARK}$1$2{_MARK}"),
@@ -169,8 +170,8 @@ def _visible(pages: DataFrame, repair: bool) -> DataFrame:
 def markdown_blocks(html: Column) -> Column:
     """Array of non-blank Markdown blocks of the visible part of one page.
 
-    Tag subset: a, img, b, strong, i, em,
-    br, hr, h1-h6, li; the usual block tags. All others vanish, their text stays.
+    Tag subset: a, img, b, strong, i, em, br, hr, h1-h6, li, td, th; the usual
+    block tags. All others vanish, their text stays.
     """
     text = html
     for pattern, replacement in _MARKUP:

@@ -167,7 +167,7 @@ def q_pages_job(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.coalesce(F.concat(F.lit('<a href="'), F.col(name), F.lit(f'">{name}</a>')), F.lit(""))
 
     nav = F.concat(F.lit(f'<nav class="{fixed.PAGINATION_CLASS}">'), anchor("a"), anchor("b"), F.lit("</nav><nav>"))
-    # Page n leads to a page of a higher number, so the joined columns are narrow and html stays in place.
+    # Only this preparation brings html and addresses together by a join; the job itself never moves html.
     linked = source.join(following, "page_id", "left").select(
         "page_id", "url", F.replace(F.col("html"), F.lit("<nav>"), nav).alias("html")
     )

@@ -39,7 +39,8 @@ PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style></head><b
 <h2 class="x"> Two </h2><p>Some <b>bold</b>, <em>soft</em> text<br>next
 line &amp; more</p><!-- no --><script>var t = "</p>";</script>
 <ul><li>one</li><li><a class="l" href='/x?a=1&amp;b=2'>two</a></li><li></li></ul><hr>
-<a>bare</a> <a data-href="/no" href=/yes>q</a> <img src="/i.png" alt="pic"><img src="/j.png"> 1 < 2
+<table><tr><th>k<th>v</th></tr><tr><td>a</td>
+ <TD class="n">1</TD></tr></table><a>bare</a> <a data-href="/no" href=/yes>q</a> <img src="/i.png" alt="pic"><img src="/j.png"> 1 < 2
 <footer>F</footer></body></html>"""
 
 
@@ -51,6 +52,8 @@ def test_markdown_of_every_tag_kind(spark):
         ("item", "* one"),
         ("item", "* [two](/x?a=1&b=2)"),
         ("item", "* * *"),
+        ("text", "kv"),
+        ("text", "a| 1"),
         ("text", "bare [q](/yes) ![pic](/i.png)![](/j.png) 1 < 2"),
     ]
     got = page_blocks(df).orderBy("block_no").collect()
