@@ -206,6 +206,7 @@ def discover_columns(records: DataFrame, record: str = "record") -> list[FlatCol
     One aggregation (partial on each task, one text on the driver, as large as
     the set of distinct paths). Where a path holds both objects and other
     values one more pass looks into just those paths, per level of such mixing.
+    Null counts as a missing object there, not as another value.
     """
     found: list[FlatColumn] = []
     pending: list[tuple[str, ...]] = []

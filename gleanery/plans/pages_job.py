@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from gleanery import session
 from gleanery.functions import fixed
 from gleanery.operators.frontier import crawl_frontier, visit_numbers
 from gleanery.operators.links import page_links
@@ -36,9 +38,13 @@ def pages_job(
 
     ``pages`` holds one row per URL (see ``first_seen``). Html never travels:
     links and Markdown are made where the page is read, and only those are
-    shuffled. A page reached from several seeds is converted once.
+    shuffled. A page reached from several seeds is converted once; when few
+    pages are reached, the others are not converted at all.
     """
     visits = visited_pages(seeds, pages, nav_class, max_depth)
-    texts = page_markdown(pages.select("url", "html"))
+    pages = pages.select("url", "html")
+    if visits.count() <= session.SMALL_ROWS:
+        pages = pages.join(F.broadcast(visits.select("url").distinct()), "url", "left_semi")
+    texts = page_markdown(pages)
     keep = ["file_no", "seed_pos", "depth", "url", "markdown"]
     return prompt_table(visits.join(texts, "url", "left"), listing_schema(fields), keep)

@@ -68,7 +68,9 @@ def test_sinks(spark, tmp_path):
         write_run(df, str(tmp_path), "json")
 
 
-def test_pages_job_numbers_missing_pages_too(spark):
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_pages_job_numbers_missing_pages_too(spark, monkeypatch, small):
+    monkeypatch.setattr("gleanery.session.SMALL_ROWS", small)
     nav = '<nav class="woocommerce-pagination"><a href="/2">2</a><a href="/3">3</a></nav><p>one</p>'
     pages = spark.createDataFrame(
         [(1, "http://s/1", nav), (2, "http://s/2", "<footer>f</footer><h1>two</h1>")], "page_id bigint, url string, html string"

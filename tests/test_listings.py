@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,6 +106,44 @@ def test_normalize_unusual_keys_and_no_rows(spark):
     assert discover_columns(with_json(nothing, "t", "record")) == []
 
 
+def random_record(rng, depth=0):
+    kinds = [None, True, 3, 2.5, "t", "", [1, 2], [], [{"k": 1}], -7, 10**12]
+    record = {}
+    for name in rng.sample("abcd", rng.randint(0, 4)):
+        record[name] = random_record(rng, depth + 1) if depth < 3 and rng.random() < 0.4 else rng.choice(kinds)
+    return record
+
+
+def leaves(record, path=()):
+    for name, value in record.items():
+        if isinstance(value, dict):
+            yield from leaves(value, (*path, name))
+        else:
+            yield ".".join((*path, name)), value
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_normalize_random_records_loses_nothing(spark, seed):
+    rng = random.Random(seed)
+    records = [random_record(rng) for _ in range(60)]
+    expected = [dict(leaves(r)) for r in records]
+    got = [r.asDict() for r in normalized(spark, *records).collect()]
+    names = {name for e in expected for name in e}
+    # A path that holds objects and, besides, only nulls is no column of its own: null is a missing object.
+    hollow = {n for n in names if all(e.get(n) is None for e in expected) and any(m.startswith(n + ".") for m in names)}
+    assert set(got[0]) == names - hollow
+    for name in got[0]:
+        values = [e.get(name) for e in expected]
+        cells = [g[name] for g in got]
+        kinds = {type(v) for v in values if v is not None}
+        if kinds <= {int, float} or len(kinds) == 1 and kinds != {list}:
+            assert cells == values
+        else:  # kinds differ, or arrays that may hold objects: text is itself, other values are JSON
+            shown = [c if c is None or isinstance(c, str) else json.dumps(c) for c in cells]
+            for value, cell in zip(values, shown):
+                assert cell == value if value is None or isinstance(value, str) else json.loads(cell) == value
+
+
 def test_keys_that_differ_in_case(spark):
     both = ({"Price": 1}, {"price": 2})
     assert {c for c in normalized(spark, *both).columns} == {"Price", "price"}

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from gleanery.operators.links import page_links
-from gleanery.operators.pages import chrome_is_regular, page_blocks, page_markdown, strip_chrome
+from gleanery.operators.pages import _chrome_repair, chrome_is_regular, page_blocks, page_markdown, strip_chrome
 
 CHROME = [
     # page, without chrome, regular?
@@ -30,6 +30,14 @@ def test_strip_chrome_on_regular_and_irregular_pages(spark):
     assert strip_chrome(once).orderBy("page_id").collect() == once.orderBy("page_id").collect()
 
 
+def test_both_ways_agree_on_regular_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html")
+    pages = pages.withColumn("html", F.concat(F.lit("<header>h</header>"), F.col("html")))
+    both = strip_chrome(pages).join(pages.select("page_id", _chrome_repair()("html").alias("other")), "page_id")
+    assert both.count() == pages.count()
+    assert both.where("html <> other or html like '%<footer%' or html like '%<header%'").count() == 0
+
+
 def test_null_page_stays_null(spark):
     df = spark.createDataFrame([(1, None)], "page_id int, html string")
     assert strip_chrome(df).first().html is None
