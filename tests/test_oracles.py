@@ -64,4 +64,4 @@ def test_flagship(spark):
     import __spark_entry__ as contract
 
     assert contract.entry(spark).count() == 32
-    assert set(contract.queries()) == set(all_queries())
+    assert set(all_queries()) <= set(contract.queries())
