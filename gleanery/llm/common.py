@@ -32,7 +32,7 @@ def doc_key(docs: DataFrame) -> list[Column]:
     """
     return [
         F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST_ID)).alias("d"),
-        F.xxhash64(docs["text"]).alias("tie"),
+        F.shiftright(F.xxhash64(docs["text"]), 32).cast("int").alias("tie"),
         text_bytes(docs["text"]).alias("body"),
     ]
 

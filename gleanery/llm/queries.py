@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gleanery.llm import pieces, tokens
+from gleanery.llm import pieces, quality, shards, simhash, substring, suffixes, tokens, urlgraph
 from gleanery.queries.tables import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    result = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return result.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pieces.digests(pieces.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model")))
@@ -18,9 +24,37 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.place(table(spark, sf_dir, "documents"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlgraph.judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    result = suffixes.remove_shared_bytes(table(spark, sf_dir, "documents"))
+    return result.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    result = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return result.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
+
+
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_sentencepiece": op2_sentencepiece,
     "op4_token_counts": op4_token_counts,
+    "op5_hilbert_shards": op5_hilbert_shards,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_url_filters": op7_url_filters,
+    "op8_suffix_array": op8_suffix_array,
+    "op9_simhash": op9_simhash,
 }
 
 ORACLES: dict[str, str] = {}

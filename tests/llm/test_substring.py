@@ -1,0 +1,75 @@
+import hashlib
+import random
+
+import pytest
+
+from gleanery.llm.substring import remove_repeats
+
+SCHEMA = "doc_id long, text string, kept string, spans string"
+
+
+def expected(rows, k):
+    """Brute force: where every window starts first. Rows are one document each, ids unique."""
+    docs = sorted((2**63 if i is None else i, (t or "").encode().split()) for i, t in rows)
+    first = {}
+    for d, words in docs:
+        for s in range(len(words) - k + 1):
+            first.setdefault(tuple(words[s : s + k]), (d, s))
+    out = []
+    for d, words in docs:
+        gone = [False] * len(words)
+        for s in range(len(words) - k + 1):
+            if first[tuple(words[s : s + k])] != (d, s):
+                gone[s : s + k] = [True] * k
+        kept = b" ".join(w for w, g in zip(words, gone, strict=True) if not g).decode()
+        out.append((None if d == 2**63 else d, kept, len(words), sum(gone)))
+    return sorted(out, key=repr)
+
+
+def sample(seed):
+    rng = random.Random(seed)
+    words = ["".join(rng.choices("abcdé\xa0", k=rng.randrange(1, 5))) for _ in range(40)]
+    passage = lambda n: " ".join(rng.choices(words, k=n))
+    shared = [passage(60) for _ in range(4)]
+    rows = [
+        (i, passage(rng.randrange(50)) + "\t\n" + " ".join(rng.choice(shared).split(" ")[rng.randrange(30) :]) + "  " + passage(9))
+        for i in range(50)
+    ]
+    rows += [(100 + i, rows[i][1]) for i in range(8)]
+    rows += [(200, "a " * 300), (201, "a " * 100), (202, "a b " * 90), (203, (shared[0] + " ") * 5)]
+    return rows + [(204, None), (205, ""), (206, "a few words"), (207, " \x0b\x0c "), (None, shared[1] + " tail")]
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_equals_brute_force(spark, monkeypatch, hot):
+    rows = sample(7)
+    if hot:
+        monkeypatch.setattr("gleanery.llm.windows.HOT_BYTES", 1000)
+        head = " ".join(rows[0][1].split()[-40:-5])
+        rows += [(1000 + i, " ".join(f"w{i}x{j}" for j in range(30)) + " " + head + f" end{i}") for i in range(150)]
+    frame = spark.createDataFrame([(i, t, "clash", "clash") for i, t in rows], SCHEMA).repartition(5)
+    got = sorted((tuple(r) for r in remove_repeats(frame).collect()), key=repr)
+    assert got == expected(rows, 20)
+
+
+def test_repeated_rows_are_one_document(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text), (1, text), (2, text), (2, text + " more")]
+    got = remove_repeats(spark.createDataFrame([(i, t, "", "") for i, t in rows], SCHEMA)).collect()
+    removed = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in got)
+    assert removed == [(1, 30, 0), (1, 30, 0), (2, 30, 30), (2, 31, 30)]
+
+
+def test_no_rows_and_bad_parameters(spark):
+    assert remove_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
+    with pytest.raises(ValueError):
+        remove_repeats(spark.createDataFrame([], SCHEMA), 3, 4)
+
+
+def test_query_over_all_documents(spark):
+    from gleanery.llm.queries import op1_substring_dedup
+
+    folder = "/root/testdata/sf0.001"
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    want = {(i, n, gone, hashlib.sha256(kept.encode()).hexdigest()) for i, kept, n, gone in expected(rows, 20)}
+    assert {tuple(r) for r in op1_substring_dedup(spark, folder).collect()} == want
