@@ -13,11 +13,18 @@ from pyspark.sql import functions as F
 LAST_ID = 2**63 - 1  # where a null doc_id sorts
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """At most so many rows in an Arrow batch: whole texts travel, and some are very long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) != rows:
-        spark.conf.set(key, str(rows))
+# Shuffle files go once the table they led to is written; Arrow batches stay small, as whole texts travel.
+_SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
+}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Settings of operators that move whole texts, some of them very long."""
+    for key, value in _SETTINGS.items():
+        if spark.conf.get(key) != value:
+            spark.conf.set(key, value)
 
 
 def text_bytes(text: str | Column = "text") -> Column:

@@ -15,10 +15,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import pieces_of, ranges, small_batches, text_bytes, words_of
+from gleanery.llm.common import doc_key, pieces_of, small_batches, words_of
 from gleanery.session import written
 
 SHINGLE = 4
@@ -48,19 +48,18 @@ def fingerprint(body: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``doc_id, fp``: the fingerprint of each row as the 64 bits of a long."""
+    """``doc_id, d, tie, fp``: the fingerprint of each row as the 64 bits of a long."""
     small_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces_of(batch, _SLICE):
-                found = [fingerprint(b, shingle, seed) for b in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], ["doc_id", "fp"]
-                )
+                found = [fingerprint(b, shingle, seed) for b in part.column("body").to_pylist()]
+                prints = pa.array(np.array(found, np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], prints], ["doc_id", "d", "tie", "fp"])
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_bytes(docs["text"]).alias("body"))
-    return rows.mapInArrow(work, "doc_id long, fp long")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), *doc_key(docs))
+    return rows.mapInArrow(work, "doc_id long, d long, tie int, fp long")
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
@@ -248,16 +247,36 @@ def near_duplicates(
     """
     if not 1 <= distance <= 15:
         raise ValueError("a distance of 1 to 15 bits")
+    marked, rooted = _rooted(docs, shingle, seed, distance)
+    ids = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = rooted.join(ids, "root").select("fp", "component_id")
+    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def _rooted(docs: DataFrame, shingle: int, seed: int, distance: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with their fingerprints; each fingerprint with its first row and its component's root."""
     marked = written(fingerprints(docs, shingle, seed), "fingerprints")
-    classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    first = marked.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("d", "tie")).alias("first"))
+    classes = written(first, "classes")
     roots = components(links(classes, distance))
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
+        "fp", "doc_id", "first", F.coalesce("root", "fp").alias("root")
     )
-    rooted = written(rooted, "roots")
-    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    return marked, written(rooted, "roots")
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, distance: int = DISTANCE) -> DataFrame:
+    """One row of each component, with all columns: the one with the smallest doc_id, null ids last.
+
+    Of rows that share that id the text's hash decides, of repeated rows any one stays.
+    """
+    _, rooted = _rooted(docs, shingle, seed, distance)
+    kept = written(rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.d", "first.tie"), "kept")
+    d, tie, _ = doc_key(docs)
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), d, tie)
+    rows = keyed.join(kept, ["d", "tie"], "left_semi")
+    number = F.row_number().over(Window.partitionBy("d", "tie").orderBy(F.lit(0)))
+    return rows.withColumn("n", number).where("n = 1").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def hex_digits(fp: str = "fp") -> Column:

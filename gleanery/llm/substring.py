@@ -109,4 +109,4 @@ def remove_repeats(docs: DataFrame, k: int = WORDS, m: int = GRAM) -> DataFrame:
                     ["doc_id", "kept", "n_words", "n_removed"],
                 )
 
-    return with_spans(docs, spans).mapInArrow(keep, "doc_id long, kept string, n_words long, n_removed long")
+    return with_spans(docs, spans).drop("rest").mapInArrow(keep, "doc_id long, kept string, n_words long, n_removed long")

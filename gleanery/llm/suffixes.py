@@ -17,6 +17,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from gleanery.llm.common import mixed, pieces_of, ranges
 from gleanery.llm.windows import (
@@ -34,7 +35,7 @@ from gleanery.llm.windows import (
 BYTES = 50  # bytes of a window
 GRAM = 12  # bytes of the grams that choose a bucket
 ANCHOR = 32  # bytes of the grams that strings of one suffix array share
-_SLICE = 3 << 20
+_SLICE = 3 << 19
 _PLACES = 24  # bits of a position within the strings of a bucket
 _SALTED = mixed(np.arange(256, dtype=np.uint64) + np.uint64(1))
 
@@ -262,20 +263,21 @@ def _settled(held: Bucket, kept: np.ndarray, k: int, anchor: int) -> Iterator[tu
 
 
 def remove_shared_bytes(docs: DataFrame, k: int = BYTES, m: int = GRAM, anchor: int = ANCHOR) -> DataFrame:
-    """``doc_id, kept binary, n_bytes, n_removed, n_spans``: one row per row of ``docs``.
+    """``doc_id, kept binary, n_bytes, n_removed, n_spans, rest``: one row per row of ``docs``.
 
     Texts are UTF-8 bytes. A byte goes if it is covered by a string of ``k`` bytes
     that also starts in a document with a smaller doc_id; strings never cross
     documents and are judged on the input. ``kept`` are the other bytes (a cut may
-    fall inside a character), ``n_spans`` the maximal runs removed. A null, empty
-    or short text loses nothing. Null doc_ids come last in the order and count as
-    one id. Rows that share a doc_id never remove from each other, and repeated
-    rows all get the same result. Other columns of ``docs`` are ignored.
+    fall inside a character), ``n_spans`` the maximal runs removed, ``rest`` a
+    struct of the other columns of ``docs``. A null, empty or short text loses
+    nothing. Null doc_ids come last in the order and count as one id. Rows that
+    share a doc_id never remove from each other, and repeated rows all get the
+    same result.
     """
     if not 1 <= m <= anchor <= k:
         raise ValueError("grams are at most as long as anchors, anchors as windows")
     scheme = Scheme(read_bytes, k, m, within=False, spread=(k + (k - m) / 2) / ((k - m + 2) / 2), slice_bytes=_SLICE)
-    spans = removals(docs, scheme, partial(shared_windows, k=k, anchor=anchor))
+    joined = with_spans(docs, removals(docs, scheme, partial(shared_windows, k=k, anchor=anchor)))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,10 +293,29 @@ def remove_shared_bytes(docs: DataFrame, k: int = BYTES, m: int = GRAM, anchor:
                     kept.append(body)
                     removed.append(sizes[-1] - len(body))
                     runs.append(count)
+                numbers = [pa.array(x, pa.int64()) for x in (sizes, removed, runs)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, removed, runs))],
-                    ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"],
+                    [part.column("doc_id"), pa.array(kept, pa.binary()), *numbers, part.column("rest")],
+                    ["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "rest"],
                 )
 
-    schema = "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long"
-    return with_spans(docs, spans).mapInArrow(keep, schema)
+    rest = joined.schema["rest"].dataType.simpleString()
+    schema = f"doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, rest {rest}"
+    return joined.mapInArrow(keep, schema)
+
+
+def cut_text(docs: DataFrame, k: int = BYTES, m: int = GRAM, anchor: int = ANCHOR) -> DataFrame:
+    """``docs`` with all their columns, ``text`` without what was removed; a null text becomes an empty one.
+
+    What a cut leaves of a character is left out as well.
+    """
+    cut = remove_shared_bytes(docs, k, m, anchor)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [b.decode(errors="ignore") for b in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(1)], ["text", "rest"])
+
+    rest = cut.schema["rest"].dataType
+    named = cut.select("kept", "rest").mapInArrow(decode, f"text string, rest {rest.simpleString()}")
+    return named.select(*["text" if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns])

@@ -9,6 +9,8 @@ travel one by one, by the hash of the whole window.
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -20,15 +22,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import doc_key, mixed, pieces_of, ranges, small_batches
+from gleanery.session import written
 
 _U = np.uint64
 _STEP = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 _BACK = pow(_STEP, -1, 2**64)
 BUCKET_BYTES = 8 << 20  # packed bytes a bucket holds on average
+PART_BYTES = 3 << 19  # of which so many are worked on at a time
 HOT_BYTES = 1 << 20  # packed bytes of one minimiser beyond which its windows travel alone
 MOST_HOT = 200_000  # minimisers that are looked up as hot, at most
 
 
+_FLUSH = 16 << 20  # packed bytes a task gathers before it compresses them by bucket
+
+
 @dataclass(frozen=True)
 class Scheme:
     """``read`` turns documents into token hashes; windows hold ``k`` tokens, grams ``m``."""
@@ -75,7 +82,7 @@ def _powers(n: int, step: int) -> np.ndarray:
 
 
 def powers(n: int, step: int) -> np.ndarray:
-    size = 1 << max(16, int(n).bit_length())
+    size = 1 << max(16, (int(n) - 1).bit_length())
     return _powers(size, step)[:n]
 
 
@@ -191,14 +198,19 @@ _FIELDS = (("d", np.int64), ("tie", np.int32), ("start", np.int32), ("windows",
            ("size", np.int32), ("again", np.uint8))
 
 
-def _pack(fields: dict[str, np.ndarray], data: bytes) -> bytes:
+_NAMES = tuple(name for name, _ in _FIELDS)
+
+
+def _pack(parts: list[tuple[dict[str, np.ndarray], bytes]]) -> bytes:
+    fields = {name: np.concatenate([f[name] for f, _ in parts]) for name in _NAMES}
     n = len(fields["d"])
-    fields = fields | {"d": np.diff(fields["d"], prepend=0)}
-    raw = b"".join(_planes(fields[name].astype(kind)) for name, kind in _FIELDS)
-    return zstandard.ZstdCompressor(level=3).compress(n.to_bytes(4, "little") + raw + data)
+    fields["d"] = np.diff(fields["d"], prepend=0)
+    raw = b"".join(_planes(fields[name]) for name in _NAMES)
+    data = b"".join(x for _, x in parts)
+    return zstandard.ZstdCompressor(level=6).compress(n.to_bytes(4, "little") + raw + data)
 
 
-def _unpack(payload: bytes) -> tuple[dict[str, np.ndarray], np.ndarray]:
+def _unpack(payload: bytes) -> tuple[dict[str, np.ndarray], bytes]:
     raw = memoryview(zstandard.ZstdDecompressor().decompress(payload))
     n, at, fields = int.from_bytes(raw[:4], "little"), 4, {}
     for name, kind in _FIELDS:
@@ -206,7 +218,7 @@ def _unpack(payload: bytes) -> tuple[dict[str, np.ndarray], np.ndarray]:
         fields[name] = _unplanes(raw[at : at + width], kind, n)
         at += width
     fields["d"] = np.cumsum(fields["d"])
-    return fields, np.frombuffer(raw[at:], np.uint8)
+    return fields, bytes(raw[at:])
 
 
 @dataclass
@@ -224,14 +236,22 @@ class Bucket:
     data: np.ndarray
 
     @classmethod
-    def of(cls, payloads: list[bytes]) -> Bucket:
-        parts = [_unpack(p) for p in payloads]
-        fields = {name: np.concatenate([f[name] for f, _ in parts]) for name, _ in _FIELDS}
-        data = np.concatenate([x for _, x in parts])
-        size = fields["size"].astype(np.int64)
-        fields["at"] = np.cumsum(size) - size
-        order = np.lexsort((fields["start"], fields["tie"], fields["d"]))
-        return cls(**{k: v[order] for k, v in (fields | {"size": size}).items()}, data=data)
+    def parts(cls, payloads: list[bytes]) -> Iterator[Bucket]:
+        """The bucket in parts of bounded size, no minimiser in two of them."""
+        unpacked = [_unpack(p) for p in payloads]
+        fields = {name: np.concatenate([f[name] for f, _ in unpacked]) for name in _NAMES}
+        raw = b"".join(x for _, x in unpacked)
+        del unpacked, payloads
+        ends = np.cumsum(fields["size"], dtype=np.int64)
+        count = max(1, math.ceil(len(raw) / PART_BYTES))
+        part = fields["low"] % np.uint32(count)
+        for i in range(count):
+            rows = np.flatnonzero(part == i)
+            rows = rows[np.lexsort((fields["start"][rows], fields["tie"][rows], fields["d"][rows]))]
+            size = fields["size"][rows].astype(np.int64)
+            strings = [raw[e - n : e] for e, n in zip(ends[rows].tolist(), size.tolist(), strict=True)]
+            own = {name: values[rows] for name, values in fields.items()} | {"size": size}
+            yield cls(**own, at=np.cumsum(size) - size, data=np.frombuffer(b"".join(strings), np.uint8))
 
     def string(self, i: int) -> bytes:
         return self.data[self.at[i] : self.at[i] + self.size[i]].tobytes()
@@ -280,20 +300,17 @@ def hot_minimisers(keyed: DataFrame, scheme: Scheme, packed_bytes: int) -> np.nd
             low = runs_of(part, scheme.k, scheme.m)[0].low
             total += len(low)
             waiting.append(low)
-            if sum(map(len, waiting)) > 2_000_000:
+            if sum(map(len, waiting)) > 500_000:
                 merge()
         merge()
-        yield pa.RecordBatch.from_pydict(
-            {"low": pa.array(seen.view(np.int64)), "n": pa.array(times), "total": pa.array(np.full(len(seen), total))}
-        )
-        yield pa.RecordBatch.from_pydict(
-            {"low": pa.array([None], pa.int64()), "n": pa.array([total]), "total": pa.array([total])}
-        )
+        lows = pa.array([*seen.view(np.int64).tolist(), None], pa.int64())
+        yield pa.RecordBatch.from_pydict({"low": lows, "n": pa.array([*times.tolist(), total], pa.int64())})
 
-    counted = keyed.mapInArrow(count, "low long, n long, total long").groupBy("low").agg(F.sum("n").alias("n"))
+    counted = keyed.mapInArrow(count, "low long, n long").groupBy("low").agg(F.sum("n").alias("n"))
+    counted = written(counted, "hot")
     total = counted.where("low is null").agg(F.sum("n")).collect()[0][0] or 0  # one number
     # Sums may miss half of what a hot minimiser has: half the share is enough. At most 2 * share rows.
-    rows = counted.where("low is not null").where(F.col("n") * (2 * share) >= total).where("n > 64")
+    rows = counted.where("low is not null and n > 64").where(F.col("n") * (2 * share) >= total)
     rows = rows.where(F.col("n") * F.lit(packed_bytes) >= F.lit(HOT_BYTES / 2) * total)
     return np.sort(np.array([r[0] for r in rows.select("low").collect()], np.int64).view(np.uint64))
 
@@ -318,6 +335,8 @@ def removals(
     k, m, within = scheme.k, scheme.m, scheme.within
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[int, list] = defaultdict(list)
+        held = 0
         for d, tie, part in _slices(scheme, batches):
             runs, grams = runs_of(part, k, m)
             runs = _alone(part, runs, k, hot.value)
@@ -349,39 +368,50 @@ def removals(
                 "d": d[runs.doc], "tie": tie[runs.doc], "start": local, "windows": runs.windows,
                 "low": (runs.low >> _U(40)).astype(np.uint32), "size": size, "again": again,
             }
-            fields = {name: values[order] for name, values in fields.items()}
-            bucket = bucket[order]
-            edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
-            data = part.data[ranges(at[order], size[order])].tobytes()
-            ends = np.append(0, np.cumsum(size[order]))
-            payloads = [
-                _pack({name: v[a:b] for name, v in fields.items()}, data[ends[a] : ends[b]])
-                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
-            ]
-            yield pa.RecordBatch.from_pydict(
-                {"bucket": pa.array(bucket[edges[:-1]]), "payload": pa.array(payloads, pa.binary())}
-            )
+            fields = {name: values[order].astype(kind) for (name, kind), values in zip(_FIELDS, map(fields.get, _NAMES), strict=True)}
+            edges = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(bucket))
+            raw = part.data.tobytes()
+            strings = [raw[x : x + n] for x, n in zip(at[order].tolist(), size[order].tolist(), strict=True)]
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                waiting[int(bucket[order[a]])].append(
+                    ({name: v[a:b] for name, v in fields.items()}, b"".join(strings[a:b]))
+                )
+            held += int(size.sum()) + 20 * len(size)
+            if held > _FLUSH:
+                yield flush(waiting)
+                held = 0
+        if waiting:
+            yield flush(waiting)
+
+    def flush(waiting: dict[int, list]) -> pa.RecordBatch:
+        payloads = [_pack(parts) for parts in waiting.values()]
+        out = pa.RecordBatch.from_pydict(
+            {"bucket": pa.array(list(waiting), pa.int64()), "payload": pa.array(payloads, pa.binary())}
+        )
+        waiting.clear()
+        return out
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for payloads in _by_bucket(batches):
-            held = Bucket.of(payloads)
-            passed = np.flatnonzero(held.size == 0)
-            rows, offsets, counts = decide(held)
-            rows = np.concatenate([passed, rows])
-            offsets = np.concatenate([np.zeros(len(passed), np.int64), offsets])
-            counts = np.concatenate([held.windows[passed], counts])
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "d": pa.array(held.d[rows]),
-                    "tie": pa.array(held.tie[rows]),
-                    "start": pa.array((held.start[rows] + offsets).astype(np.int64)),
-                    "length": pa.array((counts + k - 1).astype(np.int64)),
-                }
-            )
+            for held in Bucket.parts(payloads):
+                passed = np.flatnonzero(held.size == 0)
+                rows, offsets, counts = decide(held)
+                rows = np.concatenate([passed, rows])
+                offsets = np.concatenate([np.zeros(len(passed), np.int64), offsets])
+                counts = np.concatenate([held.windows[passed], counts])
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "d": pa.array(held.d[rows]),
+                        "tie": pa.array(held.tie[rows]),
+                        "start": pa.array((held.start[rows] + offsets).astype(np.int64)),
+                        "length": pa.array((counts + k - 1).astype(np.int64)),
+                    }
+                )
 
     sent = keyed.mapInArrow(send, "bucket long, payload binary")
     met = sent.repartition("bucket").sortWithinPartitions("bucket")
-    return met.mapInArrow(settle, "d long, tie int, start long, length long")
+    # Written, as what travelled can then go: the texts are shuffled next.
+    return written(met.mapInArrow(settle, "d long, tie int, start long, length long"), "spans")
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
@@ -415,10 +445,13 @@ def covered(n: int, starts: list[int], lengths: list[int]) -> np.ndarray:
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``doc_id, body, starts, lengths``: each row of ``docs`` with its spans (null: none)."""
-    d, tie, body = doc_key(docs)
-    left = docs.select(docs["doc_id"].cast("long").alias("doc_id"), d, tie, body)
+    """``doc_id, body, starts, lengths, rest``: each row of ``docs`` with its spans (null: none).
+
+    ``rest`` holds the columns of the row besides the text.
+    """
+    rest = [docs[c] for c in docs.columns if c != "text"]
+    left = docs.select(docs["doc_id"].cast("long").alias("doc_id"), *doc_key(docs), F.struct(*rest).alias("rest"))
     right = spans.groupBy("d", "tie").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
     return left.join(right, ["d", "tie"], "left").select(
-        "doc_id", "body", F.col("spans.start").alias("starts"), F.col("spans.length").alias("lengths")
+        "doc_id", "body", F.col("spans.start").alias("starts"), F.col("spans.length").alias("lengths"), "rest"
     )

@@ -61,10 +61,8 @@ def test_rules_hosts_and_paths(spark):
         host, path = parts(urls[r["page_id"]])
         rule, verdict = by_rule(host, path)
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
-        if verdict:
-            assert r["verdict"] == verdict
-        else:
-            assert r["verdict"] == "allow"
+        # A page of evil.net without a path fits no rule, but its host is a seed of distrust.
+        assert r["verdict"] == (verdict or ("block" if host == "evil.net" else "allow"))
 
 
 def test_distrust_flows_backwards_and_trust_answers(spark):
@@ -83,9 +81,9 @@ def test_scores_equal_power_iteration(spark):
     edges = [("a", "b", 0.5), ("a", "c", 0.5), ("b", "c", 1.0), ("c", "a", 1.0), ("d", "a", 1.0)]
     seeds = {"a": 1.0, "b": 0.0, "d": 0.25}
     frame = spark.createDataFrame(edges, "src string, dst string, share double")
-    got = spread(spark.createDataFrame(list(seeds.items()), "host string, weight double"), frame, rounds=200)
+    got = spread(spark.createDataFrame(list(seeds.items()), "host string, weight double"), frame, rounds=25)
     scores = dict(seeds)
-    for _ in range(300):
+    for _ in range(25):
         scores = {
             h: seeds.get(h, 0.0) + 0.85 * sum(scores.get(s, 0) * w for s, d, w in edges if d == h) for h in "abcd"
         }
