@@ -290,4 +290,4 @@ def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     leaked = written(contaminated(docs, items).select(F.col("doc_id").alias("_leaked")).distinct(), "leaked")
     if leaked.count() <= BROADCAST_IDS:  # counted: the texts then stay where they are
         leaked = F.broadcast(leaked)
-    return docs.join(leaked, docs["doc_id"].cast("long").eqNullSafe(F.col("_leaked")), "left_anti")
+    return docs.join(leaked, docs["doc_id"].cast("long").eqNullSafe(leaked["_leaked"]), "left_anti")

@@ -112,11 +112,12 @@ def encode_decode(docs: DataFrame, path: str, table_size: int = TABLE_SIZE) -> D
     return rows.mapInArrow(code, "doc_id long, ids array<int>, decoded string")
 
 
-def digests(coded: DataFrame) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of encoded documents."""
+def digests(coded: DataFrame, *carried: str) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of encoded documents, and the columns named."""
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *carried,
     )

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import pieces, quality, shards, simhash, substring, suffixes, tokens, urlgraph
+from gleanery.llm import benchmark, pieces, quality, shards, simhash, substring, suffixes, tokens, toxicity, urlgraph
 from gleanery.queries.tables import table
 
 
@@ -20,6 +20,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -46,15 +50,21 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
     "op5_hilbert_shards": op5_hilbert_shards,
     "op6_quality_rules": op6_quality_rules,
     "op7_url_filters": op7_url_filters,
     "op8_suffix_array": op8_suffix_array,
     "op9_simhash": op9_simhash,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
 ORACLES: dict[str, str] = {}
