@@ -14,7 +14,10 @@ CHROME_TAGS = ("header", "footer")
 PAGINATION_CLASS = "woocommerce-pagination"
 
 # Text patterns.
-URL_PATTERN = r"http[s]?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\\(\\),]|(?:%[0-9a-fA-F][0-9a-fA-F]))+"
+# The alternatives of http[s]?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\\(\\),]|(?:%[0-9a-fA-F][0-9a-fA-F]))+ as one
+# class: all but the last are single characters and "$-_" has the percent sign. A repeated choice would
+# take one level of the stack for each character of a URL.
+URL_PATTERN = r"http[s]?://[a-zA-Z0-9$-_@.&+!*\\(\\),]+"
 FENCE_PATTERN = r"(?s)```json\n(.*?)\n```"
 RETRY_PATTERN = r"Please try again in ([\d\.]+)s"
 RATE_LIMIT_MARK = "rate_limit_exceeded"
@@ -27,7 +30,6 @@ TOKENS_PER_DAY = 500000
 TOKEN_CUT = 120000
 SIMILARITY_THRESHOLD = 0.8
 MAPPING_SAMPLE = 3
-REPORT_SAMPLE = 10
 PREVIEW_ROWS = 25
 
 # Cleaned columns.

@@ -7,23 +7,34 @@ from pyspark.sql import functions as F
 
 from gleanery.functions.naming import let
 
-_END = "end of text"
+# A number JSON does not have, where a value may stand.
+_NON_NUMBER = r"(?<=[:\[,\s])-?(?:NaN|Infinity)(?=\s*[,\]}])"
 
 
 def framed_json(text: Column) -> Column:
-    """The text parsed as the first of two array elements.
+    """The text parsed as the first of two array elements, and the second: ``doc, mark``.
 
     ``try_parse_json`` stops after the first value and ignores what follows.
     Inside an array the text must be one whole value for the second element to
-    be found where it belongs; ``unframed`` looks for it.
+    be found where it belongs; ``unframed`` looks for it. That element is a digest
+    of the text, which no text holds of itself. Texts that fail are tried once
+    more with NaN and infinities as null.
     """
-    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
+
+    def parsed(mark: Column) -> Column:
+        def framed(body: Column) -> Column:
+            return F.try_parse_json(F.concat(F.lit("["), body, F.lit(',"'), mark, F.lit('"]')))
+
+        odd = F.when(F.rlike(text, F.lit(_NON_NUMBER)), framed(F.regexp_replace(text, _NON_NUMBER, "null")))
+        return F.struct(F.coalesce(framed(text), odd).alias("doc"), mark.alias("mark"))
+
+    return let(F.md5(text), parsed)
 
 
 def unframed(framed: Column, path: str = "", kind: str = "variant") -> Column:
     """A path of the framed value; null when the text was not exactly one JSON value."""
-    whole = F.try_variant_get(framed, "$[1]", "string") == _END
-    return F.when(whole, F.try_variant_get(framed, f"$[0]{path}", kind))
+    whole = F.try_variant_get(framed["doc"], "$[1]", "string") == framed["mark"]
+    return F.when(whole, F.try_variant_get(framed["doc"], f"$[0]{path}", kind))
 
 
 def parse_json_text(text: Column) -> Column:

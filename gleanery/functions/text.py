@@ -71,14 +71,22 @@ def unescape_entities(text: Column) -> Column:
     before the long table.
     """
     table = _entity_table()
-    reference = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+    reference = r"^(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
 
     def number(name: Column) -> Column:
         is_hex = F.lower(F.substring(name, 2, 1)) == "x"
-        return F.when(is_hex, F.conv(F.substring(name, 3, 6), 16, 10)).otherwise(F.substring(name, 2, 7)).try_cast("bigint")
+
+        def value_of(digits: Column) -> Column:
+            n = F.when(is_hex, F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
+            return F.when(digits == "", F.lit(0).cast("bigint")).when(F.length(digits) > 8, F.lit(1 << 32)).otherwise(n)
+
+        written = F.substr(name, F.when(is_hex, F.lit(3)).otherwise(F.lit(2)))
+        return let(F.regexp_replace(written, "^0+", ""), value_of)
 
     def numeric(n: Column) -> Column:
-        return F.coalesce(F.try_element_at(table, F.concat(F.lit("#"), n.cast("string"))), _code_point(n))
+        listed = (n == 0) | n.between(128, 159)  # the only numbers in the table
+        named = F.when(listed, F.try_element_at(table, F.concat(F.lit("#"), n.cast("string"))))
+        return F.coalesce(named, _code_point(n))
 
     def value(name: Column) -> Column:
         return (

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleanery.functions import fixed
 from gleanery.functions.prices import clean_price, price_rejected
@@ -24,10 +25,20 @@ def clean_columns(
 ) -> DataFrame:
     """Clean the price column and the URL columns that exist; the others stay."""
     cleaned = {price: clean_price(named(price))} if price in table.columns else {}
-    cleaned.update({u: clean_url(named(u)) for u in urls if u in table.columns})
+    cleaned.update({u: _clean_urls(table, u) for u in urls if u in table.columns})
     return table.withColumns(cleaned) if cleaned else table
 
 
+def _clean_urls(table: DataFrame, name: str) -> Column:
+    """Text and lists of text are cleaned; a column of another type holds no URL and stays."""
+    kind = table.schema[name].dataType
+    if isinstance(kind, T.StringType):
+        return clean_url(named(name))
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
+        return F.transform(named(name), clean_url)
+    return named(name)
+
+
 def price_rejects(table: DataFrame, price: str = fixed.PRICE_COLUMN) -> DataFrame:
     """How many prices are present, and how many of them cannot be read."""
     return table.agg(
@@ -68,19 +79,27 @@ def unify_columns(table: DataFrame, mapping: Mapping) -> DataFrame:
     The new column takes the first non-null old value in mapping order; old
     columns go, except one that has the new name. Absent columns are ignored.
     """
+    held = {f.name: (named(f.name), f.dataType) for f in table.schema}
     for new, olds in mapping:
-        present = [o for o in dict.fromkeys(olds) if o in table.columns]
+        present = [o for o in dict.fromkeys(olds) if o in held]
         if not present:
             continue
-        types = {table.schema[o].dataType for o in present}
-        values = [named(o) if len(types) == 1 else _as_text(table, o) for o in present]
-        table = table.withColumn(new, F.coalesce(*values)).drop(*[named(o) for o in present if o != new])
-    return table
-
-
-def _as_text(table: DataFrame, name: str) -> Column:
-    nested = table.schema[name].dataType.typeName() in ("array", "struct", "map", "variant")
-    return F.to_json(named(name)) if nested else named(name).cast("string")
+        types = [held[o][1] for o in present]
+        same = all(t == types[0] for t in types)
+        values = [held[o][0] if same else _as_text(*held[o]) for o in present]
+        folded = (F.coalesce(*values), types[0] if same else T.StringType())
+        if new in held:
+            held[new] = folded
+        for o in present:
+            if o != new:
+                del held[o]
+        held[new] = folded
+    return table.select(*[value.alias(name) for name, (value, _) in held.items()])
+
+
+def _as_text(value: Column, kind: T.DataType) -> Column:
+    nested = kind.typeName() in ("array", "struct", "map", "variant")
+    return F.to_json(value) if nested else value.cast("string")
 
 
 def has_rows(table: DataFrame, name: str) -> DataFrame:

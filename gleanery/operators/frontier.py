@@ -9,6 +9,7 @@ from gleanery import session
 from gleanery.operators.ordering import number_rows
 from gleanery.session import scratch_path, sized, written
 
+
 def crawl_frontier(
     seeds: DataFrame, links: DataFrame, max_depth: int | None = None, ordered: bool = False
 ) -> DataFrame:
@@ -95,5 +96,5 @@ def first_page(pages: DataFrame, order: list[str]) -> DataFrame:
     """
     key = pages.select(F.min(F.struct(*order)).alias("key"))
     for name in order:
-        pages = pages.where(F.col(name) == key.select(F.col("key")[name]).scalar())
+        pages = pages.where(F.col(name).eqNullSafe(key.select(F.col("key")[name]).scalar()))
     return pages

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -188,7 +189,7 @@ def _cell_type(found: T.DataType) -> T.DataType:
     return found
 
 
-def _at(record: Column, path: tuple[str, ...], kind: str = "variant") -> Column:
+def value_at(record: Column, path: tuple[str, ...], kind: str = "variant") -> Column:
     """The value at a key path. Keys a path text cannot quote are looked up one by one."""
     value, steps = record, "$"
     for key in path:
@@ -227,7 +228,7 @@ def discover_columns(records: DataFrame, record: str = "record") -> list[FlatCol
             level, pending = pending, []
             looks = []
             for i, path in enumerate(level):
-                value = _at(F.col(record), path)
+                value = value_at(F.col(record), path)
                 looks.append(F.schema_of_variant_agg(F.when(is_kind(value, "OBJECT"), value)).alias(f"o{i}"))
                 looks.append(F.schema_of_variant_agg(F.when(~is_kind(value, "OBJECT"), value)).alias(f"s{i}"))
             seen = records.agg(*looks).first()
@@ -244,7 +245,7 @@ def discover_columns(records: DataFrame, record: str = "record") -> list[FlatCol
 def _read(record: Column, column: FlatColumn) -> Column:
     kind = column.type.simpleString()
     if not (column.mixed or column.as_json):
-        return _at(record, column.path, kind)
+        return value_at(record, column.path, kind)
 
     def shown(value: Column) -> Column:
         cell = F.try_variant_get(value, "$", kind)
@@ -252,7 +253,7 @@ def _read(record: Column, column: FlatColumn) -> Column:
             cell = F.when(is_kind(value, "STRING"), cell).when(~is_kind(value, "VOID"), F.to_json(value))
         return F.when(~is_kind(value, "OBJECT"), cell) if column.mixed else cell
 
-    return let(_at(record, column.path), shown)
+    return let(value_at(record, column.path), shown)
 
 
 def normalize_records(
@@ -262,7 +263,10 @@ def normalize_records(
 
     Arrays stay one cell: typed for plain elements, JSON text otherwise. Without
     ``columns`` the records are read more than once, first to find them; they
-    are written for that, parsed, so that no pass goes back to the documents.
+    are written for that, parsed, so that no pass goes back to the documents. A
+    carried column whose name is also a path gets underscores in front; of paths
+    that differ in case only, the later ones get a number unless the session
+    tells names apart by case.
     """
     if columns is None:
         records = written(records, "records")
@@ -272,14 +276,29 @@ def normalize_records(
         by_name.setdefault(column.name, []).append(column)
     keep = [c for c in records.columns if c != record]
     sensitive = records.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
-    names = [n if sensitive else n.lower() for n in [*keep, *by_name]]
-    if len(set(names)) < len(names):
-        raise ValueError(f"column names clash (set spark.sql.caseSensitive for keys that differ in case): {sorted(names)}")
+    shown = _free_names(by_name, sensitive, lambda name, n: f"{name} ({n})")
+    carried = _free_names(keep, sensitive, lambda name, n: "_" * (n - 1) + name, set(shown.values()))
     # {"a.b": 1} and {"a": {"b": 2}} name the same column; the nested value wins.
     cells = [
-        F.coalesce(*[_read(F.col(record), c) for c in sorted(same, key=lambda c: -len(c.path))]).alias(name)
+        F.coalesce(*[_read(F.col(record), c) for c in sorted(same, key=lambda c: -len(c.path))]).alias(shown[name])
         if len(same) > 1
-        else _read(F.col(record), same[0]).alias(name)
+        else _read(F.col(record), same[0]).alias(shown[name])
         for name, same in by_name.items()
     ]
-    return records.select(*keep, *cells)
+    return records.select(*[records[name].alias(carried[name]) for name in keep], *cells)
+
+
+def _free_names(
+    names: Iterable[str], sensitive: bool, again: Callable[[str, int], str], taken: set[str] = frozenset()
+) -> dict[str, str]:
+    """A name for each that no other has; ``again`` gives the n-th attempt."""
+    used = {n if sensitive else n.lower() for n in taken}
+    result = {}
+    for name in names:
+        attempt, n = name, 1
+        while (attempt if sensitive else attempt.lower()) in used:
+            n += 1
+            attempt = again(name, n)
+        used.add(attempt if sensitive else attempt.lower())
+        result[name] = attempt
+    return result

@@ -12,8 +12,10 @@ from pyspark.sql import types as T
 
 from gleanery.functions import fixed
 from gleanery.functions.jsontext import with_json
+from gleanery.functions.naming import let
 from gleanery.functions.text import first_fence
-from gleanery.operators.listings import is_kind
+from gleanery.operators.columns import named
+from gleanery.operators.listings import is_kind, value_at
 
 
 def listing_schema(names: Sequence[str]) -> T.StructType:
@@ -59,10 +61,10 @@ def parse_replies(replies: DataFrame, record: T.StructType | None = None, reply:
 
     def missing(listing):
         absent = [
-            F.when(is_kind(F.try_variant_get(listing, f"$['{name}']", "variant"), "STRING"), 0).otherwise(1)
+            F.when(is_kind(value_at(listing, (name,)), "STRING"), 0).otherwise(1)
             for name in record.fieldNames()
         ]
-        return sum(absent[1:], absent[0])
+        return sum(absent, F.lit(0))
 
     listings = F.try_variant_get("doc", "$.listings", "array<variant>")
     count = F.aggregate(listings, F.lit(0), lambda total, listing: total + missing(listing))
@@ -78,11 +80,11 @@ def typed_listings(parsed: DataFrame, record: T.StructType, key: str = "page_id"
     rows = parsed.select(key, F.posexplode(listings).alias("pos", "_listing"))
 
     def cell(name: str):
-        value = F.try_variant_get("_listing", f"$['{name}']", "variant")
+        value = value_at(F.col("_listing"), (name,))
         return F.when(is_kind(value, "STRING"), F.try_variant_get(value, "$", "string")).alias(name)
 
     cells = rows.select(key, "pos", *[cell(name) for name in record.fieldNames()])
-    whole = [F.col(f"`{name}`").isNotNull() for name in record.fieldNames()]
+    whole = [named(name).isNotNull() for name in record.fieldNames()]
     return cells.withColumn("conforms", reduce(and_, whole, F.lit(True)))
 
 
@@ -96,15 +98,22 @@ def mapping_entries(replies: DataFrame, key: str, reply: str = "reply") -> DataF
 
     A reply that is not an object gives nothing; a single name is a list of one.
     """
-    value = F.try_element_at(F.try_variant_get("doc", "$", "map<string,variant>"), F.col("new_col"))
+    keys = F.array_distinct(F.json_object_keys(reply))  # a map has no order; of equal keys the last value counts
+    held = let(
+        F.try_variant_get("doc", "$", "map<string,variant>"),
+        lambda values: F.transform(
+            keys, lambda name: F.struct(name.alias("new_col"), F.try_element_at(values, name).alias("value"))
+        ),
+    )
+    value = F.col("entry.value")
     old_cols = F.when(is_kind(value, "STRING"), F.array(F.try_variant_get(value, "$", "string"))).otherwise(
         F.try_variant_get(value, "$", "array<string>")
     )
     return (
         with_json(replies, reply, "doc")
         .where(is_kind(F.col("doc"), "OBJECT"))
-        .select(key, "doc", F.posexplode(F.json_object_keys(reply)).alias("ord", "new_col"))
-        .select(key, "ord", "new_col", old_cols.alias("old_cols"))
+        .select(key, F.posexplode(held).alias("ord", "entry"))
+        .select(key, "ord", F.col("entry.new_col").alias("new_col"), old_cols.alias("old_cols"))
         .where(F.col("old_cols").isNotNull())
     )
 
@@ -127,9 +136,7 @@ def mapping_prompt(samples: DataFrame) -> DataFrame:
     )
 
 
-def mapping_list(entries: DataFrame, limit: int = 10_000) -> list[tuple[str, list[str]]]:
-    """One mapping for the driver: its size is bounded by the number of columns, which is checked."""
-    rows = entries.orderBy("ord").select("new_col", "old_cols").take(limit + 1)
-    if len(rows) > limit:
-        raise ValueError(f"a column mapping of more than {limit} entries")
+def mapping_list(entries: DataFrame) -> list[tuple[str, list[str]]]:
+    """One mapping for the driver, which holds the column list it is about as well."""
+    rows = entries.orderBy("ord").select("new_col", "old_cols").collect()
     return [(row.new_col, list(row.old_cols)) for row in rows]

@@ -29,7 +29,9 @@ def _costed(usage: DataFrame, prices: Mapping[str, tuple[float, float]] | DataFr
         {c: F.coalesce(F.col(c), F.lit(0).cast("bigint")) for c in ("input_tokens", "output_tokens")}
     )
     if isinstance(prices, DataFrame):
-        priced = usage.join(prices.select("model", F.col("input").alias("_in"), F.col("output").alias("_out")), "model", "left")
+        # One price per model: of several the highest counts, so that no call is counted twice.
+        known = prices.groupBy("model").agg(F.max("input").alias("_in"), F.max("output").alias("_out"))
+        priced = usage.join(known, "model", "left")
     else:
         priced = usage.withColumns({"_in": _rate(F.col("model"), prices, 0), "_out": _rate(F.col("model"), prices, 1)})
     cost = F.col("input_tokens") * F.col("_in") + F.col("output_tokens") * F.col("_out")

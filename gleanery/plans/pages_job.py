@@ -13,6 +13,7 @@ from gleanery.operators.frontier import crawl_frontier, visit_numbers
 from gleanery.operators.links import page_links
 from gleanery.operators.pages import page_markdown
 from gleanery.operators.replies import listing_schema, prompt_table
+from gleanery.sources.pages import first_seen
 
 
 def visited_pages(
@@ -36,13 +37,13 @@ def pages_job(
 ) -> DataFrame:
     """One request per visited page: ``file_no, seed_pos, depth, url, markdown, system_prompt, user_prompt``.
 
-    ``pages`` holds one row per URL (see ``first_seen``). Html never travels:
+    A URL that was fetched twice counts once, with its first page. Html never travels:
     links and Markdown are made where the page is read, and only those are
     shuffled. A page reached from several seeds is converted once; when few
     pages are reached, the others are not converted at all.
     """
     visits = visited_pages(seeds, pages, nav_class, max_depth)
-    pages = pages.select("url", "html")
+    pages = (first_seen(pages) if "page_id" in pages.columns else pages).select("url", "html")
     if visits.count() <= session.SMALL_ROWS:
         pages = pages.join(F.broadcast(visits.select("url").distinct()), "url", "left_semi")
     texts = page_markdown(pages)

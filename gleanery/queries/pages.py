@@ -56,14 +56,17 @@ def q_resolve_url(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_remove_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with their source's page address in the middle, and page addresses alone."""
+    """Documents with their source's page address in the middle, page addresses alone, and very long ones."""
     documents = table(spark, sf_dir, "documents").select(
         F.lit("document").alias("kind"),
         F.col("doc_id").alias("id"),
         F.concat(F.lit("see (https://"), F.col("source"), F.lit(".example.org/a_b?c=1#d), "), F.col("text")).alias("text"),
     )
     addresses = table(spark, sf_dir, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("url").alias("text"))
-    return documents.unionByName(addresses).select("kind", "id", remove_urls(F.col("text")).alias("text"))
+    long = addresses.select(
+        F.lit("long").alias("kind"), "id", F.concat("text", F.repeat(F.lit("/path%20a"), 600), F.lit(" end")).alias("text")
+    )
+    return documents.unionByName(addresses).unionByName(long).select("kind", "id", remove_urls(F.col("text")).alias("text"))
 
 
 def q_site_key(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -308,7 +311,8 @@ select page_id, href, case href
   else href end as resolved from h""",
     "remove_urls": r"""
 with t as (select 'document' as kind, doc_id as id, 'see (https://' || source || '.example.org/a_b?c=1#d), ' || text as text from documents
-  union all select 'page', page_id, url from pages)
+  union all select 'page', page_id, url from pages
+  union all select 'long', page_id, url || repeat('/path%20a', 600) || ' end' from pages)
 select kind, id, regexp_replace(text, 'http[s]?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\\(\\),]|(?:%[0-9a-fA-F][0-9a-fA-F]))+', '', 'g') as text from t""",
     "site_key": rf"""
 select page_id, {_SITE} as site,

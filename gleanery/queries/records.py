@@ -6,6 +6,7 @@ meets. How a row becomes a document depends on its flags only.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from gleanery.functions import fixed
 from gleanery.functions.prices import clean_price
 from gleanery.operators import columns, listings, replies
-from gleanery.plans.merge_job import combined_table
+from gleanery.plans.merge_job import clean_job, combined_table, unify_job
 from gleanery.queries.tables import table
 from gleanery.session import scratch_path
 from gleanery.sources.listing_files import scan_listing_files
@@ -61,6 +62,26 @@ def q_listing_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("reason").agg(F.count("*").alias("documents"))
 
 
+def q_listing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document per file: a file for each ship month, holding its records, then scanned whole."""
+    folder = scratch_path(spark, "scan")
+    month = F.date_format("l_shipdate", "yyyy-MM")
+    cell = F.concat(F.lit('{"line": '), F.col("l_linenumber").cast("string"), F.lit("}"))
+    # A month is a bounded part of the sample table; what is tested is the scan.
+    docs = table(spark, sf_dir, "lineitem").groupBy(month.alias("month")).agg(F.collect_list(cell).alias("cells"))
+    text = F.concat(F.lit('{"listings": [\n'), F.array_join("cells", ",\n"), F.lit("\n]}"))
+    docs.select(text.alias("value"), F.concat(F.lit("sorted_data_"), "month", F.lit(".json")).alias("name")).write.partitionBy(
+        "name"
+    ).text(folder)
+    found = listings.classify_documents(scan_listing_files(spark, f"{folder}/name=*", prefix="part-", suffix=".txt"))
+    lines = F.aggregate(
+        "listings",
+        F.lit(0).cast("bigint"),
+        lambda total, record: total + F.coalesce(F.try_variant_get(record, "$.line", "bigint"), F.lit(0)),
+    )
+    return found.select(F.size("listings").cast("bigint").alias("records"), lines.alias("lines"))
+
+
 def q_listing_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings.classify_documents(listing_documents(spark, sf_dir)).select("file", "reason")
 
@@ -86,6 +107,18 @@ def q_merge_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.withColumn("tags", F.array_join(wide["tags"].cast("array<string>"), ","))
 
 
+def q_merge_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole merge on files: scan, clean, request a mapping, unify by the reply, write and read."""
+    folder = scratch_path(spark, "scan")
+    listing_documents(spark, sf_dir).select("text").write.text(f"{folder}/sorted_data_1.json")
+    done = clean_job(spark, folder, f"{folder}/out", wholetext=False)
+    reply = json.dumps({new: old for new, old in _MAPPING})
+    replies_table = done.request.select(F.lit(1).alias("id"), F.lit(reply).alias("reply"))
+    wide = spark.read.parquet(unify_job(spark, done.path, replies_table, f"{folder}/unified", "id"))
+    cells = [columns.named(c) for c in wide.columns if c not in ("file", "pos", "tags")]
+    return wide.select(*cells, F.array_join(wide["tags"].cast("array<string>"), ",").alias("tags"))
+
+
 def reply_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, reply``: the shapes a reply's records come in, by order priority."""
     orders = table(spark, sf_dir, "orders")
@@ -235,6 +268,7 @@ def q_mapping_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "listing_scan": q_listing_scan,
+    "listing_files": q_listing_files,
     "listing_reject": q_listing_reject,
     "flatten_listings": q_flatten_listings,
     "normalize_records": q_normalize_records,
@@ -252,6 +286,7 @@ QUERIES = {
     "fenced_json": q_fenced_json,
     "mapping_reply": q_mapping_reply,
     "merge_job": q_merge_job,
+    "merge_chain": q_merge_chain,
 }
 
 
@@ -287,6 +322,8 @@ select 'event_type', cast(to_json(d) as varchar) from l"""
 
 ORACLES = {
     "listing_scan": f"select {_REASON} as reason, count(*) as documents from lineitem group by 1",
+    "listing_files": """select count(*) as records, cast(sum(l_linenumber) as bigint) as lines
+from lineitem group by strftime(l_shipdate, '%Y-%m')""",
     "listing_reject": f"select {_FILE} as file, {_REASON} as reason from lineitem",
     "flatten_listings": f"select file, pos, cast(line as bigint) as line, name from ({_RECORDS})",
     "normalize_records": f"""select file, pos, cast(line as bigint) as line, price, w as "dims.w", h as "dims.q.h", tags, seen,
@@ -295,6 +332,11 @@ ORACLES = {
   coalesce(case when pos = 0 then '€' || printf('%.2f', cast(replace(price, '$', '') as double)) end, cost) as price,
   w as "dims.w", h as "dims.q.h", tags, seen, name as title, dims,
   replace(trim(image_url), 'http://', 'https://') as image_url, replace(product_url, 'http://', 'https://') as product_url
+from ({_RECORDS})""",
+    "merge_chain": f"""select cast(line as bigint) as line,
+  coalesce(case when pos = 0 then '€' || printf('%.2f', cast(replace(price, '$', '') as double)) end, cost) as price,
+  w as "dims.w", h as "dims.q.h", tags, seen, name as title, dims,
+  replace(trim(image_url), 'http://', 'https://') as image_url, replace(product_url, 'http://', 'https://') as product_url
 from ({_RECORDS})""",
     "unwrap_records": """
 with o as (select o_orderkey as id, o_custkey as c, o_orderstatus as s, o_orderpriority as p from orders),

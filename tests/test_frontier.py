@@ -59,6 +59,11 @@ def test_every_size_of_round_gives_the_same(spark, monkeypatch, small):
     assert sorted((r.depth, r.url) for r in got.collect()) == [(i, str(i)) for i in range(10)]
 
 
+def test_first_page_with_nulls(spark):
+    df = spark.createDataFrame([(2, "b"), (1, None), (None, None)], "page_id int, url string")
+    assert [tuple(r) for r in first_page(df, ["url", "page_id"]).collect()] == [(None, None)]
+
+
 def test_first_page(spark):
     df = spark.createDataFrame([(2, "b", "B"), (1, "c", "C"), (9, "a", "A"), (4, "a", "A4")], "page_id int, url string, html string")
     assert [tuple(r) for r in first_page(df, ["url", "page_id"]).select("page_id", "html").collect()] == [(4, "A4")]

@@ -5,7 +5,7 @@ import json
 import pytest
 
 from conftest import plan_of, rows
-from gleanery.plans.merge_job import merge_job
+from gleanery.plans.merge_job import clean_job, merge_job, unify_job
 from gleanery.plans.pages_job import pages_job
 from gleanery.plans.replies_job import reply_costs, reply_records, reply_totals
 from gleanery.queries import all_queries
@@ -50,6 +50,26 @@ def test_merge_job(spark, folder, tmp_path):
     assert {r.file: r.reason for r in rejects.collect()} == {k: v[1] for k, v in FILES.items() if v[1] != "ok"}
 
 
+def test_lists_of_urls_are_cleaned(spark, tmp_path):
+    listings = [{"image_url": [" http://a ", "http://b"], "product_url": {"x": 1}, "file": "f", "pos": 3}]
+    (tmp_path / "sorted_data_1.json").write_text(json.dumps({"listings": listings}))
+    path, _ = merge_job(spark, str(tmp_path), str(tmp_path / "out"))
+    row = spark.read.parquet(path).first().asDict()
+    assert row["image_url"] == ["https://a", "https://b"] and (row["file"], row["pos"], row["_pos"]) == ("f", 3, 0)
+
+
+def test_the_merge_asks_for_a_mapping_and_follows_the_reply(spark, tmp_path):
+    (tmp_path / "sorted_data_1.json").write_text('{"listings":[{"price":"$5"},{"cost":"9 EUR"}]}')
+    done = clean_job(spark, str(tmp_path), str(tmp_path / "out"))
+    assert '"price": ["€5.00",null]' in done.request.first().user_prompt
+    for reply, columns in (('{"price":["price","cost"]}', ["file", "pos", "price"]), ("{}", None), ("no", None)):
+        replies = spark.createDataFrame([(1, reply)], "id int, reply string")
+        path = unify_job(spark, done.path, replies, str(tmp_path / "unified"))
+        assert (path == done.path) == (columns is None)
+        if columns:
+            assert spark.read.parquet(path).columns == columns
+
+
 def test_merge_job_writes_nothing_without_rows(spark, tmp_path):
     (tmp_path / "sorted_data_1.json").write_text("{}")
     path, rejects = merge_job(spark, str(tmp_path), str(tmp_path / "out"))

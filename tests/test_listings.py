@@ -157,12 +157,34 @@ def test_keys_that_differ_in_case(spark):
     assert {c for c in normalized(spark, *both).columns} == {"Price", "price"}
     spark.conf.set("spark.sql.caseSensitive", "false")
     try:
-        with pytest.raises(ValueError, match="clash"):
-            normalized(spark, *both)
+        got = normalized(spark, *both)
+        assert got.columns[-2:] == ["Price", "price (2)"]
+        assert sorted((tuple(r)[-2:] for r in got.collect()), key=repr) == [(1, None), (None, 2)]
     finally:
         spark.conf.set("spark.sql.caseSensitive", "true")
 
 
+def test_paths_named_like_carried_columns(spark):
+    df = spark.createDataFrame([("f", 0, '{"file": "x", "pos": 7, "_pos": 8}')], "file string, pos int, t string")
+    got = normalize_records(df.select("file", "pos", F.try_parse_json("t").alias("record")))
+    assert got.first().asDict() == {"_file": "f", "__pos": 0, "file": "x", "pos": 7, "_pos": 8}
+
+
+def test_what_follows_a_document_makes_it_no_json(spark):
+    texts = ['{"listings":[]},"end of text"', '{"listings":[]},"end of text"] junk', '{"listings":[]}, 5', '{"listings":[]}']
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "file string, text string")
+    got = classify_documents(df).orderBy("file").collect()
+    assert [r.reason for r in got] == ["undecodable"] * 3 + ["ok"]
+
+
+def test_non_numbers_are_null(spark):
+    texts = ['{"listings":[{"a": NaN, "b": "NaN, x", "c": -Infinity, "d": [NaN,1]}]}', '{"listings":[NaN x]}', '{"listings": nan}']
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "file string, text string")
+    got = classify_documents(df).orderBy("file").collect()
+    assert [r.reason for r in got] == ["ok", "undecodable", "undecodable"]
+    assert json.loads(got[0].listings[0].toJson()) == {"a": None, "b": "NaN, x", "c": None, "d": [None, 1]}
+
+
 UNWRAP = [
     ('{"a":[1,2],"b":[3,4]}', [{"a": 1, "b": 3}, {"a": 2, "b": 4}]),
     ('{"a":[1,2],"b":[3]}', "lengths differ"),

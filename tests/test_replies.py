@@ -13,6 +13,7 @@ from gleanery.operators.replies import (
     parse_replies,
     prompt_table,
     system_text,
+    typed_listings,
 )
 
 
@@ -51,6 +52,21 @@ def test_failed_replies_count_nothing(spark):
     ]
 
 
+def test_field_names_with_quotes(spark):
+    record = listing_schema(["it's", "a`b"])
+    df = spark.createDataFrame([(1, '{"listings":[{"it\'s":"x","a`b":"y"},{}]}')], "page_id int, reply string")
+    assert parse_replies(df, record).first().missing_fields == 2
+    got = typed_listings(parse_replies(df, record), record).orderBy("pos")
+    assert rows(got.drop("page_id", "pos")) == [("x", "y", True), (None, None, False)]
+
+
+def test_a_mapping_may_be_long_and_repeat_keys(spark):
+    many = "{" + ",".join(f'"n{i}":"o{i}"' for i in range(12_000)) + ',"n0":"last"}'
+    entries = mapping_entries(spark.createDataFrame([(1, many)], "i int, reply string"), "i")
+    found = mapping_list(entries)
+    assert len(found) == 12_000 and found[0] == ("n0", ["last"]) and found[-1] == ("n11999", ["o11999"])
+
+
 def test_fenced(spark):
     df = spark.createDataFrame([(1, 'x\n```json\n{"k":1}\n```'), (2, "```json\n{k\n```"), (3, "x")], "i int, reply string")
     got = fenced_json(df).orderBy("i").select("body", F.to_json("doc"))

@@ -21,6 +21,22 @@ def test_remove_urls_golden(spark):
     assert apply(spark, remove_urls, *cases) == list(cases.values())
 
 
+def test_remove_urls_by_the_pattern_as_given(spark):
+    import random
+    import re
+
+    given = re.compile(r"http[s]?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\\(\\),]|(?:%[0-9a-fA-F][0-9a-fA-F]))+")
+    rng = random.Random(1)
+    cases = ["http://" + "".join(rng.choices("aZ0$%^_`~@.&+!*\\(),;:/?é# \n-[]{}|", k=rng.randrange(30))) for _ in range(500)]
+    cases += ["x http://" + "a" * n + " y" for n in (10, 2_000, 1_000_000)]
+    assert apply(spark, remove_urls, *cases) == [given.sub("", c) for c in cases]
+
+
+def test_numeric_entities_of_any_length(spark):
+    cases = ["&#00000065;", "&#x000000041;", "&#99999999999999999999;", "&#xFFFFFFFFFFFF;", "&#0000000000;", "&#0000128;", "&#x80;"]
+    assert apply(spark, unescape_entities, *cases) == [html.unescape(c) for c in cases]
+
+
 def test_first_fence_golden(spark):
     cases = [
         ("a ```json\n{\"k\":1}\n``` b ```json\n2\n```", '{"k":1}'),

@@ -9,6 +9,15 @@ def calls(spark):
     return spark.createDataFrame(CALLS, "call_id int, model string, input_tokens bigint, output_tokens bigint")
 
 
+def test_two_prices_of_a_model_count_a_call_once(spark):
+    from gleanery.operators.usage import run_totals
+
+    usage = spark.createDataFrame([("m", 10, 1)], "model string, input_tokens bigint, output_tokens bigint")
+    prices = spark.createDataFrame([("m", 1.0, 2.0), ("m", 3.0, 1.0)], "model string, input double, output double")
+    row = run_totals(usage, prices).first()
+    assert (row.calls, row.input_tokens, row.cost) == (1, 10, 32.0)
+
+
 def test_costs(spark):
     expected = [(1, 23.0, False), (2, 6.0, False), (3, 2.0, False), (4, None, True), (5, None, True)]
     assert rows(call_cost(calls(spark), PRICES).select("call_id", "cost", "unpriced").orderBy("call_id")) == expected
