@@ -1,9 +1,10 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-A first pass counts in how many documents each n-gram of the test items stands.
-Each item's rarer half of them are its rare seeds, however common a leak is. A
-second pass joins passages to items where seeds meet, and aligns the words
-around them with the item: copies score 1, edited ones less, chance little.
+One pass over the texts joins passages to test items where n-grams of the items
+meet, and counts in how many documents each of these seeds stands. Each item's
+rarer half of them are its rare seeds, however common a leak is. The words around
+passages that hold one are aligned with the item: copies score 1, edited ones
+less, chance little.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from gleanery.llm.common import mixed, pieces_of, small_batches, text_bytes, words_of
+from gleanery.llm.common import pieces_of, ranges, small_batches, text_bytes, words_of
 from gleanery.session import written
 
 GRAM = 3  # words of a seed
@@ -48,23 +50,25 @@ class _Words(dict):
         return value
 
 
-def hashed_words(body: bytes, table: _Words) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words that have letters or digits, and which words these are."""
-    words = words_of(body)
-    hashes = np.fromiter(map(table.__getitem__, words), np.uint64, len(words))
-    place = np.flatnonzero(hashes)
-    return hashes[place], place
+def hashed_words(bodies: list[bytes], table: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words that have letters or digits, whose text they are of, and which word there."""
+    split = [words_of(b) for b in bodies]
+    counts = np.array([len(w) for w in split], np.int64)
+    hashes = np.fromiter(map(table.__getitem__, chain.from_iterable(split)), np.uint64, counts.sum())
+    kept = np.flatnonzero(hashes)
+    text = np.repeat(np.arange(len(split)), counts)[kept]
+    return hashes[kept], text, kept - (np.cumsum(counts) - counts)[text]
 
 
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
-    """A hash of every ``n`` consecutive words; of all of them where there are fewer."""
-    n = min(n, len(hashes))
-    if not n:
-        return hashes
-    out = np.zeros(len(hashes) - n + 1, np.uint64)
-    for i in range(n):
-        out = out * _U(0x9E3779B97F4A7C15) + hashes[i : len(hashes) - n + 1 + i]
-    return mixed(out + _U(n))
+    """A hash of every ``n`` consecutive words."""
+    if len(hashes) < n:
+        return hashes[:0]
+    out = hashes[: len(hashes) - n + 1].copy()
+    for i in range(1, n):
+        out *= _U(0x9E3779B97F4A7C15)
+        out += hashes[i : len(hashes) - n + 1 + i]
+    return out + _U(n)
 
 
 @dataclass
@@ -78,13 +82,14 @@ class Items:
     first: np.ndarray  # seed -> its items, as ranges of ``owners``
     owners: np.ndarray
     filter: np.ndarray
+    sizes: np.ndarray  # words of each item
     rare: np.ndarray | None = None  # item and seed pairs, as one number
 
     @classmethod
     def of(cls, rows: list[tuple[object, bytes]], n: int) -> Items:
         table = _Words()
-        words = [hashed_words(body, table)[0] for _, body in rows]
-        of = [np.unique(grams(w, n)) for w in words]
+        words = [hashed_words([body], table)[0] for _, body in rows]
+        of = [np.unique(grams(w, min(n, len(w)))) if len(w) else w for w in words]
         seeds, inverse = np.unique(np.concatenate([*of, np.empty(0, np.uint64)]), return_inverse=True)
         owner = np.repeat(np.arange(len(of)), [len(x) for x in of])
         order = np.lexsort((owner, inverse))
@@ -92,22 +97,18 @@ class Items:
         bits[(seeds >> _U(64 - _FILTER_BITS)).astype(np.int64)] = True
         sizes = np.unique([min(n, len(w)) for w in words if len(w)]).astype(np.int64)
         first = np.searchsorted(inverse[order], np.arange(len(seeds) + 1))
-        return cls([i for i, _ in rows], words, seeds, sizes, first, owner[order], bits)
+        return cls([i for i, _ in rows], words, seeds, sizes, first, owner[order], bits, np.array([len(w) for w in words]))
 
-    def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in a document where a seed starts, and which seed."""
-        places, found = [], []
+    def hits(self, hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places where a seed starts, within one text, and which seed, in order."""
+        places, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for n in self.lengths.tolist():
-            if len(hashes) < n:
-                continue
             own = grams(hashes, n)
             maybe = np.flatnonzero(self.filter[(own >> _U(64 - _FILTER_BITS)).astype(np.int64)])
             at = np.minimum(np.searchsorted(self.seeds, own[maybe]), len(self.seeds) - 1)
-            sure = self.seeds[at] == own[maybe]
+            sure = (self.seeds[at] == own[maybe]) & (text[maybe] == text[maybe + n - 1])
             places.append(maybe[sure])
             found.append(at[sure])
-        if not places:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
         places, found = np.concatenate(places), np.concatenate(found)
         order = np.argsort(places, kind="stable")
         return places[order], found[order]
@@ -150,27 +151,22 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
 
 
 def passages(
-    items: Items, hashes: np.ndarray, places: np.ndarray, found: np.ndarray, seeds: int
-) -> Iterator[tuple[int, int, int, int]]:
-    """Item, first word, end and number of different seeds of each stretch of words worth an alignment."""
+    items: Items, length: int, places: np.ndarray, found: np.ndarray, seeds: int
+) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """Item, first word, end and different seeds of each stretch of a text worth an alignment, rarity aside."""
     counts = items.first[found + 1] - items.first[found]
-    at = np.repeat(items.first[found], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    item, place, seed = items.owners[at], np.repeat(places, counts), np.repeat(found, counts)
+    item = items.owners[ranges(items.first[found], counts)]
+    place, seed = np.repeat(places, counts), np.repeat(found, counts)
     order = np.lexsort((place, item))
     item, place, seed = item[order], place[order], seed[order]
-    size = np.array([len(w) for w in items.words])[item]
-    # Hits of an item stay together while less than the item's length lies between them.
-    new = np.append(True, (item[1:] != item[:-1]) | (place[1:] - place[:-1] > size[1:])) if len(item) else []
+    size = items.sizes[item]
+    # Hits of an item stay together while no more than the item's length lies between them.
+    new = np.append(True, (item[1:] != item[:-1]) | (place[1:] - place[:-1] > size[1:]))
     edges = np.append(np.flatnonzero(new), len(item))
-    pair = item * len(items.seeds) + seed
-    rare = np.isin(pair, items.rare)
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        own = len(np.unique(seed[a:b]))
-        i = int(item[a])
-        total = max(1, len(items.words[i]) - GRAM + 1)
-        if rare[a:b].any() and own >= min(seeds, total):
-            length = len(items.words[i])
-            yield i, max(0, int(place[a]) - length), min(len(hashes), int(place[b - 1]) + 2 * length), own
+        n, own = int(size[a]), np.unique(seed[a:b])
+        if len(own) >= min(seeds, max(1, n - GRAM + 1)):
+            yield int(item[a]), max(0, int(place[a]) - n), min(length, int(place[b - 1]) + 2 * n), own
 
 
 def _blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[object, bytes]]]:
@@ -219,57 +215,76 @@ def contaminated(
     return result
 
 
+_FOUND = "doc_id long, item int, words binary, places binary, seeds array<int>, n long"
+
+
 def _of_block(rows: DataFrame, held: Items, seeds: int, least: float, schema: str) -> DataFrame:
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(held)  # a block
+    kinds = pa.schema(
+        [
+            ("doc_id", pa.int64()), ("item", pa.int32()), ("words", pa.binary()), ("places", pa.binary()),
+            ("seeds", pa.list_(pa.int32())), ("n", pa.int64()),
+        ]
+    )
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Stretches with seeds; at the end, as rows without an item, in how many texts each seed stands."""
         block, table = shared.value, _Words()
         documents = np.zeros(len(block.seeds), np.int64)
         for batch in batches:
-            for body in batch.column(1).to_pylist():
-                _, found = block.hits(hashed_words(body, table)[0])
-                documents[np.unique(found)] += 1
-        seen = np.flatnonzero(documents)
-        yield pa.RecordBatch.from_pydict({"seed": pa.array(seen), "n": pa.array(documents[seen])})
-
-    counted = rows.mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()
+            for part in pieces_of(batch, _SLICE):
+                out, ids = [], part.column(0).to_pylist()
+                hashes, text, place = hashed_words(part.column(1).to_pylist(), table)
+                places, found = block.hits(hashes, text)
+                pairs = np.unique(text[places] * len(block.seeds) + found)
+                documents += np.bincount(pairs % len(block.seeds), minlength=len(block.seeds))
+                edges = np.append(np.flatnonzero(np.diff(text[places], prepend=-1)), len(places))
+                for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    t = text[places[x]]
+                    begin, end = np.searchsorted(text, (t, t + 1))
+                    for i, a, b, own in passages(block, int(end - begin), places[x:y] - begin, found[x:y], seeds):
+                        words = slice(begin + a, begin + b)
+                        # No alignment matches more of the item's words than stand in the stretch.
+                        if np.isin(block.words[i], hashes[words]).sum() < least * block.sizes[i]:
+                            continue
+                        held = (hashes[words].tobytes(), place[words].astype(np.int32).tobytes())
+                        out.append((ids[t], i, *held, own.tolist(), 0))
+                if out:
+                    yield pa.RecordBatch.from_pylist([dict(zip(kinds.names, r, strict=True)) for r in out], schema=kinds)
+        seen = np.flatnonzero(documents).tolist()
+        counts = [(None, None, None, None, [s], int(documents[s])) for s in seen]
+        yield pa.RecordBatch.from_pylist([dict(zip(kinds.names, r, strict=True)) for r in counts], schema=kinds)
+
+    found = written(rows.mapInArrow(find, _FOUND), "passages")
+    counted = found.where("item is null").groupBy(F.col("seeds")[0].alias("seed")).agg(F.sum("n").alias("n")).collect()
     documents = np.zeros(len(held.seeds), np.int64)  # one number for each seed of the block
     documents[[r["seed"] for r in counted]] = [r["n"] for r in counted]
     held.choose_rare(documents)
     chosen = spark.sparkContext.broadcast(held)
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, table = chosen.value, _Words()
-        for batch in batches:
-            out: list[tuple] = []
-            for part in pieces_of(batch, _SLICE):
-                for doc_id, body in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    hashes, place = hashed_words(body, table)
-                    places, found = block.hits(hashes)
-                    for i, a, b, own in passages(block, hashes, places, found, seeds):
-                        item = block.words[i]
-                        points, start, end = align(item, hashes[a:b])
-                        share = points / (MATCH * len(item))
-                        if share >= least:
-                            first, last = int(place[a + start]), int(place[a + end - 1])
-                            out.append((doc_id, block.ids[i], share, first, last - first + 1, own))
-            yield pa.RecordBatch.from_pylist(
-                [dict(zip(("doc_id", "item_id", "score", "start", "words", "seeds"), r, strict=True)) for r in out],
-                schema=kinds,
-            )
-
-    kinds = pa.schema(
+    result = pa.schema(
         [
-            ("doc_id", pa.int64()),
-            ("item_id", _arrow_type(held.ids[0])),
-            ("score", pa.float64()),
-            ("start", pa.int64()),
-            ("words", pa.int64()),
-            ("seeds", pa.int32()),
+            ("doc_id", pa.int64()), ("item_id", _arrow_type(held.ids[0])), ("score", pa.float64()),
+            ("start", pa.int64()), ("words", pa.int64()), ("seeds", pa.int32()),
         ]
-    )
-    return rows.mapInArrow(match, schema)
+    )
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = chosen.value
+        for batch in batches:
+            out = []
+            for doc_id, i, words, places, own in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if not np.isin(i * len(block.seeds) + np.array(own), block.rare).any():
+                    continue
+                item, place = block.words[i], np.frombuffer(places, np.int32)
+                points, start, end = align(item, np.frombuffer(words, np.uint64))
+                share = points / (MATCH * len(item))
+                if share >= least:
+                    first, last = int(place[start]), int(place[end - 1])
+                    out.append((doc_id, block.ids[i], share, first, last - first + 1, len(own)))
+            yield pa.RecordBatch.from_pylist([dict(zip(result.names, r, strict=True)) for r in out], schema=result)
+
+    return found.where("item is not null").drop("n").mapInArrow(score, schema)
 
 
 def _arrow_type(value: object) -> pa.DataType:
