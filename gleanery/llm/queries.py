@@ -67,4 +67,38 @@ QUERIES = {
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+_SPACE = r"[\x20\x09-\x0D]+"
+_WORD = r"[^\x20\x09-\x0D]"
+
+ORACLES: dict[str, str] = {
+    "op6_quality_rules": rf"""
+with d as (
+  select doc_id, coalesce(source, '') as source, text, coalesce(text, '') as t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}'), lambda x: x <> '') as ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_WORD}')) as ls
+  from documents),
+windows as (
+  select doc_id, i, count(*) over (partition by doc_id, win) as c
+  from (select doc_id, i, array_to_string(ws[i:i + 7], ' ') as win
+    from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 6, 1))) as i from d) x) y),
+repeated as (
+  select doc_id, count(distinct i + k) as n from windows, (select unnest(range(8)) as k) r where c > 1 group by doc_id),
+texts as (select distinct source, text, ls from d where text is not null),
+lines as (
+  select source, text, len(list_filter(regexp_split_to_array(line, '{_SPACE}'), lambda x: x <> '')) as w,
+    regexp_replace(trim(regexp_replace(lower(line), '{_SPACE}', ' ', 'g')), '[0-9]+', '0', 'g') as norm
+  from (select source, text, unnest(ls) as line from texts) x),
+often as (
+  select source, norm from (select source, norm, count(distinct text) as n from lines group by 1, 2) h
+  join (select source, count(*) as texts from texts group by 1) s using (source)
+  where n >= 20 and n > 0.25 * texts),
+lost as (select source, text, cast(sum(w) as bigint) as n from lines join often using (source, norm) group by 1, 2),
+counted as (
+  select d.doc_id, len(ws) as n_words, length(array_to_string(ws, '')) as word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,
+    len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(r.n, 0) as n_repeat_words, coalesce(l.n, 0) as removed_words
+  from d left join repeated r on d.doc_id = r.doc_id left join lost l on d.source = l.source and d.text = l.text)
+select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
+  not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and removed_words <= 0.5 * n_words as kept
+from counted""",
+}
