@@ -160,20 +160,6 @@ def cosine_pairs(
     ).select("pair.*")
 
 
-def string_ratio():
-    """Arrow UDF ``(a, b) -> double``: gestalt ratio of two text columns. Not symmetric."""
-
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
-
-        return pd.Series(
-            [None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)],
-            dtype="float64",
-        )
-
-    return F.pandas_udf(ratio, "double")
-
-
 def string_ratio_pairs(
     table: DataFrame, key: str, text: str, threshold: float = fixed.SIMILARITY_THRESHOLD, block_rows: int = 1024
 ) -> DataFrame:

@@ -16,6 +16,8 @@ from gleanery.functions import fixed
 from gleanery.functions.prices import clean_price
 from gleanery.operators import columns, listings, replies
 from gleanery.plans.merge_job import clean_job, combined_table, unify_job
+from gleanery.plans.replies_job import listing_documents as listing_documents_of
+from gleanery.plans.replies_job import write_replies
 from gleanery.queries.tables import table
 from gleanery.session import scratch_path
 from gleanery.sources.listing_files import scan_listing_files
@@ -137,6 +139,16 @@ def reply_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select(F.col("o_orderkey").alias("id"), reply.alias("reply"))
 
 
+def q_replies_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies written by run, read again and merged as listing documents."""
+    folder = scratch_path(spark, "runs")
+    asked = reply_documents(spark, sf_dir).withColumn("run", F.concat(F.lit("shop_"), F.pmod("id", F.lit(3)).cast("string")))
+    sent = spark.read.parquet(write_replies(asked, folder, "id", "run"))
+    back = sent.where("ok").select("id", F.col("document").alias("reply"))
+    table = combined_table(listing_documents_of(back, "id"))
+    return table.select("file", "pos", "k", "v")
+
+
 def q_unwrap_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = replies.parse_replies(reply_documents(spark, sf_dir))
     return listings.unwrap_records(parsed, "id").select(
@@ -272,6 +284,7 @@ QUERIES = {
     "listing_reject": q_listing_reject,
     "flatten_listings": q_flatten_listings,
     "normalize_records": q_normalize_records,
+    "replies_merge": q_replies_merge,
     "unwrap_records": q_unwrap_records,
     "column_sample": q_column_sample,
     "unify_columns": q_unify_columns,
@@ -333,6 +346,10 @@ from lineitem group by strftime(l_shipdate, '%Y-%m')""",
   w as "dims.w", h as "dims.q.h", tags, seen, name as title, dims,
   replace(trim(image_url), 'http://', 'https://') as image_url, replace(product_url, 'http://', 'https://') as product_url
 from ({_RECORDS})""",
+    "replies_merge": """
+select 'sorted_data_' || o_orderkey || '.json' as file, cast(p as int) as pos, case p when 0 then o_orderkey else o_custkey end as k,
+  case p when 0 then o_orderstatus else 'b' end as v
+from orders, (values (0), (1)) t(p) where o_orderpriority = '1-URGENT'""",
     "merge_chain": f"""select cast(line as bigint) as line,
   coalesce(case when pos = 0 then '€' || printf('%.2f', cast(replace(price, '$', '') as double)) end, cost) as price,
   w as "dims.w", h as "dims.q.h", tags, seen, name as title, dims,
