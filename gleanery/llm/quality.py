@@ -91,8 +91,9 @@ def base_rules(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     windows = F.when(
         F.size("marks") > window,  # a single window repeats nothing
         F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size("marks") - (window - 1), F.lit(1))),
-            lambda i: F.xxhash64(F.slice("marks", i, F.lit(window))),
+            F.sequence(F.lit(0), F.greatest(F.size("marks") - window, F.lit(0))),
+            # Word by word: a slice would copy the whole array for every window.
+            lambda i: F.xxhash64(*[F.get("marks", i + k) for k in range(window)]),
         ),
     ).otherwise(F.array().cast("array<bigint>"))
     hashed = counted.select("*", windows.alias("windows")).drop("marks")
