@@ -103,24 +103,24 @@ def test_dense_keys_keep_every_link(spark):
         for _ in range(rng.randrange(1, 4)):
             p ^= 1 << rng.randrange(0, 64)
         prints.add(p)
-    for distance in (3, 4):
-        frame = spark.createDataFrame([(int(np.uint64(p).view(np.int64)),) for p in prints], "fp long").repartition(5)
-        got = {r["node"]: r["root"] for r in components(simhash.links(frame, distance)).collect()}
-        signed = sorted(int(np.uint64(p).view(np.int64)) for p in prints)
-        root = {p: p for p in signed}
-
-        def find(x, root=root):
-            while root[x] != x:
-                x = root[x]
-            return x
-
-        values = np.array(signed, np.int64).view(np.uint64)
-        for i in range(len(signed)):
-            near = np.flatnonzero(np.bitwise_count(values[i] ^ values) <= distance)
-            for j in near.tolist():
-                a, b = find(signed[i]), find(signed[j])
-                root[max(a, b)] = min(a, b)
-        assert {p: got.get(p, p) for p in signed} == {p: find(p) for p in signed}
+    distance = 4
+    frame = spark.createDataFrame([(int(np.uint64(p).view(np.int64)),) for p in prints], "fp long").repartition(5)
+    got = {r["node"]: r["root"] for r in components(simhash.links(frame, distance)).collect()}
+    signed = sorted(int(np.uint64(p).view(np.int64)) for p in prints)
+    root = {p: p for p in signed}
+
+    def find(x, root=root):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    values = np.array(signed, np.int64).view(np.uint64)
+    for i in range(len(signed)):
+        near = np.flatnonzero(np.bitwise_count(values[i] ^ values) <= distance)
+        for j in near.tolist():
+            a, b = find(signed[i]), find(signed[j])
+            root[max(a, b)] = min(a, b)
+    assert {p: got.get(p, p) for p in signed} == {p: find(p) for p in signed}
 
 
 def test_no_rows_and_bad_parameters(spark):
