@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.functions.jsontext import once
 from gleanery.functions.naming import let
 from gleanery.session import written
 
@@ -185,7 +186,9 @@ def keep_good(
     docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, depleted: float = DEPLETED
 ) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns; removed lines are taken out of ``text``."""
-    rows = _judged(docs, line_docs, line_share, depleted).where("kept")
+    # The verdict comes out of a generator: a filter on it is then not moved into the projections
+    # below, which would write out the counts again for each of their uses.
+    rows = once(_judged(docs, line_docs, line_share, depleted), F.col("kept"), "passed").where("passed")
     lines = F.filter(
         F.split("row.text", "\n"),
         lambda x: ~(F.rlike(x, F.lit(_WORD)) & F.array_contains("removed", F.xxhash64(normal_line(x)))),
