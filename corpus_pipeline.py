@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import benchmark, pieces, quality, simhash, suffixes
+from gleanery.llm import benchmark, neardups, pieces, quality, suffixes
 from gleanery.queries.tables import table
 from gleanery.session import scratch_path
 
@@ -32,8 +32,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near duplicates (5-word Jaccard of 0.8 or more): the one with the smallest doc_id."""
+    return neardups.one_of_each(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,236 @@
+"""One document of each group of near duplicates: exact Jaccard of word shingles, candidates by SimHash.
+
+Documents with the same set of shingles are one node. Candidates are nodes whose
+fingerprints differ in few bits, met by the chains of ``simhash``, in either of
+two independent fingerprints, as one misses a few in a hundred; of them only
+pairs with the stated Jaccard similarity become links. A first pass tries, for
+every node of a key, the nearest and the least node there. What that connects is
+left out of the second pass, which tries all candidates that are still apart, so
+that a large group of near copies does not become all its pairs.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from gleanery.llm import simhash
+from gleanery.llm.common import doc_key, mixed, pieces_of, small_batches
+from gleanery.session import written
+
+SHINGLE = 5
+SEED = 42
+SIMILARITY = 0.8
+DISTANCE = 15  # bits; at a similarity of 0.8 nine differ in the median, more than 15 for 2 sets in 100
+PRINTS = 2  # independent fingerprints, of which one must be that near
+KEY_ROWS = 4096  # rows of a key that are compared with as many at a time
+BROADCAST_ROWS = 1_000_000  # rows of d and tie that may be broadcast
+_SLICE = 4 << 20
+_LINK_ROWS = 50_000
+_BLOCK = 1024
+
+
+def shingle_set(body: bytes, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Sorted different hashes of all word shingles, A-Z in lower case; one of the whole text if it is shorter."""
+    return np.unique(np.array(simhash.shingle_hashes(body, shingle, seed), np.uint64))
+
+
+def _node(hashes: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(hashes.tobytes())
+
+
+def _prints(hashes: np.ndarray) -> list[int]:
+    out = []
+    for _ in range(PRINTS):
+        hashes = mixed(hashes)
+        out.append(simhash.majority(hashes))
+    return np.array(out, np.uint64).view(np.int64).tolist()
+
+
+def _nodes(docs: DataFrame, shingle: int) -> DataFrame:
+    """``d, tie, node, fps, n``: each row with its set of shingles as a hash, the set's fingerprints and size."""
+    small_batches(docs.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces_of(batch, _SLICE):
+                sets = [shingle_set(b, shingle) for b in part.column("body").to_pylist()]
+                nodes = np.array([_node(s) for s in sets], np.uint64).view(np.int64)
+                prints = [_prints(s) for s in sets]
+                sizes = np.array([len(s) for s in sets], np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:2], pa.array(nodes), pa.array(prints, pa.list_(pa.int64())), pa.array(sizes)],
+                    ["d", "tie", "node", "fps", "n"],
+                )
+
+    return docs.select(*doc_key(docs)).mapInArrow(work, "d long, tie int, node long, fps array<long>, n int")
+
+
+def _partners(
+    node: np.ndarray, fp: np.ndarray, n: np.ndarray, label: np.ndarray, probe: np.ndarray, block: np.ndarray,
+    one: bool, distance: int, similarity: float, nearest: bool,
+) -> np.ndarray:
+    """``u, v``: candidates among the rows of a key, or of two blocks of one, that are not connected yet."""
+    fp, wait = fp.view(np.uint64), np.flatnonzero(~probe)
+    wait = wait[np.argsort(node[wait])]
+    out = [np.empty((2, 0), np.int64)]
+    for b in range(0, len(node), _BLOCK):
+        cols = np.arange(b, min(b + _BLOCK, len(node)))
+        best, near, least = np.full(len(cols), 255, np.uint8), np.full(len(cols), -1), np.full(len(cols), -1)
+        for a in range(0, len(wait), _BLOCK):
+            rows = wait[a : a + _BLOCK]
+            bits = np.bitwise_count(fp[rows, None] ^ fp[None, cols])
+            i, j = np.nonzero(bits <= distance)  # few of all
+            x, y = rows[i], cols[j]
+            fits = (label[x] != label[y]) & (one | (block[x] != block[y]))
+            # No two sets are more similar than their sizes.
+            fits &= np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-9
+            i, j, x, y = i[fits], j[fits], x[fits], y[fits]
+            if not nearest:
+                out.append(np.stack([node[x], node[y]]))
+                continue
+            first = np.unique(j, return_index=True)  # rows come in the order of their nodes
+            new = first[0][least[first[0]] < 0]
+            least[new] = x[first[1][least[first[0]] < 0]]
+            close = np.lexsort((bits[i, j], j))
+            first = np.unique(j[close], return_index=True)
+            at = close[first[1]]
+            better = bits[i[at], j[at]] < best[j[at]]
+            best[j[at[better]]] = bits[i[at[better]], j[at[better]]]
+            near[j[at[better]]] = x[at[better]]
+        for found in (near, least) if nearest else ():
+            out.append(np.stack([node[found[found >= 0]], node[cols[found >= 0]]]))
+    return np.sort(np.concatenate(out, axis=1), axis=0)
+
+
+def candidates(
+    nodes: DataFrame, distance: int, similarity: float, nearest: bool, key_rows: int | None = None
+) -> DataFrame:
+    """``u, v``: nodes (``node, fps, n, label``) of different labels of which a fingerprint differs in ``distance`` bits at most.
+
+    With ``nearest`` only the nearest and the least partner of each node in each
+    key. A key of many rows is cut into blocks and compared block by block.
+    """
+    key_rows = key_rows or KEY_ROWS
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(k, 1000) for k in range(0, batch.num_rows, 1000)):
+                keys, at, probes = simhash.chain_places(part.column("fp").to_numpy().view(np.uint64), distance)
+                keys |= part.column("which").to_numpy().astype(np.uint64)[at] << np.uint64(40)
+                for k in range(0, len(keys), _LINK_ROWS):
+                    cut = slice(k, k + _LINK_ROWS)
+                    held = part.take(pa.array(at[cut]))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys[cut].view(np.int64)), *held.columns[:4], pa.array(probes[cut])],
+                        ["key", "node", "fp", "n", "label", "probe"],
+                    )
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def settle(whole: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            key, lo, hi = columns[:3]
+            first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])))
+            ends = np.append(first[1:], len(key))
+            if not whole:  # the last group may go on
+                held = [[x[first[-1] :] for x in columns]]
+                first, ends = first[:-1], ends[:-1]
+            out = [np.empty((2, 0), np.int64)]
+            for a, b in zip(first.tolist(), ends.tolist(), strict=True):
+                if b - a > 1:
+                    rows = (x[a:b] for x in columns[3:])
+                    out.append(_partners(*rows, lo[a] == hi[a], distance, similarity, nearest))
+                if sum(x.shape[1] for x in out) >= _LINK_ROWS or b == ends[-1]:
+                    pairs = np.unique(np.concatenate(out, axis=1), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], ["u", "v"])
+                    out = out[:1]
+
+        waiting = 0
+        for batch in batches:
+            held.append([x.to_numpy(zero_copy_only=False) for x in batch.columns])
+            waiting += batch.num_rows
+            if waiting >= _LINK_ROWS:
+                yield from settle(whole=False)
+                waiting = 0
+        if held and sum(len(x[0]) for x in held):
+            yield from settle(whole=True)
+
+    keyed = nodes.where("n > 0").select("node", F.posexplode("fps").alias("which", "fp"), "n", "label")
+    keyed = keyed.select("node", "fp", "n", "label", "which").mapInArrow(spread, "key long, node long, fp long, n int, label long, probe boolean")
+    counts = written(keyed.groupBy("key").count().where(F.col("count") > key_rows), "keys")
+    blocks = F.ceil(F.coalesce("count", F.lit(1)) / key_rows).cast("int")
+    # The number of keys is bounded by the bits of two segments.
+    cut = keyed.join(F.broadcast(counts), "key", "left").withColumn("blocks", blocks)
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    cut = cut.select("key", "node", "fp", "n", "label", "probe", "block", other.alias("other"))
+    lo, hi = F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")
+    cut = cut.select("key", lo, hi, "node", "fp", "n", "label", "probe", "block")
+    groups = cut.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return groups.mapInArrow(meet, "u long, v long").distinct()
+
+
+def _similar(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs whose sets have at least the Jaccard similarity."""
+    ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    needed = written(classes.join(ends, "node").select("first.d", "first.tie"), "needed")
+    if needed.count() <= BROADCAST_ROWS:
+        needed = F.broadcast(needed)  # counted: the texts then stay where they are
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces_of(batch, _SLICE):
+                held = [shingle_set(b, shingle) for b in part.column("body").to_pylist()]
+                nodes = np.array([_node(s) for s in held], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([s.tobytes() for s in held])], ["node", "set"])
+
+    rows = docs.select(*doc_key(docs)).join(needed, ["d", "tie"], "left_semi")
+    # Repeated rows give equal sets.
+    held = written(rows.mapInArrow(sets, "node long, set binary").groupBy("node").agg(F.first("set").alias("set")), "sets")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fits = []
+            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                fits.append(both >= similarity * (len(a) + len(b) - both))
+            yield batch.select(["u", "v"]).filter(pa.array(fits, pa.bool_()))
+
+    with_u = pairs.join(held.select(F.col("node").alias("u"), F.col("set").alias("a")), "u")
+    with_v = with_u.join(held.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
+    return with_v.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long")
+
+
+def one_of_each(
+    docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, similarity: float = SIMILARITY
+) -> DataFrame:
+    """One row of each group of near duplicates, with all columns: the one with the smallest doc_id, null ids last.
+
+    Rows are linked if their sets of shingles have a Jaccard similarity of
+    ``similarity`` at least and one of two fingerprints differs in ``distance`` bits
+    at most; a group is what links connect. Rows without words are copies of each other.
+    """
+    rows = written(_nodes(docs, shingle), "nodes")
+    first = rows.groupBy("node").agg(F.min(F.struct("d", "tie")).alias("first"), F.min("fps").alias("fps"), F.min("n").alias("n"))
+    classes = written(first, "classes")
+    apart = classes.withColumn("label", F.col("node"))
+    links = None
+    for nearest in (True, False):
+        pairs = written(candidates(apart, distance, similarity, nearest), "candidates")
+        found = written(_similar(docs, classes, pairs, shingle, similarity), "similar")
+        links = found if links is None else links.union(found)
+        roots = simhash.components(links)
+        apart = classes.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select(
+            "node", "fps", "n", "first", F.coalesce("root", "node").alias("label")
+        )
+        apart = written(apart, "labels")
+    return simhash.first_rows(docs, apart.withColumnRenamed("label", "root"))

@@ -30,23 +30,31 @@ _LINK_ROWS = 50_000
 _U = np.uint64
 
 
-def fingerprint(body: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The bits set in over half the hashes of all word shingles; 0 without words."""
+def shingle_hashes(body: bytes, shingle: int = SHINGLE, seed: int = SEED) -> list[int]:
+    """Hashes of all word shingles in order, of the whole text if it is shorter; none without words."""
     words = words_of(body.lower())  # bytes: A-Z only
     if not words:
-        return 0
+        return []
     text = b" ".join(words)
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(text, seed)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        first = np.append(0, ends[:-shingle]).tolist()
-        hashes = [xxhash.xxh64_intdigest(text[a : b - 1], seed) for a, b in zip(first, ends[shingle - 1 :].tolist())]
+        return [xxhash.xxh64_intdigest(text, seed)]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    first = np.append(0, ends[:-shingle]).tolist()
+    return [xxhash.xxh64_intdigest(text[a : b - 1], seed) for a, b in zip(first, ends[shingle - 1 :].tolist())]
+
+
+def majority(hashes: list[int] | np.ndarray) -> int:
+    """The bits set in over half the hashes; 0 for none."""
     table = np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8)
     counts = np.unpackbits(table, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(body: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The bits set in over half the hashes of all word shingles; 0 without words."""
+    return majority(shingle_hashes(body, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """``doc_id, d, tie, fp``: the fingerprint of each row as the 64 bits of a long."""
     small_batches(docs.sparkSession)
@@ -69,28 +77,35 @@ def segments(distance: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def chain_keys(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``key, fp, probe``: where each fingerprint waits and where it looks.
+def chain_places(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``key, place in fps, probe``: where each fingerprint waits and where it looks.
 
     At each start it waits under its own two segments, and looks under those in
     which one set bit of the second is cleared: of two that differ there in one
     bit, one has it set.
     """
-    parts, keys, values, probes = segments(distance), [], [], []
+    parts, keys, places, probes = segments(distance), [], [], []
+    every = np.arange(len(fps))
     for i, (shift, width) in enumerate(parts):
         after, wide = parts[(i + 1) % len(parts)]
         head = (fps >> _U(shift)) & _U((1 << width) - 1)
         tail = (fps >> _U(after)) & _U((1 << wide) - 1)
         base = (_U(i) << _U(32)) | (head << _U(wide))
         keys.append(base | tail)
-        values.append(fps)
+        places.append(every)
         probes.append(np.zeros(len(fps), bool))
         for bit in range(wide):
             has = (tail >> _U(bit)) & _U(1) == 1
             keys.append((base | (tail ^ _U(1 << bit)))[has])
-            values.append(fps[has])
+            places.append(every[has])
             probes.append(np.ones(int(has.sum()), bool))
-    return np.concatenate(keys), np.concatenate(values), np.concatenate(probes)
+    return np.concatenate(keys), np.concatenate(places), np.concatenate(probes)
+
+
+def chain_keys(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``key, fp, probe`` of every place."""
+    keys, places, probes = chain_places(fps, distance)
+    return keys, fps[places], probes
 
 
 def linked(a: np.ndarray, b: np.ndarray, start: np.ndarray | int, distance: int) -> np.ndarray:
@@ -270,7 +285,11 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, dista
 
     Of rows that share that id the text's hash decides, of repeated rows any one stays.
     """
-    _, rooted = _rooted(docs, shingle, seed, distance)
+    return first_rows(docs, _rooted(docs, shingle, seed, distance)[1])
+
+
+def first_rows(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The first row of each root (``root, first``), with all columns."""
     kept = written(rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.d", "first.tie"), "kept")
     d, tie, _ = doc_key(docs)
     keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), d, tie)

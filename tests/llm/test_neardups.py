@@ -1,0 +1,57 @@
+import random
+
+import pytest
+
+import corpus_pipeline
+from gleanery.llm import neardups
+
+SCHEMA = "doc_id long, text string"
+
+
+def words(rng, n):
+    return ["".join(rng.choices("abcdefgh", k=7)) for _ in range(n)]
+
+
+def edited(rng, text, changes):
+    """Other words at places far apart: each takes five shingles of either text."""
+    out, step = list(text), len(text) // (changes + 1)
+    for k in range(changes):
+        out[(k + 1) * step] = words(rng, 1)[0]
+    return out
+
+
+def jaccard(a, b):
+    a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def planted():
+    rng, originals, near, far = random.Random(5), [], [], []
+    for i in range(24):
+        text = words(rng, 200)
+        originals.append((i, text))
+        near.append((1000 + i, edited(rng, text, 1 + i % 4)))  # 0.95, 0.90, 0.86, 0.81
+        far.append((2000 + i, edited(rng, text, 6 + i % 3)))  # 0.72 and less
+    assert all(0.8 <= jaccard(a, b) < 0.96 for (_, a), (_, b) in zip(originals, near))
+    assert all(0.5 < jaccard(a, b) < 0.75 for (_, a), (_, b) in zip(originals, far))
+    return originals, near, far
+
+
+@pytest.mark.parametrize("key_rows", [4096, 5])
+def test_the_stage_drops_edited_copies_and_keeps_others(spark, monkeypatch, key_rows):
+    monkeypatch.setattr(neardups, "KEY_ROWS", key_rows)
+    originals, near, far = planted()
+    near = [(i, t) for i, t in near if jaccard(t, originals[i - 1000][1]) >= 0.8]
+    rows = [(i, " ".join(t)) for i, t in originals + near + far]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), "")
+    ids = {r["doc_id"] for r in got.collect()}
+    assert ids == {i for i, _ in originals} | {i for i, _ in far}
+
+
+def test_copies_of_one_text_are_joined_through_it(spark):
+    rng = random.Random(6)
+    text = words(rng, 300)
+    copies = [(10 + i, edited(rng, text, 5)) for i in range(30)]  # 0.84 to the text, less among each other
+    rows = [(i, " ".join(t)) for i, t in [(50, text), *copies]]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert [r["doc_id"] for r in got.collect()] == [10]
