@@ -14,7 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.operators.links import page_links
+from gleanery.operators.links import every_link
 from gleanery.session import written
 
 DAMPING = 0.85
@@ -66,8 +66,8 @@ def rule_column(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """``src, dst, links``: how many links of one host's pages lead to another host."""
-    links = page_links(pages.select("page_id", "url", "html"), None)
+    """``src, dst, links``: how many links of one host's pages, anywhere on them, lead to another host."""
+    links = every_link(pages.select("page_id", "url", "html"))
     hosts = links.select(url_host(F.col("src_url")).alias("src"), url_host(F.col("dst_url")).alias("dst"))
     return hosts.where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("links"))
 

@@ -30,8 +30,16 @@ def _nav_pattern(nav_class: str | None) -> str:
 
 def page_hrefs(html: Column, nav_class: str | None) -> Column:
     """Every href, in document order, inside the first nav with that class (any nav when None)."""
-    nav = F.regexp_extract(F.regexp_replace(html, INERT, ""), _nav_pattern(nav_class), 1)
-    anchors = F.regexp_extract_all(nav, F.lit(_ANCHOR), F.lit(0))
+    return _hrefs(F.regexp_extract(F.regexp_replace(html, INERT, ""), _nav_pattern(nav_class), 1))
+
+
+def every_href(html: Column) -> Column:
+    """Every href of the whole page, in document order."""
+    return _hrefs(F.regexp_replace(html, INERT, ""))
+
+
+def _hrefs(html: Column) -> Column:
+    anchors = F.regexp_extract_all(html, F.lit(_ANCHOR), F.lit(0))
     return F.transform(
         anchors,
         lambda a: unescape_entities(F.concat(*[F.regexp_extract(a, _HREF, group) for group in (1, 2, 3)])),
@@ -45,7 +53,15 @@ def page_links(pages: DataFrame, nav_class: str | None = fixed.PAGINATION_CLASS)
     the resulting list. Everything happens inside the page's own row, so there
     is no shuffle.
     """
-    hrefs = page_hrefs(F.col("html"), nav_class)
+    return _resolved(pages, page_hrefs(F.col("html"), nav_class))
+
+
+def every_link(pages: DataFrame) -> DataFrame:
+    """Like ``page_links``, from all anchors of the page, wherever they stand."""
+    return _resolved(pages, every_href(F.col("html")))
+
+
+def _resolved(pages: DataFrame, hrefs: Column) -> DataFrame:
     found = pages.select("page_id", F.col("url").alias("src_url"), hrefs.alias("hrefs"))
     page = F.col("src_url")
     # The page's own address is taken apart once for all its links.
