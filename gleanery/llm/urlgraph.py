@@ -3,7 +3,8 @@
 Hosts that rules allow are seeds of trust, hosts that rules block are seeds of
 distrust, each by the share of its pages the rules decide. Trust follows links
 (personalised PageRank); distrust follows them backwards, as who links to
-blocked hosts is suspect. A page no rule fits gets the verdict of its host.
+blocked hosts is suspect: by the share of a host's own links to other hosts, the
+less the more it is trusted. A page no rule fits gets the verdict of its host.
 """
 
 from __future__ import annotations
@@ -99,7 +100,11 @@ def spread(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds:
 
 
 def host_scores(judged: DataFrame, pages: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """``host, trust, distrust`` for hosts that any seed reaches. ``judged`` has host and the rules' verdict."""
+    """``host, trust, distrust`` for hosts that any seed reaches. ``judged`` has host and the rules' verdict.
+
+    Distrust is the blocked share of the host's pages, and for the rest of it
+    ``damping`` times the distrust its links lead to, divided by 1 + trust.
+    """
     shares = written(
         judged.groupBy("host").agg(
             F.avg(F.when(F.col("by_rule") == "allow", 1.0).otherwise(0.0)).alias("allowed"),
@@ -110,11 +115,16 @@ def host_scores(judged: DataFrame, pages: DataFrame, damping: float = DAMPING, r
     edges = written(host_edges(pages), "edges")
     out = edges.groupBy("src").agg(F.sum("links").alias("all"))
     forward = edges.join(out, "src").select("src", "dst", (F.col("links") / F.col("all")).alias("share"))
-    into = edges.groupBy("dst").agg(F.sum("links").alias("all"))
-    backward = edges.join(into, "dst").select(
-        F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("links") / F.col("all")).alias("share")
+    forward = written(forward, "forward")
+    trust = written(spread(shares.select("host", F.col("allowed").alias("weight")), forward, damping, rounds), "trust")
+    # Distrust is a share of the linking host's own links, so others that link alike do not lessen it.
+    # What a host lacks of being blocked itself is left for it, which keeps it at 1 at most.
+    scored = shares.select("host", "blocked").join(trust.withColumnRenamed("score", "trust"), "host", "full")
+    left = (1 - F.coalesce("blocked", F.lit(0.0))) / (1 + F.coalesce("trust", F.lit(0.0)))
+    taken = scored.select(F.col("host").alias("src"), left.alias("taken"))
+    backward = forward.join(taken, "src", "left").select(
+        F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("share") * F.coalesce("taken", F.lit(1.0))).alias("share")
     )
-    trust = spread(shares.select("host", F.col("allowed").alias("weight")), written(forward, "forward"), damping, rounds)
     distrust = spread(
         shares.select("host", F.col("blocked").alias("weight")), written(backward, "backward"), damping, rounds
     )

@@ -24,6 +24,18 @@ def test_links_count_wherever_they_stand(spark):
     assert got == {("a.com", f"{x}.org", 1) for x in names} | {("b.com", "a.com", 1)}
 
 
+def test_many_equal_linkers_are_blocked_as_one_is(spark):
+    evil = [body_page(0, "http://evil.net/a", "http://evil2.net/"), body_page(1, "http://evil2.net/a", "http://evil.net/")]
+    farm = [body_page(10 + i, f"http://farm{i}.com/", "http://evil.net/a") for i in range(100)]
+    behind = [body_page(200, "http://behind.com/", *(f"http://farm{i}.com/" for i in range(9)))]
+    fair = [body_page(300, "http://fair.com/", "http://evil.net/a", *(f"http://plain{i}.com/" for i in range(4)))]
+    rows = {r["page_id"]: r for r in judge_urls(spark.createDataFrame(evil + farm + behind + fair, SCHEMA)).collect()}
+    assert {rows[10 + i]["verdict"] for i in range(100)} == {"block"}
+    assert {round(rows[10 + i]["distrust"], 6) for i in range(100)} == {0.85}
+    assert rows[200]["verdict"] == "block" and rows[300]["verdict"] == "allow"
+    assert all(0 <= r["distrust"] <= 1 for r in rows.values())
+
+
 def test_a_farm_with_links_in_the_body_is_blocked(spark):
     evil = [body_page(i, f"http://evil{i}.net/a") for i in range(4)]
     farm = [body_page(100, "http://farm.com/", *(f"http://evil{i}.net/a" for i in range(4)))]
