@@ -91,7 +91,7 @@ lines as (
 often as (
   select source, norm from (select source, norm, count(distinct text) as n from lines group by 1, 2) h
   join (select source, count(*) as texts from texts group by 1) s using (source)
-  where n >= 20 and n > 0.25 * texts),
+  where n >= 20 and n * n > texts),
 lost as (select source, text, cast(sum(w) as bigint) as n from lines join often using (source, norm) group by 1, 2),
 counted as (
   select d.doc_id, len(ws) as n_words, length(array_to_string(ws, '')) as word_chars,
@@ -99,6 +99,7 @@ counted as (
     len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(r.n, 0) as n_repeat_words, coalesce(l.n, 0) as removed_words
   from d left join repeated r on d.doc_id = r.doc_id left join lost l on d.source = l.source and d.text = l.text)
 select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
-  not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and removed_words <= 0.5 * n_words as kept
+  not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and removed_words <= 0.5 * n_words
+    and n_words - removed_words >= 20 as kept
 from counted""",
 }

@@ -34,20 +34,20 @@ def base(text):
     )
 
 
-def expected(rows, docs=3, share=0.25):
+def expected(rows, docs=3):
     texts = {(s or "", t) for _, t, s in rows if t is not None}
     held, hosts = defaultdict(set), Counter(s for s, _ in texts)
     for s, t in texts:
         for line in t.split("\n"):
             if words_of(line):
                 held[s, normal(line)].add(t)
-    often = {k for k, v in held.items() if len(v) >= docs and len(v) > share * hosts[k[0]]}
+    often = {k for k, v in held.items() if len(v) >= docs and len(v) ** 2 > hosts[k[0]]}
     out = []
     for i, t, s in rows:
         n, *rest = base(t)
         lost = sum(len(words_of(x)) for x in (t or "").split("\n") if words_of(x) and (s or "", normal(x)) in often)
         failed = n < 20 or 100 * rest[-1] > 30 * n
-        out.append((i, n, *rest, failed, not failed and lost <= n / 2, lost))
+        out.append((i, n, *rest, failed, not failed and lost <= n / 2 and n - lost >= 20, lost))
     return sorted(out, key=repr)
 
 
@@ -71,15 +71,19 @@ def frame(spark, rows):
     return spark.createDataFrame([(*r, "clash", "clash", "clash") for r in rows], SCHEMA).repartition(4)
 
 
-@pytest.mark.parametrize("broadcast", [50_000, 0])
-def test_equals_brute_force(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(quality, "BROADCAST_ROWS", broadcast)
+@pytest.mark.parametrize("limit", [None, "BROADCAST_LINES", "HOST_LINES"])
+def test_equals_brute_force(spark, monkeypatch, limit):
+    if limit:
+        monkeypatch.setattr(quality, limit, 0)
     rows = sample()
     got = quality.judge(frame(spark, rows), line_docs=3)
     assert sorted((tuple(r) for r in got.collect()), key=repr) == expected(rows)
 
 
-def test_kept_rows_lose_boilerplate_lines(spark):
+@pytest.mark.parametrize("limit", [None, "HOST_LINES"])
+def test_kept_rows_lose_boilerplate_lines(spark, monkeypatch, limit):
+    if limit:
+        monkeypatch.setattr(quality, limit, 0)
     rows = sample()
     kept = Counter(r[0] for r in expected(rows) if r[-2])
     got = quality.keep_good(frame(spark, rows), line_docs=3)
@@ -107,3 +111,19 @@ def test_query_over_all_documents(spark):
     docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
     got = sorted((tuple(r) for r in op6_quality_rules(spark, folder).collect()), key=repr)
     assert got == expected([(r["doc_id"], r["text"], r["source"]) for r in docs], docs=20)
+
+
+def test_default_limits_on_given_documents(spark):
+    """Lines go and documents are depleted without any limit being lowered for the test."""
+    folder = "/root/testdata/sf0.1"
+    got = quality.judge(spark.read.parquet(f"{folder}/documents.parquet")).where("removed_words > 0").collect()
+    assert len(got) > 1000 and any(not r["kept"] and not r["base_failed"] for r in got)
+
+
+def test_names_with_spaces_and_very_long_texts(spark):
+    long = "\n".join(f"word{i} and others of line {chr(97 + i % 26) * (i % 30 + 1)}" for i in range(100_000))
+    rows = [(1, long, "h", "x"), (2, None, None, None), (None, "", "h", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `my col` string")
+    got = quality.keep_good(docs)
+    assert got.columns == docs.columns
+    assert [tuple(r) for r in got.collect()] == [rows[0]]
