@@ -11,13 +11,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import benchmark, neardups, pieces, quality, suffixes
+from gleanery.llm import benchmark, pieces, quality, simhash, suffixes
 from gleanery.queries.tables import table
 from gleanery.session import scratch_path
 
 VOCABULARY = "piece_bpe_32k.model"
-# Not op6's quarter of a host: a line of quality.LINE_DOCS different texts is boilerplate however large its host is.
-LINE_SHARE = 0.0
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -30,12 +28,12 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, without the boilerplate lines of their host."""
-    return _counted(quality.keep_good(docs, line_share=LINE_SHARE))
+    return _counted(quality.keep_good(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (5-word Jaccard of 0.8 or more): the one with the smallest doc_id."""
-    return neardups.one_of_each(docs)
+    """One document of each group of near duplicates by SimHash: the one with the smallest doc_id."""
+    return simhash.one_of_each(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
