@@ -15,9 +15,9 @@ import json
 import math
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import mixed, pieces_of, ranges, small_batches, text_bytes
+from gleanery.llm.common import frugal, mixed, pieces_of, ranges, small_batches, text_bytes
 from gleanery.session import written
 
 WINDOW = 2048
@@ -33,86 +33,194 @@ SHARD = 1024  # documents that share an index
 K1, B = 1.2, 0.75
 SKETCHES = 3  # least hashes that documents are dealt out by
 TASK_TOKENS = 8 << 20  # tokens of the shards a task packs
-TABLE_SIZE = 300_000  # words a worker keeps the ids of
 _SLICE = 2 << 20
 _OUT = 2_000  # pieces of a batch
 _PART = 33  # bits of a number within a task
+_U = np.uint64
 _SHARDED = 1 << 62  # set in the ids of windows that shards fill
 
 # Fixed value: white space, as the vocabulary's pre-tokenizer knows it.
 _BEYOND = (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 _WHITE = r"\t-\r " + "".join(map(chr, _BEYOND))
-_WORDS = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
-_LOOSE = re.compile(f"[{_WHITE}] (?:[{_WHITE}]|\\Z)")  # a space that does not begin a word of its own
+# A pre-token ends before a single space between words, whatever stands around them.
+_CUT = re.compile(f"(?<=[^{_WHITE}]) (?=[^{_WHITE}])")
+_STRETCH = 200_000  # characters encoded at a time
+
+
+def _bytes_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones for themselves."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+class Encoder:
+    """Ids of texts as the tokenizers library gives them for a byte-level vocabulary.
+
+    Where the merges of the file are numbered in their order, tiktoken applies them,
+    which gives the same ids in a third of the time; the library itself encodes
+    texts with special strings, and everything if they are not.
+    """
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        if spec.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space"):
+            raise ValueError(f"{path}: a byte-level vocabulary without normaliser and prefix space is needed")
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.size = self.library.get_vocab_size()
+        self.kind = "H" if self.size <= 1 << 16 else "I"  # an unsigned short or int
+        added = {t["content"] for t in spec.get("added_tokens", [])}
+        self.special = re.compile("|".join(map(re.escape, added))) if added else None
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        numbered = all(model["vocab"].get(a + b) == 256 + i for i, (a, b) in enumerate(merges))
+        self.quick = None
+        if numbered and before.get("use_regex", True) and not model.get("ignore_merges") and not model.get("dropout"):
+            import tiktoken
+            from public_tokenizers import PATTERN
+
+            byte = _bytes_of()
+            ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in added}
+            self.quick = tiktoken.Encoding("merges", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def _stretches(self, text: str) -> Iterator[str]:
+        """A long text in parts that are encoded each for itself."""
+        start = 0
+        while len(text) - start > 2 * _STRETCH:
+            cut = _CUT.search(text, start + _STRETCH)
+            if not cut:
+                break
+            yield text[start : cut.start()]
+            start = cut.start()
+        yield text[start:]
+
+    def encode(self, text: str) -> array:
+        if self.special and self.special.search(text):
+            return array(self.kind, self.library.encode(text, add_special_tokens=False).ids)
+        out = array(self.kind)
+        for part in self._stretches(text):
+            if self.quick and len(part) <= 2 * _STRETCH:
+                out += array(self.kind, self.quick.encode_ordinary(part))
+            else:
+                out += array(self.kind, self.library.encode(part, add_special_tokens=False).ids)
+        return out
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
+def terms_of(rests: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, term and occurrences of every term in every rest, in order; the id that ends a document is no term."""
+    sizes = np.array([max(0, len(x) - 1) for x in rests], np.int64)
+    flat = np.concatenate([*(x[:-1] for x in rests), np.empty(0, np.uint32)]).astype(np.uint64)
+    both, times = np.unique((np.repeat(np.arange(len(rests), dtype=np.uint64), sizes) << _U(32)) | flat, return_counts=True)
+    return (both >> _U(32)).astype(np.int64), (both & _U((1 << 32) - 1)).astype(np.int64), times
+
+
+@lru_cache(maxsize=2)
+def _hashes(size: int) -> np.ndarray:
+    """Hashes of every id, in rows."""
+    out = np.empty((SKETCHES, size), np.uint64)
+    row = np.arange(1, size + 1, dtype=np.uint64)
+    for i in range(SKETCHES):
+        row = out[i] = mixed(row)
+    return (out >> _U(1)).view(np.int64)
+
+
+def sketches(doc: np.ndarray, term: np.ndarray, n: int, size: int) -> np.ndarray:
+    """The least hashes of each document's terms: equal with the chance that the sets share of their union."""
+    out = np.full((SKETCHES, n), np.iinfo(np.int64).max)
+    first = np.flatnonzero(np.diff(doc, prepend=-1))
+    if len(first):
+        out[:, doc[first]] = np.minimum.reduceat(_hashes(size)[:, term], first, axis=1)
+    return out
+
+
+_TOKENS = 8 << 20  # tokens of the shards a task packs
+_SLICE = 2 << 20
+_OUT = 2_000  # pieces of a batch
+_PART = 33  # bits of a number within a task
+_U = np.uint64
+_SHARDED = 1 << 62  # set in the ids of windows that shards fill
+
+# Fixed value: white space, as the vocabulary's pre-tokenizer knows it.
+_BEYOND = (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+_WHITE = r"\t-\r " + "".join(map(chr, _BEYOND))
+# A pre-token ends before a single space between words, whatever stands around them.
+_CUT = re.compile(f"(?<=[^{_WHITE}]) (?=[^{_WHITE}])")
+_STRETCH = 200_000  # characters encoded at a time
+
+
+def _bytes_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones for themselves."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
 class Encoder:
-    """Ids of texts, by a table of the ids of words.
+    """Ids of texts as the tokenizers library gives them for a byte-level vocabulary.
 
-    A pre-token never reaches over the start of white space, and a space before a
-    word belongs to that word: what stands between them is encoded once.
+    Where the merges of the file are numbered in their order, tiktoken applies them,
+    which gives the same ids in a third of the time; the library itself encodes
+    texts with special strings, and everything if they are not.
     """
 
-    def __init__(self, path: str, table_size: int = TABLE_SIZE):
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        before = spec.get("pre_tokenizer") or {}
+        before, model = spec.get("pre_tokenizer") or {}, spec["model"]
         if spec.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space"):
             raise ValueError(f"{path}: a byte-level vocabulary without normaliser and prefix space is needed")
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.size = self.tokenizer.get_vocab_size()
-        self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        added = [re.escape(t["content"]) for t in spec.get("added_tokens", [])]
-        self.special = re.compile("|".join(added)) if added else None
-        self.table: dict[str, bytes] = {}  # behind a space
-        self.parts: dict[str, bytes] = {}  # as written
-        self.table_size = table_size
-
-    def _learn(self, parts: set[str]) -> None:
-        missing = [p for p in parts if p not in self.parts]
-        if len(self.parts) + len(missing) > self.table_size:
-            self.parts = {}
-            missing = list(parts)
-        found = self.tokenizer.encode_batch(missing, add_special_tokens=False)
-        self.parts.update((p, np.array(x.ids, self.kind).tobytes()) for p, x in zip(missing, found, strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = []
-        for text in texts:
-            if _LOOSE.search(text) or (self.special and self.special.search(text)):
-                split.append(None)
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.size = self.library.get_vocab_size()
+        self.kind = "H" if self.size <= 1 << 16 else "I"  # an unsigned short or int
+        added = {t["content"] for t in spec.get("added_tokens", [])}
+        self.special = re.compile("|".join(map(re.escape, added))) if added else None
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        numbered = all(model["vocab"].get(a + b) == 256 + i for i, (a, b) in enumerate(merges))
+        self.quick = None
+        if numbered and before.get("use_regex", True) and not model.get("ignore_merges") and not model.get("dropout"):
+            import tiktoken
+            from public_tokenizers import PATTERN
+
+            byte = _bytes_of()
+            ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in added}
+            self.quick = tiktoken.Encoding("merges", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def _stretches(self, text: str) -> Iterator[str]:
+        """A long text in parts that are encoded each for itself."""
+        start = 0
+        while len(text) - start > 2 * _STRETCH:
+            cut = _CUT.search(text, start + _STRETCH)
+            if not cut:
+                break
+            yield text[start : cut.start()]
+            start = cut.start()
+        yield text[start:]
+
+    def encode(self, text: str) -> array:
+        if self.special and self.special.search(text):
+            return array(self.kind, self.library.encode(text, add_special_tokens=False).ids)
+        out = array(self.kind)
+        for part in self._stretches(text):
+            if self.quick and len(part) <= 2 * _STRETCH:
+                out += array(self.kind, self.quick.encode_ordinary(part))
             else:
-                split.append(text.split(" "))
-        behind = set(chain.from_iterable(words[1:] for words in split if words))
-        missing = [w for w in behind if w not in self.table]
-        if len(self.table) + len(missing) > self.table_size:
-            self.table = {}
-            missing = list(behind)
-        parts = {w: _WORDS.findall(" " + w) for w in missing}
-        firsts = {words[0]: _WORDS.findall(words[0]) for words in split if words}
-        loose = {
-            text: _WORDS.findall(text)
-            for text, words in zip(texts, split, strict=True)
-            if words is None and not (self.special and self.special.search(text))
-        }
-        self._learn(set(chain.from_iterable(chain(parts.values(), firsts.values(), loose.values()))))
-        get = self.parts.__getitem__
-        self.table.update((w, b"".join(map(get, found))) for w, found in parts.items())
-        of = self.table.__getitem__
-        out = []
-        for text, words in zip(texts, split, strict=True):
-            if words is not None:
-                out.append(b"".join(chain(map(get, firsts[words[0]]), map(of, words[1:]))))
-            elif text in loose:
-                out.append(b"".join(map(get, loose[text])))
-            else:  # special strings part a text before anything else does
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-                out.append(np.array(ids, self.kind).tobytes())
+                out += array(self.kind, self.library.encode(part, add_special_tokens=False).ids)
         return out
 
 
@@ -143,30 +251,32 @@ def encoded(docs: DataFrame, path: str, end: int, window: int) -> DataFrame:
         [(n, pa.binary() if t == "binary" else pa.int32() if t == "int" else pa.int64()) for n, t in (x.split() for x in _TOKENS.split(", "))]
     )
 
+    @frugal
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
         base = TaskContext.get().partitionId() << _PART
         windows = place = 0
-        last = np.array([end], encoder.kind).tobytes()
         docs_of = np.zeros(encoder.size, np.int64)
         for batch in batches:
             for part in pieces_of(batch, _SLICE):
-                columns: dict[str, list] = {n: [] for n in kinds.names[1:8]}
-                for ids in encoder.encode([x.decode() for x in part.column("body").to_pylist()]):
-                    ids += last
-                    n = len(ids) // encoder.kind.itemsize
-                    rest = np.frombuffer(ids, encoder.kind)[n - n % window :]
-                    terms = np.unique(rest[:-1])
-                    docs_of[terms] += 1
-                    columns["tokens"].append(n)
-                    columns["ids"].append(ids)
-                    columns["window"].append(base + windows)
-                    columns["place"].append(base + place)
-                    for name, value in zip(("s1", "s2", "s3"), sketch(terms), strict=True):
-                        columns[name].append(value)
-                    windows += n // window
-                    place += 1
-                arrays = [part.column("doc_id"), *(pa.array(columns[n], kinds.field(n).type) for n in kinds.names[1:8])]
+                coded = [encoder.encode(x.decode()) for x in part.column("body").to_pylist()]
+                for ids in coded:
+                    ids.append(end)
+                n = np.array([len(ids) for ids in coded], np.int64)
+                rests = [np.frombuffer(ids, encoder.kind)[len(ids) - len(ids) % window :] for ids in coded]
+                doc, term, _ = terms_of(rests)
+                docs_of += np.bincount(term, minlength=encoder.size)
+                whole = n // window
+                arrays = [
+                    part.column("doc_id"),
+                    pa.array(n),
+                    pa.array([ids.tobytes() for ids in coded], pa.binary()),
+                    pa.array(base + windows + np.cumsum(whole) - whole),
+                    pa.array(base + place + np.arange(len(n))),
+                    *map(pa.array, sketches(doc, term, len(n), encoder.size)),
+                ]
+                windows += int(whole.sum())
+                place += len(n)
                 none = [pa.nulls(part.num_rows, pa.int32()), pa.nulls(part.num_rows, pa.int64())]
                 yield pa.RecordBatch.from_arrays([*arrays, *none], schema=kinds)
         seen = np.flatnonzero(docs_of)  # as many as the vocabulary has at most
@@ -183,22 +293,16 @@ class Shard:
 
     def __init__(self, rests: list[np.ndarray], idf: np.ndarray, average: float):
         self.size = np.array([len(x) for x in rests], np.int64)
-        terms, docs, weights = [], [], []
-        self.terms: list[np.ndarray] = []
-        for i, rest in enumerate(rests):
-            own, times = np.unique(rest[:-1], return_counts=True)
-            worth = idf[own] > 0  # others add nothing
-            own, times = own[worth], times[worth]
-            norm = K1 * (1 - B + B * len(rest) / average)
-            terms.append(own)
-            docs.append(np.full(len(own), i, np.int32))
-            weights.append(idf[own] * (times * (K1 + 1)) / (times + norm))
-        term, doc = np.concatenate(terms), np.concatenate(docs)
-        by = np.argsort(term, kind="stable")
+        doc, term, times = terms_of(rests)
+        worth = idf[term] > 0  # others add nothing
+        doc, term, times = doc[worth], term[worth], times[worth]
+        norm = K1 * (1 - B + B * self.size / average)
+        weight = idf[term] * (times * (K1 + 1)) / (times + norm[doc])
         self.known, code = np.unique(term, return_inverse=True)
-        ends = np.cumsum([len(x) for x in terms])
-        self.terms = np.split(code, ends[:-1])
-        self.term, self.doc, self.weight = code[by], doc[by], np.concatenate(weights)[by].astype(np.float32)
+        # The terms of each document, as numbers of the shard.
+        self.terms, self.begin = code, np.searchsorted(doc, np.arange(len(rests) + 1))
+        by = np.argsort(code, kind="stable")
+        self.term, self.doc, self.weight = code[by], doc[by], weight[by]
         self._first()
 
     def _first(self) -> None:
@@ -212,7 +316,7 @@ class Shard:
 
     def scores(self, seed: int) -> np.ndarray:
         """The BM25 score of every document for the terms of one of them."""
-        own = self.terms[seed]
+        own = self.terms[self.begin[seed] : self.begin[seed + 1]]
         at = ranges(self.first[own], self.first[own + 1] - self.first[own])
         return np.bincount(self.doc[at], self.weight[at], len(self.size))
 
@@ -290,6 +394,7 @@ def _wide(ids: np.ndarray) -> bytes:
 def whole_windows(tokens: DataFrame, kind: str, window: int) -> DataFrame:
     """Windows that one document fills alone."""
 
+    @frugal
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -320,7 +425,7 @@ def packed(
     """
     spark = docs.sparkSession
     encoder = _encoder(path)
-    kind, size = encoder.kind.str, encoder.size
+    kind, size = encoder.kind, encoder.size
     table = written(encoded(docs, path, end, window), "tokens")
     counts = table.where("term is not null").groupBy("term").agg(F.sum("docs").alias("docs"))
     frequency = np.zeros(size, np.int64)
@@ -333,9 +438,10 @@ def packed(
     result = whole_windows(tokens, kind, window)
     if not total:
         return result
-    idf = np.log((total - frequency + 0.5) / (frequency + 0.5)).clip(0).astype(np.float32)
+    idf = np.log((total - frequency + 0.5) / (frequency + 0.5)).clip(0)
     shared = spark.sparkContext.broadcast((idf, left / total))  # of the vocabulary's size
 
+    @frugal
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, average = shared.value
         sequence = _SHARDED | TaskContext.get().partitionId() << _PART

@@ -84,16 +84,22 @@ def test_no_rows(spark):
     assert packed(frame(spark, []), PATH).collect() == []
 
 
-def test_ids_of_texts(library):
-    encoder = Encoder(PATH, table_size=50)
+def test_ids_of_texts(library, monkeypatch):
+    encoder = Encoder(PATH)
+    assert encoder.quick
     rng = random.Random(1)
     texts = [
         "", " ", "a", "a b", " a", "a  b", "a   b ", "a \n b", "a\n\nb\n\n", "\n  a", "it's we'll 12 3a!? é é  x",
         "\x1c \x1d!\x1e a", "<|endoftext|>", "a <|endoftext|> b  <|endoftext|>", "🙂 語語 語", "a\u0085 b", "word.\nNext  line\t tab ",
     ]
     texts += ["".join(rng.choices(["a", "Bc", " ", "  ", "\n", "\t", "'s", "9", "é", "!", " ", "　"], k=rng.randrange(40))) for _ in range(800)]
-    got = [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode(texts)]
-    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    texts += ["y" * 3000, " " * 5000 + "x" + " " * 700]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [encoder.encode(t).tolist() for t in texts] == want
+    monkeypatch.setattr("gleanery.llm.packing._STRETCH", 5)
+    assert [encoder.encode(t).tolist() for t in texts] == want
+    encoder.quick = None
+    assert [encoder.encode(t).tolist() for t in texts[:50]] == want[:50]
 
 
 def test_scores_are_bm25_and_neighbours_come_first():
