@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,40 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def _trim() -> None:
+    """Hand memory that is free back to the machine: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if give_back:
+        give_back(0)
+
+
+def frugal(work: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``work`` of a map task, after which its worker keeps no free memory."""
+
+    @wraps(work)
+    def run(batches: Batches) -> Batches:
+        try:
+            yield from work(batches)
+        finally:
+            _trim()
+
+    return run
+
+
+def column_of(table: DataFrame, name: str) -> Column:
+    """A column by its exact name, whatever signs are in it."""
+    return table["`" + name.replace("`", "``") + "`"]
+
+
+def row_of(table: DataFrame) -> Column:
+    """All columns as a struct ``row``, so that no name clashes with those worked with."""
+    return F.struct(*[column_of(table, c) for c in table.columns]).alias("row")
+
+
 def text_bytes(text: str | Column = "text") -> Column:
     """The text as UTF-8 bytes; null as no bytes. Python then receives bytes without decoding them."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary")

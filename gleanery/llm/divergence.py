@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import pieces_of, small_batches, text_bytes
+from gleanery.llm.common import frugal, pieces_of, small_batches, text_bytes
 from gleanery.session import written
 
 LEAST_DOCS = 10  # documents of a language that must hold a term
@@ -137,6 +137,7 @@ def term_counts(docs: DataFrame, least_docs: int) -> DataFrame:
     """``lang, source, term, n``: occurrences of each kept term; a null term for each group, with or without terms."""
     small_batches(docs.sparkSession)
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:

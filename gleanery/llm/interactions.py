@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import LAST_ID, pieces_of, small_batches, text_bytes, words_of
+from gleanery.llm.common import LAST_ID, frugal, pieces_of, small_batches, text_bytes, words_of
 from gleanery.session import written
 
 _SLICE = 4 << 20
@@ -72,6 +72,7 @@ def failing_bits(docs: DataFrame, filters: Mapping[str, Callable[[Text], bool]]
     small_batches(docs.sparkSession)
     rules = list(filters.values())
 
+    @frugal
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in pieces_of(batch, _SLICE):
@@ -166,6 +167,7 @@ def posting_counts(rows: DataFrame, n: int) -> DataFrame:
     A row with filter -1 has the documents of the part.
     """
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple] = []
         for part, bits in _ranges(batches):

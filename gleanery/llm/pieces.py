@@ -10,6 +10,7 @@ send every word of every text through a shuffle.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import pieces_of, small_batches, text_bytes
+from gleanery.llm.common import frugal, pieces_of, small_batches, text_bytes
 
 TABLE_SIZE = 300_000  # distinct chunks a worker keeps
 _MARK = "▁"
@@ -47,11 +48,11 @@ class Chunks:
         ):
             raise ValueError(f"{path}: pieces may cross whitespace markers, or texts are normalised")
         self.processor = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.mark = [self.processor.piece_to_id(_MARK)]
+        self.mark = np.array([self.processor.piece_to_id(_MARK)], np.int32).tobytes()
         # A line break no piece holds parts texts as well.
         self.breaks = not any("\n" in p for p in pieces)
         self.parts = re.compile(" +[^ \n]*|\n[^ \n]*" if self.breaks else " +[^ ]*")
-        self.table: dict[str, tuple[int, ...]] = {" ": tuple(self.mark)}
+        self.table: dict[str, bytes] = {" ": self.mark}  # ids as 32-bit numbers
         self.table_size = table_size
 
     def split(self, text: str) -> list[str]:
@@ -62,18 +63,23 @@ class Chunks:
         """Segment the chunks that are not in the table yet."""
         missing = [c for c in chunks if c not in self.table]
         if len(self.table) + len(missing) > self.table_size:
-            self.table = {" ": tuple(self.mark)}
+            self.table = {" ": self.mark}
             missing = [c for c in chunks if c not in self.table]
         # The library puts one marker in front of what it gets: instead of the chunk's own first
         # space, or before the line break a chunk starts with, where it is cut off again.
         ids = self.processor.encode([c[1:] if c[0] == " " else c for c in missing])
-        self.table.update((c, tuple(x if c[0] == " " else x[1:])) for c, x in zip(missing, ids, strict=True))
+        self.table.update(
+            (c, array("i", x if c[0] == " " else x[1:]).tobytes()) for c, x in zip(missing, ids, strict=True)
+        )
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        return [x.tolist() for x in self.ids(texts)]
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.split(t) for t in texts]
         self.learn(set(chain.from_iterable(split)))
         get = self.table.__getitem__
-        return [list(chain.from_iterable(map(get, parts))) for parts in split]
+        return [np.frombuffer(b"".join(map(get, parts)), np.int32) for parts in split]
 
 
 @lru_cache(maxsize=2)
@@ -92,18 +98,19 @@ def encode_decode(docs: DataFrame, path: str, table_size: int = TABLE_SIZE) -> D
     """
     small_batches(docs.sparkSession)
 
+    @frugal
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = _chunks(path, table_size)
         for batch in batches:
             for part in pieces_of(batch, _SLICE):
-                ids = chunks.encode([x.decode() for x in part.column("body").to_pylist()])
+                ids = chunks.ids([x.decode() for x in part.column("body").to_pylist()])
                 ends = np.cumsum([0, *map(len, ids)])
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, ends[-1])
+                flat = np.concatenate([*ids, np.empty(0, np.int32)])
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
-                        pa.array([chunks.processor.decode(x) if x else "" for x in ids], pa.string()),
+                        pa.array([chunks.processor.decode(x.tolist()) if len(x) else "" for x in ids], pa.string()),
                     ],
                     ["doc_id", "ids", "decoded"],
                 )
