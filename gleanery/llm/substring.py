@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from gleanery.llm.common import pieces_of, words_of
+from gleanery.llm.common import frugal, pieces_of, words_of
 from gleanery.llm.windows import Bucket, Scheme, Slice, covered, distinct_runs, removals, with_spans
 
 WORDS = 20  # words of a window
@@ -92,6 +92,7 @@ def remove_repeats(docs: DataFrame, k: int = WORDS, m: int = GRAM) -> DataFrame:
     scheme = Scheme(read_words, k, m, within=True, spread=3.0, slice_bytes=_SLICE)
     spans = removals(docs, scheme, partial(earlier_windows, k=k))
 
+    @frugal
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces_of(batch, _SLICE):

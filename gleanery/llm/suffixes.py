@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from gleanery.llm.common import mixed, pieces_of, ranges
+from gleanery.llm.common import frugal, mixed, pieces_of, ranges
 from gleanery.llm.windows import (
     Bucket,
     Scheme,
@@ -36,7 +37,7 @@ BYTES = 50  # bytes of a window
 GRAM = 12  # bytes of the grams that choose a bucket
 ANCHOR = 32  # bytes of the grams that strings of one suffix array share
 _SLICE = 3 << 19
-_PLACES = 24  # bits of a position within the strings of a bucket
+_PLACES = 16  # bits of a position within the strings of a bucket, at least
 _SALTED = mixed(np.arange(256, dtype=np.uint64) + np.uint64(1))
 
 
@@ -128,7 +129,8 @@ def _fragments(data: np.ndarray, sizes: np.ndarray, k: int, anchor: int) -> tupl
     """Strings cut where the leftmost smallest gram of their windows moves: string, start, windows, gram, its hash."""
     grams = gram_hashes(_SALTED[data], anchor)
     places = np.arange(len(grams), dtype=np.uint64)
-    low = sliding_min((grams >> np.uint64(_PLACES) << np.uint64(_PLACES)) | places, k - anchor + 1)
+    bits = np.uint64(max(_PLACES, len(grams).bit_length()))  # room for every place; the rest is left to the hash
+    low = sliding_min((grams >> bits << bits) | places, k - anchor + 1)
     ends = np.cumsum(sizes)
     first, last = ends - sizes, ends - k + 1
     cut = np.ones(len(low), bool)
@@ -140,7 +142,7 @@ def _fragments(data: np.ndarray, sizes: np.ndarray, k: int, anchor: int) -> tupl
     string = np.searchsorted(first, starts, "right") - 1
     fits = starts < last[string]
     starts, counts, string = starts[fits], counts[fits], string[fits]
-    place = (low[starts] & np.uint64((1 << _PLACES) - 1)).astype(np.int64)
+    place = (low[starts] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     return string, starts, counts, place, grams[place]
 
 
@@ -279,6 +281,7 @@ def remove_shared_bytes(docs: DataFrame, k: int = BYTES, m: int = GRAM, anchor:
     scheme = Scheme(read_bytes, k, m, within=False, spread=(k + (k - m) / 2) / ((k - m + 2) / 2), slice_bytes=_SLICE)
     joined = with_spans(docs, removals(docs, scheme, partial(shared_windows, k=k, anchor=anchor)))
 
+    @frugal
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces_of(batch, _SLICE):
@@ -299,9 +302,10 @@ def remove_shared_bytes(docs: DataFrame, k: int = BYTES, m: int = GRAM, anchor:
                     ["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "rest"],
                 )
 
-    rest = joined.schema["rest"].dataType.simpleString()
-    schema = f"doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, rest {rest}"
-    return joined.mapInArrow(keep, schema)
+    schema = StructType([StructField("doc_id", LongType()), StructField("kept", BinaryType())])
+    for name in ("n_bytes", "n_removed", "n_spans"):
+        schema.add(name, LongType())
+    return joined.mapInArrow(keep, schema.add("rest", joined.schema["rest"].dataType))
 
 
 def cut_text(docs: DataFrame, k: int = BYTES, m: int = GRAM, anchor: int = ANCHOR) -> DataFrame:
@@ -311,11 +315,12 @@ def cut_text(docs: DataFrame, k: int = BYTES, m: int = GRAM, anchor: int = ANCHO
     """
     cut = remove_shared_bytes(docs, k, m, anchor)
 
+    @frugal
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [b.decode(errors="ignore") for b in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(1)], ["text", "rest"])
 
-    rest = cut.schema["rest"].dataType
-    named = cut.select("kept", "rest").mapInArrow(decode, f"text string, rest {rest.simpleString()}")
+    schema = StructType([StructField("text", StringType()), cut.schema["rest"]])
+    named = cut.select("kept", "rest").mapInArrow(decode, schema)
     return named.select(*["text" if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns])

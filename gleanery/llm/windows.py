@@ -13,7 +13,6 @@ import math
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import doc_key, mixed, pieces_of, ranges, small_batches
+from gleanery.llm.common import column_of, doc_key, frugal, mixed, pieces_of, ranges, small_batches
 from gleanery.session import written
 
 _U = np.uint64
@@ -30,7 +29,7 @@ _BACK = pow(_STEP, -1, 2**64)
 BUCKET_BYTES = 8 << 20  # packed bytes a bucket holds on average
 PART_BYTES = 3 << 19  # of which so many are worked on at a time
 HOT_BYTES = 1 << 20  # packed bytes of one minimiser beyond which its windows travel alone
-MOST_HOT = 200_000  # minimisers that are looked up as hot, at most
+MOST_HOT = 2_000_000  # minimisers that are looked up as hot, at most: 16 MB
 
 
 _FLUSH = 16 << 20  # packed bytes a task gathers before it compresses them by bucket
@@ -69,21 +68,22 @@ class Runs:
     low: np.ndarray  # the minimiser, or the hash of a window that travels alone
 
 
-@lru_cache(maxsize=4)
-def _powers(n: int, step: int) -> np.ndarray:
-    out = np.empty(n, np.uint64)
-    out[0] = 1
-    filled = 1
-    while filled < n:
-        more = min(filled, n - filled)
-        out[filled : filled + more] = out[:more] * _U(pow(step, filled, 2**64))
-        filled += more
-    return out
+_POWERS: dict[int, np.ndarray] = {}  # the longest of each step
 
 
 def powers(n: int, step: int) -> np.ndarray:
-    size = 1 << max(16, (int(n) - 1).bit_length())
-    return _powers(size, step)[:n]
+    """1, step, step**2, ... of ``n`` powers."""
+    out = _POWERS.get(step)
+    if out is None or len(out) < n:
+        out = np.empty(1 << max(16, (int(n) - 1).bit_length()), np.uint64)
+        out[0] = 1
+        filled = 1
+        while filled < len(out):
+            more = min(filled, len(out) - filled)
+            out[filled : filled + more] = out[:more] * _U(pow(step, filled, 2**64))
+            filled += more
+        _POWERS[step] = out
+    return out[:n]
 
 
 def gram_hashes(tokens: np.ndarray, m: int) -> np.ndarray:
@@ -184,6 +184,16 @@ def _alone(part: Slice, runs: Runs, k: int, hot: np.ndarray) -> Runs:
     return Runs(doc[order], start[order], windows[order], np.concatenate([runs.low[~is_hot], low])[order])
 
 
+def _settled_runs(runs: Runs, gone: np.ndarray) -> dict[str, np.ndarray]:
+    """Runs that are gone, joined where they follow each other: which are the first ones, with how many windows."""
+    doc, start, windows = runs.doc[gone], runs.start[gone], runs.windows[gone]
+    begins = np.append(True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + windows[:-1]))[: len(doc)]
+    first = np.flatnonzero(begins)
+    many = np.add.reduceat(windows, first) if len(first) else windows
+    nothing = np.zeros(len(gone), np.int64)
+    return {"first": first, "many": many, "size": nothing, "again": nothing}
+
+
 def _planes(values: np.ndarray) -> bytes:
     """The bytes of all values, the lowest of each first: equal high bytes lie together."""
     return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
@@ -263,8 +273,11 @@ def _slices(scheme: Scheme, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple
         for rows in pieces_of(batch, scheme.slice_bytes):
             d, tie = (rows.column(i).to_numpy() for i in (0, 1))
             order = np.lexsort((tie, d))
+            # Repeated rows are one document: of those that lie together one travels.
+            d, tie = d[order], tie[order]
+            first = np.append(True, (d[1:] != d[:-1]) | (tie[1:] != tie[:-1]))[: len(d)]
             bodies = rows.column(2).to_pylist()
-            yield d[order], tie[order], scheme.read([bodies[i] for i in order])
+            yield d[first], tie[first], scheme.read([bodies[i] for i in order[first]])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -281,6 +294,7 @@ def hot_minimisers(keyed: DataFrame, scheme: Scheme, packed_bytes: int) -> np.nd
     """
     share = min(MOST_HOT, max(1, packed_bytes // HOT_BYTES))
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.empty(0, np.uint64)
         times = np.empty(0, np.int64)
@@ -312,7 +326,7 @@ def hot_minimisers(keyed: DataFrame, scheme: Scheme, packed_bytes: int) -> np.nd
     # Sums may miss half of what a hot minimiser has: half the share is enough. At most 2 * share rows.
     rows = counted.where("low is not null and n > 64").where(F.col("n") * (2 * share) >= total)
     rows = rows.where(F.col("n") * F.lit(packed_bytes) >= F.lit(HOT_BYTES / 2) * total)
-    return np.sort(np.array([r[0] for r in rows.select("low").collect()], np.int64).view(np.uint64))
+    return np.sort(rows.select("low").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
 def removals(
@@ -334,6 +348,7 @@ def removals(
     hot = spark.sparkContext.broadcast(hot_minimisers(keyed, scheme, packed))  # at most MOST_HOT numbers
     k, m, within = scheme.k, scheme.m, scheme.within
 
+    @frugal
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[int, list] = defaultdict(list)
         held = 0
@@ -361,13 +376,20 @@ def removals(
                 again = np.add.reduceat(hits.astype(np.int32), np.cumsum(many) - many) > 1
             else:
                 gone = d[runs.doc] > d[runs.doc[same]]
-            bucket = (mixed(runs.low) % _U(buckets)).astype(np.int64)
-            size = np.where(gone, 0, size)
-            order = np.argsort(bucket, kind="stable")
             fields = {
                 "d": d[runs.doc], "tie": tie[runs.doc], "start": local, "windows": runs.windows,
                 "low": (runs.low >> _U(40)).astype(np.uint32), "size": size, "again": again,
             }
+            settled = _settled_runs(runs, gone)
+            fields = {name: np.concatenate([v[~gone], settled.get(name, v)[gone][settled["first"]]]) for name, v in fields.items()}
+            fields["windows"][np.count_nonzero(~gone) :] = settled["many"]
+            at = np.concatenate([at[~gone], np.zeros(len(settled["many"]), np.int64)])
+            size = fields["size"]
+            # What is settled needs no company: any bucket will do, whatever it is a copy of.
+            place = fields["d"].astype(np.uint64) * _U(_STEP) + fields["start"].astype(np.uint64)
+            meets = np.concatenate([runs.low[~gone], place[np.count_nonzero(~gone) :]])
+            bucket = (mixed(meets) % _U(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
             fields = {name: values[order].astype(kind) for (name, kind), values in zip(_FIELDS, map(fields.get, _NAMES), strict=True)}
             edges = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(bucket))
             raw = part.data.tobytes()
@@ -391,6 +413,7 @@ def removals(
         waiting.clear()
         return out
 
+    @frugal
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for payloads in _by_bucket(batches):
             for held in Bucket.parts(payloads):
@@ -449,9 +472,10 @@ def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
     ``rest`` holds the columns of the row besides the text.
     """
-    rest = [docs[c] for c in docs.columns if c != "text"]
+    rest = [column_of(docs, c) for c in docs.columns if c != "text"]
     left = docs.select(docs["doc_id"].cast("long").alias("doc_id"), *doc_key(docs), F.struct(*rest).alias("rest"))
-    right = spans.groupBy("d", "tie").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
+    # A set: tasks that held repeats of a row found the same spans.
+    right = spans.groupBy("d", "tie").agg(F.collect_set(F.struct("start", "length")).alias("spans"))
     return left.join(right, ["d", "tie"], "left").select(
         "doc_id", "body", F.col("spans.start").alias("starts"), F.col("spans.length").alias("lengths"), "rest"
     )

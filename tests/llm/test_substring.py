@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from gleanery.llm.substring import remove_repeats
 
@@ -60,6 +61,45 @@ def test_repeated_rows_are_one_document(spark):
     assert removed == [(1, 30, 0), (1, 30, 0), (2, 30, 30), (2, 31, 30)]
 
 
+def test_one_row_a_hundred_thousand_times(spark):
+    """Repeats are one document: few of them travel, and all get its result."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    first, copied = " ".join(words), " ".join(words[10:50] + rng.sample(words, 30))
+    rows = spark.createDataFrame([(1, first)], "doc_id long, text string").union(
+        spark.range(100_000).selectExpr("2L", f"'{copied}'")
+    )
+    got = remove_repeats(rows.repartition(8)).groupBy("doc_id", "n_words", "n_removed", "kept").count().collect()
+    want = {i: tuple(r) for i, *r in expected([(1, first), (2, copied)], 20)}
+    assert {r["doc_id"]: (r["kept"], r["n_words"], r["n_removed"]) for r in got} == want
+    assert {r["doc_id"]: r["count"] for r in got} == {1: 1, 2: 100_000}
+
+
+def test_settled_runs_leave_their_bucket(spark, many_chunks):
+    """Documents with one passage in common: the rows settled where they are read are spread over all buckets."""
+    import numpy as np
+
+    from gleanery.llm import substring, windows
+    from gleanery.llm.windows import Scheme
+
+    passage = " ".join(f"p{i}" for i in range(40))
+    docs = spark.createDataFrame([(i, passage) for i in range(3000)], "doc_id long, text string").coalesce(1)
+    scheme = Scheme(substring.read_words, 20, 5, within=True, spread=3.0, slice_bytes=3 << 20)
+    spans = windows.removals(docs, scheme, lambda held: substring.earlier_windows(held, 20))
+    sizes = [r["n"] for r in spans.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert 2999 <= sum(sizes) < 3100  # one joined span for each document settled in its batch
+    assert len(sizes) > 2 and max(sizes) < 2 * np.mean(sizes)
+
+
+def test_texts_longer_than_a_slice(spark, monkeypatch):
+    monkeypatch.setattr("gleanery.llm.substring._SLICE", 300)
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(500)}" for _ in range(3000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[500:1500] + ["end"])), (3, " ".join(["x"] * 2000)), (4, "a b")]
+    got = remove_repeats(spark.createDataFrame([(i, t, "", "") for i, t in rows], SCHEMA)).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == expected(rows, 20)
+
+
 def test_no_rows_and_bad_parameters(spark):
     assert remove_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
     with pytest.raises(ValueError):

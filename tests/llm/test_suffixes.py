@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gleanery.llm.suffixes import remove_shared_bytes, suffix_array
+from gleanery.llm.suffixes import cut_text, remove_shared_bytes, suffix_array
 
 SCHEMA = "doc_id long, text string, kept string, start string"
 
@@ -66,6 +66,45 @@ def test_equals_brute_force(spark, monkeypatch, hot):
     assert sorted(got, key=repr) == expected(rows, 50)
 
 
+def test_places_beyond_the_reserved_bits(spark, monkeypatch):
+    monkeypatch.setattr("gleanery.llm.suffixes._PLACES", 2)
+    rows = sample(9)
+    result = remove_shared_bytes(spark.createDataFrame([(i, t, "", "") for i, t in rows], SCHEMA)).drop("rest")
+    assert sorted(((r[0], bytes(r[1]), *r[2:]) for r in result.collect()), key=repr) == expected(rows, 50)
+
+
+def test_longest_common_grams_win_whatever_the_hash(monkeypatch):
+    """Strings cut in a buffer of many places as in one of few."""
+    import numpy as np
+
+    from gleanery.llm.suffixes import _fragments
+
+    rng = np.random.default_rng(1)
+    data = rng.integers(97, 100, 60_000).astype(np.uint8)
+    sizes = np.array([60_000])
+    few = _fragments(data, sizes, 50, 32)
+    monkeypatch.setattr("gleanery.llm.suffixes._PLACES", 24)
+    many = _fragments(data, sizes, 50, 32)
+    assert all((a == b).all() for a, b in zip(few, many, strict=True))
+    string, start, windows, place, _ = few
+    assert ((place >= start) & (place + 32 <= start + 50 + windows - 1)).all() and windows.sum() == 60_000 - 49
+
+
+def test_texts_longer_than_a_slice(spark, monkeypatch):
+    monkeypatch.setattr("gleanery.llm.suffixes._SLICE", 500)
+    rng = random.Random(6)
+    long = "".join(rng.choices("abcdefgh ", k=6000))
+    rows = [(1, long), (2, long[1000:3000] + "tail" + long[:500]), (3, "x" * 40 + long[2000:2100]), (4, "y" * 3000)]
+    result = remove_shared_bytes(spark.createDataFrame([(i, t, "", "") for i, t in rows], SCHEMA)).drop("rest")
+    assert sorted(((r[0], bytes(r[1]), *r[2:]) for r in result.collect()), key=repr) == expected(rows, 50)
+
+
+def test_any_column_name_is_carried(spark):
+    docs = spark.createDataFrame([(1, "a", 1.5, [1])], "doc_id long, text string, `my col` double, `a.b` array<int>")
+    got = cut_text(docs)
+    assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [(1, "a", 1.5, [1])]
+
+
 def test_no_rows_and_bad_parameters(spark):
     assert remove_shared_bytes(spark.createDataFrame([], SCHEMA)).collect() == []
     with pytest.raises(ValueError):
