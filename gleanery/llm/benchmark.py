@@ -22,13 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from gleanery.llm.common import pieces_of, ranges, small_batches, text_bytes, words_of
+from gleanery.llm.common import doc_key, frugal, pieces_of, ranges, row_of, small_batches, text_bytes, words_of
 from gleanery.session import written
 
 GRAM = 3  # words of a seed
 SEEDS = 2  # different seeds a passage needs, one of them rare
 SCORE = 0.5  # share of the best possible alignment score from which a passage is a copy
-BROADCAST_IDS = 1_000_000  # ids of leaking documents that may be broadcast
+RUN = 13  # words of an item in a row from which a passage is a copy, however long the item
+BROADCAST_IDS = 1_000_000  # keys of leaking documents that may be broadcast
 BLOCK_BYTES = 8 << 20  # text of the items that are looked up at a time
 MATCH, MISMATCH, GAP = 2, -1, -1
 _SLICE = 3 << 20
@@ -150,6 +151,17 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return best >> _PLACES, best & ((1 << _PLACES) - 1), end
 
 
+def longest_run(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
+    """The most words in a row that both have, and one past the last of them in the passage."""
+    row, best, end = np.zeros(len(passage) + 1, np.int64), 0, 0
+    for word in item:
+        row[1:] = np.where(passage == word, row[:-1] + 1, 0)
+        top = int(row.argmax())
+        if row[top] > best:
+            best, end = int(row[top]), top
+    return best, end
+
+
 def passages(
     items: Items, length: int, places: np.ndarray, found: np.ndarray, seeds: int
 ) -> Iterator[tuple[int, int, int, np.ndarray]]:
@@ -188,54 +200,61 @@ def contaminated(
     n: int = GRAM,
     seeds: int = SEEDS,
     score: float = SCORE,
+    run: int = RUN,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """``doc_id, item_id, score, start, words, seeds``: passages of documents that copy a test item.
+    """``doc_id, item_id, score, start, words, seeds, run``: passages of documents that copy a test item or part of one.
 
     ``score`` is the alignment's share of what an exact copy of the item gets, from
-    ``score`` on; ``start`` and ``words`` say where the passage lies in the
-    document. Words are compared without case and outer punctuation. Items are
+    ``score`` on, or lower where ``run`` words of the item follow each other in
+    the passage; ``start`` and ``words`` say where the passage lies in the document. Words are compared without case and outer punctuation. Items are
     looked up in blocks, so any number of them will do. Documents and items without
     text, and items without id, match nothing; a null doc_id stays null; repeated
     rows give repeated rows, repeated items one; other columns are ignored.
     """
+    return _contaminated(docs, items, n, seeds, score, run, block_bytes).drop("d", "tie")
+
+
+def _contaminated(
+    docs: DataFrame, items: DataFrame, n: int, seeds: int, score: float, run: int, block_bytes: int
+) -> DataFrame:
+    """The passages with the key (``d, tie``) of their row."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.where(docs["text"].isNotNull()).select(
-        docs["doc_id"].cast("long").alias("doc_id"), text_bytes(docs["text"]).alias("body")
-    )
+    rows = docs.where(docs["text"].isNotNull()).select(docs["doc_id"].cast("long").alias("doc_id"), *doc_key(docs))
     kind = items.select(_item_id(items)).schema[0].dataType.simpleString()
-    schema = f"doc_id long, item_id {kind}, score double, start long, words long, seeds int"
+    schema = f"doc_id long, d long, tie int, item_id {kind}, score double, start long, words long, seeds int, run int"
     result = spark.createDataFrame([], schema)
     for block in _blocks(items, block_bytes):
         held = Items.of(block, n)
         if not len(held.seeds):
             continue
-        result = result.union(_of_block(rows, held, seeds, score, schema))
+        result = result.union(_of_block(rows, held, n, seeds, score, run, schema))
     return result
 
 
-_FOUND = "doc_id long, item int, words binary, places binary, seeds array<int>, n long"
+_FOUND = "doc_id long, d long, tie int, item int, words binary, places binary, seeds array<int>, n long"
 
 
-def _of_block(rows: DataFrame, held: Items, seeds: int, least: float, schema: str) -> DataFrame:
+def _of_block(rows: DataFrame, held: Items, n: int, seeds: int, least: float, run: int, schema: str) -> DataFrame:
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(held)  # a block
     kinds = pa.schema(
         [
-            ("doc_id", pa.int64()), ("item", pa.int32()), ("words", pa.binary()), ("places", pa.binary()),
-            ("seeds", pa.list_(pa.int32())), ("n", pa.int64()),
+            ("doc_id", pa.int64()), ("d", pa.int64()), ("tie", pa.int32()), ("item", pa.int32()),
+            ("words", pa.binary()), ("places", pa.binary()), ("seeds", pa.list_(pa.int32())), ("n", pa.int64()),
         ]
     )
 
+    @frugal
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Stretches with seeds; at the end, as rows without an item, in how many texts each seed stands."""
         block, table = shared.value, _Words()
         documents = np.zeros(len(block.seeds), np.int64)
         for batch in batches:
             for part in pieces_of(batch, _SLICE):
-                out, ids = [], part.column(0).to_pylist()
-                hashes, text, place = hashed_words(part.column(1).to_pylist(), table)
+                out, ids = [], list(zip(*(part.column(k).to_pylist() for k in range(3)), strict=True))
+                hashes, text, place = hashed_words(part.column("body").to_pylist(), table)
                 places, found = block.hits(hashes, text)
                 pairs = np.unique(text[places] * len(block.seeds) + found)
                 documents += np.bincount(pairs % len(block.seeds), minlength=len(block.seeds))
@@ -245,15 +264,17 @@ def _of_block(rows: DataFrame, held: Items, seeds: int, least: float, schema: st
                     begin, end = np.searchsorted(text, (t, t + 1))
                     for i, a, b, own in passages(block, int(end - begin), places[x:y] - begin, found[x:y], seeds):
                         words = slice(begin + a, begin + b)
-                        # No alignment matches more of the item's words than stand in the stretch.
-                        if np.isin(block.words[i], hashes[words]).sum() < least * block.sizes[i]:
+                        # No alignment matches more of the item's words than stand in the stretch,
+                        # and a run of words has all its seeds.
+                        matched = np.isin(block.words[i], hashes[words]).sum()
+                        if matched < least * block.sizes[i] and (matched < run or len(own) < run - n + 1):
                             continue
                         held = (hashes[words].tobytes(), place[words].astype(np.int32).tobytes())
-                        out.append((ids[t], i, *held, own.tolist(), 0))
+                        out.append((*ids[t], i, *held, own.tolist(), 0))
                 if out:
                     yield pa.RecordBatch.from_pylist([dict(zip(kinds.names, r, strict=True)) for r in out], schema=kinds)
         seen = np.flatnonzero(documents).tolist()
-        counts = [(None, None, None, None, [s], int(documents[s])) for s in seen]
+        counts = [(None, None, None, None, None, None, [s], int(documents[s])) for s in seen]
         yield pa.RecordBatch.from_pylist([dict(zip(kinds.names, r, strict=True)) for r in counts], schema=kinds)
 
     found = written(rows.mapInArrow(find, _FOUND), "passages")
@@ -264,24 +285,32 @@ def _of_block(rows: DataFrame, held: Items, seeds: int, least: float, schema: st
     chosen = spark.sparkContext.broadcast(held)
     result = pa.schema(
         [
-            ("doc_id", pa.int64()), ("item_id", _arrow_type(held.ids[0])), ("score", pa.float64()),
-            ("start", pa.int64()), ("words", pa.int64()), ("seeds", pa.int32()),
+            ("doc_id", pa.int64()), ("d", pa.int64()), ("tie", pa.int32()), ("item_id", _arrow_type(held.ids[0])),
+            ("score", pa.float64()), ("start", pa.int64()), ("words", pa.int64()), ("seeds", pa.int32()), ("run", pa.int32()),
         ]
     )
 
+    @frugal
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = chosen.value
         for batch in batches:
             out = []
-            for doc_id, i, words, places, own in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                if not np.isin(i * len(block.seeds) + np.array(own), block.rare).any():
+            for *key, i, words, places, own in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                # Seeds of a whole run are as good as a rare one: few texts have them together.
+                whole = len(own) >= run - n + 1
+                if not whole and not np.isin(i * len(block.seeds) + np.array(own), block.rare).any():
                     continue
                 item, place = block.words[i], np.frombuffer(places, np.int32)
-                points, start, end = align(item, np.frombuffer(words, np.uint64))
+                passage = np.frombuffer(words, np.uint64)
+                points, start, end = align(item, passage)
                 share = points / (MATCH * len(item))
-                if share >= least:
-                    first, last = int(place[start]), int(place[end - 1])
-                    out.append((doc_id, block.ids[i], share, first, last - first + 1, len(own)))
+                longest, last = longest_run(item, passage) if whole or share >= least else (0, 0)
+                if share < least:
+                    if longest < run:
+                        continue
+                    start, end = last - longest, last
+                first, last = int(place[start]), int(place[end - 1])
+                out.append((*key, block.ids[i], share, first, last - first + 1, len(own), longest))
             yield pa.RecordBatch.from_pylist([dict(zip(result.names, r, strict=True)) for r in out], schema=result)
 
     return found.where("item is not null").drop("n").mapInArrow(score, schema)
@@ -300,9 +329,13 @@ def _item_id(items: DataFrame) -> Column:
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no passage of a test item, with all their columns.
 
-    Rows with a null doc_id are judged with all others of null id.
+    Each row is judged by its own text, whatever other rows share its id.
     """
-    leaked = written(contaminated(docs, items).select(F.col("doc_id").alias("_leaked")).distinct(), "leaked")
+    found = _contaminated(docs, items, GRAM, SEEDS, SCORE, RUN, BLOCK_BYTES)
+    leaked = written(found.select("d", "tie").distinct(), "leaked")
     if leaked.count() <= BROADCAST_IDS:  # counted: the texts then stay where they are
         leaked = F.broadcast(leaked)
-    return docs.join(leaked, docs["doc_id"].cast("long").eqNullSafe(leaked["_leaked"]), "left_anti")
+    d, tie, _ = doc_key(docs)
+    rows = docs.select(row_of(docs), d, tie)
+    kept = rows.join(leaked, ["d", "tie"], "left_anti")
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

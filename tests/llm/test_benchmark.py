@@ -94,8 +94,11 @@ def test_no_rows_and_leaks_taken_out(spark):
     items = spark.createDataFrame([(*x, "clash") for x in items], ITEMS)
     kept = without_leaks(frame, items)
     assert kept.columns == frame.columns
-    leaked = {d for d, _ in want} | {None}
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, _ in docs if d not in leaked)
+    leaked = {d for d, _ in want}
+    left = [d for d, _ in docs[:-2] if d not in leaked] + [None]  # the clean row without an id stays
+    got = kept.collect()
+    assert sorted((r["doc_id"] for r in got), key=repr) == sorted(left, key=repr)
+    assert [r["text"] for r in got if r["doc_id"] is None] == ["clean"]
     assert contaminated(frame.limit(0), items).collect() == []
     assert contaminated(frame, items.limit(0)).collect() == []
 
@@ -115,4 +118,35 @@ def test_query_over_all_documents(spark):
         want |= {(d, i) for i, item in items.items() if f" {' '.join(item)} " in text}
     assert want and want <= got
     for d, i in got - want:
-        assert plain_alignment(items[i], docs[d]) / (2 * len(items[i])) >= 0.5
+        runs = {tuple(items[i][k : k + 13]) for k in range(len(items[i]) - 12)}
+        held = {tuple(docs[d][k : k + 13]) for k in range(len(docs[d]) - 12)}
+        assert runs & held or plain_alignment(items[i], docs[d]) / (2 * len(items[i])) >= 0.5
+
+
+def test_words_in_a_row_of_a_long_item(spark):
+    """Part of an item, word by word, is reported however small its share; as many scattered words are not."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=8))
+    item = [word() for _ in range(200)]
+    filler = lambda n: [word() for _ in range(n)]
+    scattered = [x for w in item[:40] for x in (w, word())]
+    rows = [
+        (1, filler(30) + item[50:63] + filler(30)),
+        (2, filler(30) + item[50:62] + filler(30)),
+        (3, filler(30) + item[100:150] + filler(30)),
+        (4, scattered),
+        (5, item[80:93]),
+    ]
+    docs = spark.createDataFrame([(i, " ".join(w), "", "", "") for i, w in rows], DOCS)
+    items = spark.createDataFrame([(7, " ".join(item), "")], ITEMS)
+    got = {r["doc_id"]: r for r in contaminated(docs, items).collect()}
+    assert {i: (r["start"], r["words"], r["run"]) for i, r in got.items()} == {1: (30, 13, 13), 3: (30, 50, 50), 5: (0, 13, 13)}
+
+
+def test_rows_that_share_an_id_are_judged_each(spark):
+    item = " ".join(f"word{i}" for i in range(30))
+    rows = [(1, item), (1, "clean words of the same id"), (2, f"a {item} b"), (None, item), (None, "clean"), (None, None)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, `my col.x` string")
+    kept = without_leaks(docs, spark.createDataFrame([(1, item, "")], ITEMS))
+    assert kept.columns == docs.columns
+    assert sorted((tuple(r)[:2] for r in kept.collect()), key=repr) == sorted([rows[1], *rows[4:]], key=repr)
