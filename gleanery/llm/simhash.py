@@ -18,8 +18,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import doc_key, pieces_of, small_batches, words_of
-from gleanery.session import written
+from gleanery.llm.common import doc_key, frugal, pieces_of, row_of, small_batches, words_of
+from gleanery.session import sized, written
 
 SHINGLE = 4
 SEED = 42
@@ -27,6 +27,7 @@ DISTANCE = 4
 _SLICE = 4 << 20
 _BLOCK = 1024  # fingerprints compared with as many at a time
 _LINK_ROWS = 50_000
+KEY_ROWS = 8192  # rows of a key that are compared in one task
 _U = np.uint64
 
 
@@ -59,6 +60,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
     """``doc_id, d, tie, fp``: the fingerprint of each row as the 64 bits of a long."""
     small_batches(docs.sparkSession)
 
+    @frugal
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces_of(batch, _SLICE):
@@ -154,10 +156,16 @@ def star_edges(waiting: np.ndarray, looking: np.ndarray, start: int, distance: i
     return nodes[moved], nodes[labels][moved]
 
 
-def _key_edges(keys: np.ndarray, fps: np.ndarray, probes: np.ndarray, distance: int) -> list[np.ndarray]:
-    """Edges of whole keys, sorted. Small keys pair by pair for all at once, larger ones each in blocks."""
+def _changes(groups: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return (groups[1:] != groups[:-1]) | (keys[1:] != keys[:-1])
+
+
+def _key_edges(
+    groups: np.ndarray, keys: np.ndarray, fps: np.ndarray, probes: np.ndarray, distance: int
+) -> list[np.ndarray]:
+    """Edges of whole groups, sorted. Small ones pair by pair for all at once, larger ones each in blocks."""
     out = []
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    first = np.flatnonzero(np.append(True, _changes(groups, keys)))
     size = np.diff(np.append(first, len(keys)))
     starts = (keys[first] >> _U(32)).astype(np.int64)
     for n in range(2, 9):
@@ -179,6 +187,7 @@ def _key_edges(keys: np.ndarray, fps: np.ndarray, probes: np.ndarray, distance:
 def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """``u, v``: links between different fingerprints (column ``fp``), enough to connect all that are connected."""
 
+    @frugal
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, values, probes = chain_keys(batch.column(0).to_numpy().view(np.uint64), distance)
@@ -188,32 +197,48 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
                     [pa.array(x[at : at + _LINK_ROWS]) for x in table], ["key", "fp", "probe"]
                 )
 
+    @frugal
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[list[np.ndarray]] = []
 
         def settle(whole: bool) -> pa.RecordBatch:
             nonlocal held
-            keys, fps, probes = (np.concatenate(x) for x in zip(*held, strict=True))
-            end = len(keys) if whole else int(np.searchsorted(keys, keys[-1]))  # the last key may go on
-            held = [(keys[end:], fps[end:], probes[end:])]
+            groups, keys, fps, probes = (np.concatenate(x) for x in zip(*held, strict=True))
+            # The last group may go on.
+            end = len(keys) if whole else int(np.flatnonzero(np.append(True, _changes(groups, keys)))[-1])
+            held = [[x[end:] for x in (groups, keys, fps, probes)]]
             none = [np.empty((2, 0), np.uint64)]
-            found = np.concatenate(none + (_key_edges(keys[:end], fps[:end], probes[:end], distance) if end else []), 1)
+            found = _key_edges(groups[:end], keys[:end], fps[:end], probes[:end], distance) if end else []
+            found = np.concatenate(none + found, 1)
             pairs = np.unique(np.stack([found.min(0, initial=2**64 - 1), found.max(0, initial=0)]), axis=1)
             return pa.RecordBatch.from_arrays([pa.array(x.astype(np.uint64).view(np.int64)) for x in pairs], ["u", "v"])
 
         waiting = 0
         for batch in batches:
-            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            held.append((columns[0].view(np.uint64), columns[1].view(np.uint64), columns[2]))
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            held.append([columns[0], columns[1].view(np.uint64), columns[2].view(np.uint64), columns[3]])
             waiting += batch.num_rows
             if waiting >= _LINK_ROWS:
                 yield settle(whole=False)
                 waiting = 0
-        if held and sum(len(k) for k, *_ in held):
+        if held and sum(len(k) for _, k, *_ in held):
             yield settle(whole=True)
 
     keyed = distinct.select("fp").mapInArrow(spread, "key long, fp long, probe boolean")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "u long, v long")
+    # Rows of a key that has more of them meet in every two of its blocks.
+    large = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > KEY_ROWS)
+    blocks = F.ceil(F.col("n") * 2 / KEY_ROWS).cast("int").alias("blocks")
+    large = sized(written(large.select("key", blocks), "keys"))
+    cut = keyed.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    cut = cut.select("key", "fp", "probe", "blocks", "block", other)
+    # A key of one block is group 0; of two blocks the same ones meet each other where there are no others.
+    one = (F.col("block") == F.col("other")) & (F.col("blocks") > 1)
+    group = F.least("block", "other").cast("long") * F.col("blocks") + F.greatest("block", "other")
+    groups = cut.where(~one).select(group.alias("group"), "key", "fp", "probe")
+    met = groups.repartition("key", "group").sortWithinPartitions("key", "group")
+    return met.mapInArrow(meet, "u long, v long")
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -292,7 +317,7 @@ def first_rows(docs: DataFrame, rooted: DataFrame) -> DataFrame:
     """The first row of each root (``root, first``), with all columns."""
     kept = written(rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.d", "first.tie"), "kept")
     d, tie, _ = doc_key(docs)
-    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), d, tie)
+    keyed = docs.select(row_of(docs), d, tie)
     rows = keyed.join(kept, ["d", "tie"], "left_semi")
     number = F.row_number().over(Window.partitionBy("d", "tie").orderBy(F.lit(0)))
     return rows.withColumn("n", number).where("n = 1").select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -135,3 +135,15 @@ def test_query_over_all_documents(spark):
     folder = "/root/testdata/sf0.001"
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
     assert sorted((tuple(r) for r in op9_simhash(spark, folder).collect()), key=repr) == expected(rows)
+
+
+def test_keys_of_many_fingerprints_are_cut(spark, monkeypatch):
+    """All fingerprints share their first half: the same components whether a key lies in one task or in blocks."""
+    rng = random.Random(4)
+    prints = sorted({(0xABCDEF12 << 32) | rng.getrandbits(13) << rng.choice([0, 3]) for _ in range(3000)})
+    frame = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long")
+    whole = {tuple(r) for r in components(simhash.links(frame)).collect()}
+    monkeypatch.setattr(simhash, "KEY_ROWS", 100)
+    links = simhash.links(frame)
+    assert {tuple(r) for r in components(links).collect()} == whole and whole
+    assert all((a ^ b).bit_count() % 64 for a, b in (tuple(r) for r in links.limit(50).collect()))
