@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions.jsontext import once
 from gleanery.functions.naming import let
+from gleanery.llm.common import row_of
 from gleanery.session import written
 
 WINDOW = 8  # words of a repeated window
@@ -70,7 +71,7 @@ def base_rules(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     text = F.coalesce(docs["text"], F.lit(""))
     split = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+        row_of(docs),
         docs["doc_id"].cast("long").alias("doc_id"),
         F.coalesce(docs["source"], F.lit("")).alias("source"),
         F.xxhash64(docs["text"]).alias("text_key"),
