@@ -22,8 +22,7 @@ def _counted(docs: DataFrame) -> DataFrame:
     """Texts have changed: ``n_chars`` follows them."""
     if "n_chars" not in docs.columns:
         return docs
-    length = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return docs.select(*[length.alias(c) if c == "n_chars" else docs[c] for c in docs.columns])
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
