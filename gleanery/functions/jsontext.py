@@ -16,24 +16,25 @@ def framed_json(text: Column) -> Column:
 
     ``try_parse_json`` stops after the first value and ignores what follows.
     Inside an array the text must be one whole value for the second element to
-    be found where it belongs; ``unframed`` looks for it. That element is a digest
-    of the text, which no text holds of itself. Texts that fail are tried once
-    more with NaN and infinities as null.
+    be found where it belongs; ``unframed`` looks for it. That element is a hash
+    of the text, as no fixed one is safe: a text may end an array of its own
+    early, with any element it likes. Texts that fail are tried once more with NaN
+    and infinities as null.
     """
 
     def parsed(mark: Column) -> Column:
         def framed(body: Column) -> Column:
-            return F.try_parse_json(F.concat(F.lit("["), body, F.lit(',"'), mark, F.lit('"]')))
+            return F.try_parse_json(F.concat(F.lit("["), body, F.lit(","), mark.cast("string"), F.lit("]")))
 
         odd = F.when(F.rlike(text, F.lit(_NON_NUMBER)), framed(F.regexp_replace(text, _NON_NUMBER, "null")))
         return F.struct(F.coalesce(framed(text), odd).alias("doc"), mark.alias("mark"))
 
-    return let(F.md5(text), parsed)
+    return let(F.xxhash64(text), parsed)
 
 
 def unframed(framed: Column, path: str = "", kind: str = "variant") -> Column:
     """A path of the framed value; null when the text was not exactly one JSON value."""
-    whole = F.try_variant_get(framed["doc"], "$[1]", "string") == framed["mark"]
+    whole = F.try_variant_get(framed["doc"], "$[1]", "bigint") == framed["mark"]
     return F.when(whole, F.try_variant_get(framed["doc"], f"$[0]{path}", kind))
 
 

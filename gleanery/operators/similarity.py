@@ -1,29 +1,38 @@
-"""Similarity joins: exact, over blocks of bounded size.
+"""Similarity joins, exact, without comparing everything with everything.
 
 Copies are folded first: pairs are between distinct values, and a second table
 lists which rows carry each value. A value held by a third of the rows is then
 one row here, and the result stays whole without listing copies against each
 other.
 
-Distinct values are put in an order that keeps similar ones close and cut into
-blocks of at most ``block_rows``. Two blocks meet only when a bound computed
-from their ranges does not rule out every pair between them; each meeting is
-one task-sized group, so no key can grow hot.
+Vectors fall into cells around pivots, cells of many vectors into cells again; a
+vector also visits the cells its angle can reach, so that every pair meets in
+one cell. Texts meet in an index of their rarest characters: two texts as
+similar as asked share some of the first ones of each. What meets is compared in
+blocks of bounded size, one side held, the other passing by.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import combinations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions import fixed
-from gleanery.operators.ordering import number_rows
-from gleanery.session import written
+from gleanery.session import sized, written
 
-_PIVOTS = 8
+PIVOTS = 16  # cells that a cell is split into
+LEVELS = 4  # times a cell is split: with PIVOTS, the bound on the pivots in memory
+RANKED = 65_536  # most frequent characters (with their number in the text) that are known by rank
+_GROWTH = (1_000, 100_000)  # texts from which on one more common character is asked for
+_WAITING = 200_000  # rows of small groups compared at a time
 
 
 def copies(table: DataFrame, key: str, value: str) -> DataFrame:
@@ -41,37 +50,120 @@ def distinct_values(table: DataFrame, key: str, value: str) -> DataFrame:
     )
 
 
-def _in_blocks(items: DataFrame, order: list[str], block_rows: int) -> DataFrame:
-    numbered = number_rows(items, order, "_n")
-    return numbered.withColumn("block", ((F.col("_n") - 1) / F.lit(block_rows)).cast("int")).drop("_n")
+def _in_blocks(rows: DataFrame, block_rows: int) -> DataFrame:
+    """Rows (``cell, home, rep, ...``) as ``cell, block, held, rep, ...``: where each is held, and where it passes by.
 
-
-def _meetings(bounds: DataFrame, may_match) -> DataFrame:
-    """Unordered block pairs that may hold a match, from one row of bounds per block.
-
-    Which block of a pair is called left alternates, so that every block meets
-    about as often on either side.
+    A cell's home rows are held in blocks; they pass by the later blocks of their
+    cell, visitors by all of them. Rows of one block meet in it.
+    """
+    counts = rows.where("home").groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > block_rows)
+    counts = counts.withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int")).drop("n")
+    rest = [c for c in rows.columns if c not in ("cell", "home")]
+    # Most cells are one block and not in this table.
+    placed = rows.join(sized(written(counts, "cells")), "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.when(F.col("home"), F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).otherwise(F.lit(-1))
+    placed = placed.withColumn("own", own)
+    later = F.sequence(F.greatest("own", F.lit(0)), F.col("blocks") - 1)
+    spread = placed.select("cell", "own", *rest, F.explode(later).alias("block"))
+    return spread.select("cell", "block", (F.col("own") == F.col("block")).alias("held"), *rest)
+
+
+def _meet(rows: DataFrame, compare: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame], schema: str) -> DataFrame:
+    """The results of ``compare(held, passing, same)`` for every block: held rows among themselves and with those passing by.
+
+    A block's held rows stay in memory, the others pass in batches.
     """
-    last = bounds.agg(F.max("block").alias("last")).first()["last"]
-    reach = bounds.withColumn("right", F.explode(F.sequence("block", F.lit(last).cast("int"))))
-    other = bounds.select(*[F.col(c).alias("right" if c == "block" else f"{c}_r") for c in bounds.columns])
-    swap = (F.col("block") + F.col("right")) % 2 == 1
-    pairs = reach.join(other, "right").where(may_match)
-    return pairs.select(
-        F.when(swap, F.col("right")).otherwise(F.col("block")).alias("left"),
-        F.when(swap, F.col("block")).otherwise(F.col("right")).alias("right"),
-    )
 
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, held, closed = None, [], None
+        for batch in batches:
+            changes = np.flatnonzero(
+                np.diff(batch["cell"].to_numpy(), prepend=0) | np.diff(batch["block"].to_numpy(), prepend=0)
+            ) if len(batch) else []
+            for a, b in zip([0, *[x for x in changes if x]], [*[x for x in changes if x], len(batch)], strict=True):
+                part = batch.iloc[a:b]
+                if not len(part):
+                    continue
+                group = (part["cell"].iloc[0], part["block"].iloc[0])
+                if group != of:
+                    if held:
+                        own = pd.concat(held)
+                        yield compare(own, own, True)
+                    of, held, closed = group, [], None
+                stays = part["held"].to_numpy()
+                if stays.any():
+                    held.append(part[stays])
+                if not stays.all():
+                    if closed is None:
+                        closed = pd.concat(held) if held else part.iloc[:0]
+                        if held:
+                            yield compare(closed, closed, True)
+                            held = []
+                    if len(closed):
+                        yield compare(closed, part[~stays], False)
+        if held:
+            own = pd.concat(held)
+            yield compare(own, own, True)
+
+    # Held rows come first in their block.
+    met = rows.repartition("cell", "block").sortWithinPartitions("cell", "block", F.desc("held"))
+    return met.mapInPandas(work, schema)
+
+
+def _unit(rows: list) -> np.ndarray:
+    """Rows scaled to length one; a zero row stays zero."""
+    rows = np.stack(rows).astype("float64")
+    norm = np.linalg.norm(rows, axis=1, keepdims=True)
+    with np.errstate(invalid="ignore"):
+        return np.divide(rows, norm, out=np.zeros_like(rows), where=norm != 0)
+
+
+def _split(rows: DataFrame, pivots: dict[int, np.ndarray], limit: float) -> DataFrame:
+    """Rows in the cells around their cell's pivots: each at home with the nearest, visiting lower ones it can reach.
+
+    What is at home around p lies, for every other pivot, on p's side of the plane
+    between the two. A vector further than ``limit`` beyond one of these planes
+    is near nothing there.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(pivots)  # at most PIVOTS ** LEVELS vectors
+    far = math.sin(limit) + 1e-6
 
-def _meet(items: DataFrame, meetings: DataFrame, columns: list[str], compare, schema: str) -> DataFrame:
-    """Bring the rows of each meeting together and compare them there."""
-    sides = []
-    for side in ("left", "right"):
-        rows = items.select(F.col("block").alias(side), *columns)
-        # Aliases give each side columns of its own: both come from the same tables.
-        named = [F.col(c).alias(c) for c in ("left", "right", *columns)]
-        sides.append(rows.join(meetings, side).select(*named).groupBy("left", "right"))
-    return sides[0].cogroup(sides[1]).applyInPandas(compare, schema)
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
+        for batch in batches:
+            for cell, part in batch.groupby("cell", sort=False):
+                anchors = known[cell]
+                apart = np.linalg.norm(anchors[:, None] - anchors[None], axis=2)
+                np.fill_diagonal(apart, np.inf)
+                near_to = _unit(list(part["vec"])) @ anchors.T
+                near = near_to.argmax(axis=1)
+                places = np.arange(len(anchors))
+                reach = np.stack([((near_to - near_to[:, i : i + 1]) / apart[i]).max(axis=1) <= far for i in places], axis=1)
+                home = part["home"].to_numpy()
+                # Of two cells the rows of the higher one visit the lower one.
+                reach &= ~home[:, None] | (places <= near[:, None])
+                row, place = np.nonzero(reach)
+                out = part.iloc[row].assign(cell=cell * PIVOTS + place + 1)
+                yield out.assign(home=home[row] & (place == near[row]))
+
+    return rows.mapInPandas(work, rows.schema)
+
+
+def _cells(items: DataFrame, limit: float, cell_rows: int) -> DataFrame:
+    """``cell, home, rep, vec``: every two vectors within ``limit`` of each other meet in exactly one cell."""
+    open_rows = items.select(F.lit(0).cast("long").alias("cell"), F.lit(True).alias("home"), "rep", "vec")
+    done = None
+    for _ in range(LEVELS if 2 * limit < math.pi else 0):
+        picks = [F.min_by("vec", F.xxhash64("rep", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)]
+        chosen = open_rows.where("home").groupBy("cell").agg(F.count("*").alias("n"), *picks).where(F.col("n") > cell_rows)
+        pivots = {r["cell"]: np.unique(_unit(list(r[2:])), axis=0) for r in chosen.collect()}  # at most PIVOTS ** LEVELS vectors
+        if not pivots:
+            break
+        large = F.col("cell").isin(list(pivots))  # at most PIVOTS ** LEVELS cells
+        settled = open_rows.where(~large)
+        done = settled if done is None else done.unionByName(settled)
+        open_rows = written(_split(open_rows.where(large), pivots, limit), "cells")
+    return open_rows if done is None else done.unionByName(open_rows)
 
 
 def cosine_pairs(
@@ -84,72 +176,36 @@ def cosine_pairs(
     """Ordered pairs of distinct vectors with cosine above ``threshold``: ``id_a, id_b, cosine``.
 
     Each pair is computed once, in double precision, and given in both orders.
-    Blocks are skipped by the triangle inequality on angles to a few pivot
-    vectors; which vectors serve as pivots changes the work, never the result.
+    Cells of more than ``block_rows`` vectors are split around pivots, and angles
+    to these rule out what cannot be near; which vectors serve as pivots changes
+    the work, never the result. Below a cosine of 0 nothing can be ruled out.
     Vectors are of one length; one that is not finite is similar to none.
     """
     id_type = vectors.schema[key].dataType.simpleString()
     pair_schema = f"id_a {id_type}, id_b {id_type}, cosine double"
-    items = written(distinct_values(vectors, key, vector).select("rep", F.col(vector).alias("vec")), "vectors")
-    pivots = [r.vec for r in items.orderBy(F.xxhash64("vec"), "rep").limit(_PIVOTS).collect()]
-    if not pivots:
-        return vectors.sparkSession.createDataFrame([], pair_schema)
+    items = distinct_values(vectors, key, vector).select("rep", F.col(vector).alias("vec"))
+    size = F.aggregate("vec", F.lit(0.0), lambda total, x: total + x.cast("double") * x)
+    finite = F.forall("vec", lambda x: ~F.isnan(x) & (F.abs(x) < F.lit(math.inf)))
+    # A zero vector has cosine 0 with everything: pairs of it only below 0, where no cells are made.
+    items = written(items.where(finite & (F.lit(threshold < 0) | (size > 0))), "vectors")
     limit = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
-
-    def unit(rows):
-        """Rows scaled to length one; a zero row stays zero."""
-        import numpy as np
-
-        rows = np.stack(rows).astype("float64")
-        norm = np.linalg.norm(rows, axis=1, keepdims=True)
-        with np.errstate(invalid="ignore"):
-            return np.divide(rows, norm, out=np.zeros_like(rows), where=norm != 0)
-
-    def angles(batches):
-        import numpy as np
-
-        anchor = np.nan_to_num(unit(pivots))  # a vector that is not finite becomes zero and rules out nothing
-        for batch in batches:
-            scaled = unit(batch["vec"]) if len(batch) else np.zeros((0, 0))
-            finite = np.isfinite(scaled).all(axis=1)
-            if finite.any():
-                turn = np.arccos(np.clip(scaled[finite] @ anchor.T, -1.0, 1.0))
-                near = turn.argmin(axis=1)
-                yield batch[finite].assign(
-                    near=near.astype("int32"), angle=turn[np.arange(len(turn)), near], turn=list(turn)
-                )
-
-    vec_type = vectors.schema[vector].dataType.simpleString()
-    schema = f"rep {id_type}, vec {vec_type}, near int, angle double, turn array<double>"
-    blocks = _in_blocks(items.mapInPandas(angles, schema), ["near", "angle", "rep"], block_rows)
-    spread = [f(F.col("turn")[i]).alias(f"{n}{i}") for i in range(len(pivots)) for n, f in (("lo", F.min), ("hi", F.max))]
-    bounds = blocks.groupBy("block").agg(*spread)
-    gaps = [
-        F.greatest(F.col(f"lo{i}_r") - F.col(f"hi{i}"), F.col(f"lo{i}") - F.col(f"hi{i}_r")) for i in range(len(pivots))
-    ]
-    # A zero vector has cosine 0 with everything, whatever its angles: no bound below 0.
-    may_match = F.lit(threshold < 0) | (F.greatest(*gaps, F.lit(-1.0)) <= limit)
-
-    def compare(meeting, left, right):
-        import numpy as np
-
-        same = meeting[0] == meeting[1]
-        right = left if same else right
-        out = [pd.DataFrame({"id_a": left["rep"][:0], "id_b": left["rep"][:0], "cosine": np.zeros(0)})]
-        if len(left) and len(right):
-            a, b = unit(left["vec"]), unit(right["vec"])
-            ids_a, ids_b = left["rep"].to_numpy(), right["rep"].to_numpy()
-            for start in range(0, len(a), 512):
-                product = a[start : start + 512] @ b.T
-                i, j = np.nonzero(product > threshold)
-                score = product[i, j]
-                i = i + start
-                if same:
-                    i, j, score = i[i < j], j[i < j], score[i < j]
-                out.append(pd.DataFrame({"id_a": ids_a[i], "id_b": ids_b[j], "cosine": score}))
+    rows = _in_blocks(_cells(items, limit if threshold >= 0 else math.pi, block_rows), block_rows)
+
+    def compare(held: pd.DataFrame, passing: pd.DataFrame, same: bool) -> pd.DataFrame:
+        a, b = _unit(list(held["vec"])), _unit(list(passing["vec"]))
+        ids_a, ids_b = held["rep"].to_numpy(), passing["rep"].to_numpy()
+        out = [pd.DataFrame({"id_a": ids_a[:0], "id_b": ids_b[:0], "cosine": np.zeros(0)})]
+        for start in range(0, len(a), 512):
+            product = a[start : start + 512] @ b.T
+            i, j = np.nonzero(product > threshold)
+            score = product[i, j]
+            i = i + start
+            if same:
+                i, j, score = i[i < j], j[i < j], score[i < j]
+            out.append(pd.DataFrame({"id_a": ids_a[i], "id_b": ids_b[j], "cosine": score}))
         return pd.concat(out, ignore_index=True)
 
-    found = _meet(blocks, _meetings(bounds, may_match), ["rep", "vec"], compare, pair_schema)
+    found = _meet(rows, compare, pair_schema)
     return found.select(
         F.explode(
             F.array(
@@ -160,57 +216,180 @@ def cosine_pairs(
     ).select("pair.*")
 
 
+class Needs:
+    """What texts of given lengths must share to have a ratio above ``threshold``."""
+
+    def __init__(self, threshold: float):
+        self.threshold = threshold
+        self.matches = lru_cache(maxsize=100_000)(self._matches)
+        self.least_partner = lru_cache(maxsize=100_000)(self._least_partner)
+
+    def above(self, matches: int, total: int) -> bool:
+        return (2.0 * matches / total if total else 1.0) > self.threshold
+
+    def _matches(self, total: int) -> int:
+        """The fewest matching characters for a ratio above the threshold; over half of ``total`` if none will do."""
+        m = max(0, int(self.threshold * total / 2) - 1)
+        while m <= total and not self.above(m, total):
+            m += 1
+        return m
+
+    def _least_partner(self, size: int) -> int:
+        """The length of the shortest text, up to this long, whose characters could be enough."""
+        t = self.threshold
+        n = max(0, int(t * size / (2 - t)) - 2) if t < 2 else size + 1
+        while n <= size and not self.above(n, n + size):
+            n += 1
+        return n
+
+    def common(self, size: int) -> int:
+        """Characters such a text shares with any partner, one of its own length or more included."""
+        return self.matches(size + self.least_partner(size))
+
+    def short(self, asked: int) -> int:
+        """The longest text that may share fewer than ``asked`` characters with a partner, and may have one; -1 for none."""
+        if self.threshold <= 0:
+            return 1 << 60
+        n = int(asked * (2 - self.threshold) / self.threshold) + 2
+        while n >= 0 and (self.least_partner(n) > n or self.common(n) >= asked):
+            n -= 1
+        return n
+
+
+def _characters(text: str) -> list[tuple[str, int]]:
+    """Each character with its number among its equals, so that common ones of two texts are a set's."""
+    seen: Counter[str] = Counter()
+    out = []
+    for c in text:
+        seen[c] += 1
+        out.append((c, seen[c]))
+    return out
+
+
+def _frequent(items: DataFrame, ranked: int) -> list[tuple[str, int]]:
+    """The most frequent numbered characters, the most frequent last."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: Counter[tuple[str, int]] = Counter()
+        for batch in batches:
+            for text in batch["text"]:
+                counts.update(_characters(text))
+                if len(counts) > 4 * ranked:  # rare ones have no rank in any case
+                    counts = Counter(dict(counts.most_common(2 * ranked)))
+        rows = [(c, k, n) for (c, k), n in counts.items()]
+        yield pd.DataFrame(rows, columns=["c", "k", "n"])
+
+    found = items.select("text").mapInPandas(count, "c string, k int, n long").groupBy("c", "k").agg(F.sum("n").alias("n"))
+    top = found.orderBy(F.desc("n"), "c", "k").limit(ranked).collect()  # at most RANKED
+    return [(r["c"], r["k"]) for r in reversed(top)]
+
+
+def _codes(text: str, rank: dict[tuple[str, int], int]) -> list[int]:
+    """A text's numbered characters as ascending numbers, rare ones first."""
+    return sorted(rank[x] if x in rank else -1 - (ord(x[0]) << 32 | x[1]) for x in _characters(text))
+
+
+def _signature(codes: tuple[int, ...]) -> int:
+    return hash((len(codes), *codes))
+
+
+def asked_for(texts: int) -> int:
+    """Common characters that two texts are brought together by: more of them among more texts."""
+    return 1 + sum(texts >= n for n in _GROWTH)
+
+
+def candidate_rows(items: DataFrame, threshold: float, asked: int) -> DataFrame:
+    """``cell, home, rep, text, codes, alone``: the index. Texts of a cell share ``asked`` of their rare characters.
+
+    Two texts that share ``o`` characters share the first ``asked`` of them among the
+    first ``size - o + asked`` of each, rare ones first. Texts so short that they
+    share fewer are met by one (``alone``). Below a threshold of 0 all texts are in one cell.
+    """
+    rank = {x: i for i, x in enumerate(_frequent(items, RANKED))} if threshold >= 0 else {}
+    shared = items.sparkSession.sparkContext.broadcast(rank)  # at most RANKED
+    needs = Needs(threshold)
+    short = needs.short(asked)
+    reach = short if short < 0 or threshold <= 0 else int(short * (2 - threshold) / threshold) + 1
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        needs, rank = Needs(threshold), shared.value
+        for batch in batches:
+            out = []
+            for rep, text in zip(batch["rep"], batch["text"], strict=True):
+                size = len(text)
+                if threshold < 0:
+                    out.append((0, True, rep, text, [], False))
+                    continue
+                if needs.least_partner(size) > size:
+                    continue  # no partner will do
+                codes, least = _codes(text, rank), needs.common(size)
+                for alone in (False, True):
+                    k = 1 if alone else asked
+                    if (size > reach) if alone else (size <= short):
+                        continue
+                    front = codes[: size - least + k]
+                    for cell in {_signature(x) for x in combinations(front, k)}:
+                        out.append((cell, True, rep, text, front, alone))
+                if len(out) > 20_000:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+            yield pd.DataFrame(out, columns=names)
+
+    names = ["cell", "home", "rep", "text", "codes", "alone"]
+    id_type = items.schema["rep"].dataType.simpleString()
+    schema = f"cell long, home boolean, rep {id_type}, text string, codes array<long>, alone boolean"
+    # A cell of single characters and one of several never share a number, but rows of both kinds could by chance.
+    return items.select("rep", "text").mapInPandas(work, schema)
+
+
 def string_ratio_pairs(
     table: DataFrame, key: str, text: str, threshold: float = fixed.SIMILARITY_THRESHOLD, block_rows: int = 1024
 ) -> DataFrame:
     """Ordered pairs of distinct texts with gestalt ratio above ``threshold``: ``id_a, id_b, ratio``.
 
-    Blocks follow text length: two blocks whose lengths are too far apart never
-    meet. Inside a meeting an upper bound on the matching characters, counted
-    on arrays, leaves few pairs to the matcher. Both orders are computed, as
-    the ratio depends on the order.
+    Matching characters are never more than the texts have in common. From that
+    follow the lengths that can be partners and how many characters they share;
+    texts meet in an index of the rarest of these. Each pair is looked at in one
+    place only, and few pairs are left to the matcher. Both orders are computed,
+    as the ratio depends on the order.
     """
     id_type = table.schema[key].dataType.simpleString()
-    items = distinct_values(table, key, text).select(
-        "rep", F.col(text).alias("text"), F.length(text).alias("size")
-    )
-    blocks = _in_blocks(items, ["size", "text"], block_rows)
-    bounds = blocks.groupBy("block").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
-    shorter = F.least(F.col("hi"), F.col("lo_r"))
-    may_match = (F.col("lo_r") <= F.col("hi")) | (2 * shorter > threshold * (F.col("hi") + F.col("lo_r")))
+    items = distinct_values(table, key, text).select("rep", F.col(text).cast("string").alias("text"))
+    items = written(items, "texts")
+    asked = asked_for(items.count())
+    rows = _in_blocks(candidate_rows(items, threshold, asked), block_rows)
+    short = Needs(threshold).short(asked)
 
-    def compare(meeting, left, right):
+    def compare(held: pd.DataFrame, passing: pd.DataFrame, same: bool) -> pd.DataFrame:
         from difflib import SequenceMatcher
 
-        import numpy as np
-
-        def profile(texts):
-            counts = np.zeros((len(texts), 64), dtype="int32")
-            for row, text in enumerate(texts):
-                np.add.at(counts[row], [ord(c) % 64 for c in text], 1)
-            return counts
-
-        same = meeting[0] == meeting[1]
-        right = left if same else right
-        texts_a, texts_b = left["text"].tolist(), right["text"].tolist()
-        ids_a, ids_b = left["rep"].tolist(), right["rep"].tolist()
-        counts_a, counts_b = profile(texts_a), profile(texts_b)
-        sizes_a, sizes_b = counts_a.sum(axis=1), counts_b.sum(axis=1)
-        found = []
-        for i, text in enumerate(texts_a):
-            # Matching characters never exceed what both texts hold of each character.
-            shared = np.minimum(counts_a[i], counts_b).sum(axis=1)
-            total = sizes_a[i] + sizes_b
-            for j in np.flatnonzero((2 * shared > threshold * total) | (total == 0)):
-                if same and i >= j:
+        needs, found = Needs(threshold), []
+        columns = ["cell", "rep", "text", "codes", "alone"]
+        others = [(*row, Counter(row[2])) for row in zip(*(passing[c] for c in columns), strict=True)]
+        sizes = np.array([len(x[2]) for x in others])
+        order = np.argsort(sizes, kind="stable")
+        sizes = sizes[order]
+        for i, (cell, rep, one, codes, alone) in enumerate(zip(*(held[c] for c in columns), strict=True)):
+            size, own, characters = len(one), set(codes), Counter(one)
+            low = needs.least_partner(size) if threshold > 0 else 0
+            for j in order[np.searchsorted(sizes, low) :].tolist():
+                _, other, two, front, other_alone, counts = others[j]
+                total = size + len(two)
+                if (same and i >= j) or alone != other_alone or not needs.above(min(size, len(two)), total):
                     continue
-                for x, y, ratio in (
-                    (ids_a[i], ids_b[j], SequenceMatcher(None, text, texts_b[j]).ratio()),
-                    (ids_b[j], ids_a[i], SequenceMatcher(None, texts_b[j], text).ratio()),
-                ):
+                if threshold >= 0:
+                    if alone and min(size, len(two)) > short:
+                        continue  # they meet by several characters
+                    k = 1 if alone else asked
+                    common = [x for x in front if x in own][:k]
+                    if len(common) < k or _signature(tuple(common)) != cell:
+                        continue  # met elsewhere
+                    if (characters & counts).total() < needs.matches(total):
+                        continue
+                for x, y, a, b in ((rep, other, one, two), (other, rep, two, one)):
+                    ratio = SequenceMatcher(None, a, b).ratio()
                     if ratio > threshold:
                         found.append((x, y, ratio))
         return pd.DataFrame(found, columns=["id_a", "id_b", "ratio"])
 
-    pair_schema = f"id_a {id_type}, id_b {id_type}, ratio double"
-    return _meet(blocks, _meetings(bounds, may_match), ["rep", "text"], compare, pair_schema)
+    return _meet(rows, compare, f"id_a {id_type}, id_b {id_type}, ratio double")

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from gleanery.functions.text import token_count
 from gleanery.operators import replies, usage
+from gleanery.operators.admission import admit_calls
 from gleanery.plans.replies_job import reply_totals
 from gleanery.queries.tables import table
 
+_DAY = 86_400_000_000  # microseconds
 _PRICES = {"small": (0.5, 1.5), "large": (3.0, 12.25)}
 
 
@@ -62,6 +64,15 @@ def q_budget_breach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return breaches.select("call_id", "minute_requests", "minute_tokens", "day_tokens", "over_requests", "over_minute", "over_day")
 
 
+def q_budget_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log as a call log, each day in its first forty minutes, so that every limit refuses some."""
+    micros = F.unix_micros("ts")
+    ts = F.timestamp_micros(micros - micros % _DAY + F.floor(micros % _DAY / 36))
+    calls = table(spark, sf_dir, "events").select("event_id", ts.alias("ts"), F.col("value").cast("bigint").alias("tokens"))
+    decided = admit_calls(calls, "event_id", requests_per_minute=5, tokens_per_minute=200, tokens_per_day=6000)
+    return decided.drop("ts", "tokens")
+
+
 def q_request_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The standard limits over the words of all conversations, sent one second apart."""
     requests = usage.request_tokens(table(spark, sf_dir, "conversations"), "conv_id", "text")
@@ -96,6 +107,7 @@ QUERIES = {
     "model_totals": q_model_totals,
     "replies_job": q_replies_job,
     "budget_breach": q_budget_breach,
+    "budget_admission": q_budget_admission,
     "request_budget": q_request_budget,
     "error_triage": q_error_triage,
     "error_report": q_error_report,
@@ -141,6 +153,29 @@ with calls as (select event_id as call_id, ts, cast(trunc(value) as bigint) as t
 r as ({_RUNNING}),
 f as (select *, minute_requests > 1 as over_requests, minute_tokens > 60 as over_minute, day_tokens > 1500 as over_day from r)
 select * from f where over_requests or over_minute or over_day""",
+    # Call after call: each step takes the next call of every day.
+    "budget_admission": f"""
+with recursive calls as (
+  select event_id as call_id, greatest(cast(trunc(value) as bigint), 0) as tokens,
+    make_timestamp(epoch_us(ts) - epoch_us(ts) % {_DAY} + cast(floor(epoch_us(ts) % {_DAY} / 36) as bigint)) as ts from events),
+c as (
+  select *, date_trunc('minute', ts) as minute, date_trunc('day', ts) as day,
+    row_number() over (partition by date_trunc('day', ts) order by ts, call_id) as k from calls),
+s as (
+  select day, cast(0 as bigint) as k, cast(null as timestamp) as minute, cast(null as bigint) as call_id, cast(null as varchar) as refused_by,
+    cast(0 as bigint) as n, cast(0 as bigint) as used, cast(0 as bigint) as spent
+  from (select distinct day from c) d
+  union all
+  select day, k, minute, call_id, why, n + case when why is null then 1 else 0 end, used + case when why is null then tokens else 0 end,
+    spent + case when why is null then tokens else 0 end
+  from (
+    select x.*, case when used + tokens > 200 then 'minute_tokens' when spent + tokens > 6000 then 'day_tokens' when n >= 5 then 'requests' end as why
+    from (
+      select c.day, c.k, c.minute, c.call_id, c.tokens, s.spent, case when s.minute = c.minute then s.n else 0 end as n,
+        case when s.minute = c.minute then s.used else 0 end as used
+      from s join c on c.day = s.day and c.k = s.k + 1) x) y)
+select call_id, refused_by is null as admitted, refused_by, n as minute_requests, used as minute_tokens, spent as day_tokens
+from s where call_id is not null""",
     "request_budget": f"""
 with calls as (select conv_id as call_id, to_timestamp(conv_id) as ts, sum({_WORDS}) as tokens from conversations group by 1, 2),
 r as ({_RUNNING})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,9 @@ from gleanery.functions import fixed
 from gleanery.functions.text import remove_urls, token_count, token_cut
 from gleanery.functions.urls import clean_url, resolve_url, run_key, site_key
 from gleanery.operators import frontier, links, ordering, pages, replies, usage
+from gleanery.operators.crawl_state import CrawlState
 from gleanery.plans.pages_job import pages_job
+from gleanery.plans.run_job import PagesRun, run_report, write_pages
 from gleanery.queries.tables import table
 from gleanery.session import scratch_path
 from gleanery.sources.pages import pages_of_seeds
@@ -127,6 +131,17 @@ def q_crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frontier.crawl_frontier(page_seeds(spark, source), page_edges(source, back=True))
 
 
+def q_crawl_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same crawl in two batches: each page's first and third link, then the others and one more seed."""
+    source = table(spark, sf_dir, "pages").select("page_id", "url")
+    edges, seeds = page_edges(source, back=True), page_seeds(spark, source)
+    state = CrawlState(spark, scratch_path(spark, "crawl"))
+    first = F.col("pos") % 2 == 0
+    state.add(seeds.where("seed_pos = 0").select("url"), edges.where(first).select("src_url", "dst_url"))
+    state.add(seeds.select("url"), edges.where(~first).select("src_url", "dst_url"))
+    return state.depths().join(seeds.select(F.col("url").alias("root"), "seed_pos"), "root").select("seed_pos", "url", "depth")
+
+
 def q_page_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.number_rows(table(spark, sf_dir, "pages").select("url", "page_id"), ["url", "page_id"])
 
@@ -154,9 +169,8 @@ def q_prompt_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def q_pages_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole job over pages that carry a pagination nav to pages 2n+1 and 2n+2."""
-    source = table(spark, sf_dir, "pages")
+def linked_pages(source: DataFrame) -> DataFrame:
+    """The given pages with a pagination nav to pages 2n+1 and 2n+2."""
     target = F.posexplode(F.array(2 * F.col("page_id") + 1, 2 * F.col("page_id") + 2))
     ends = source.select(F.col("page_id").alias("target"), F.col("url").alias("dst"))
     following = (
@@ -171,13 +185,49 @@ def q_pages_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     nav = F.concat(F.lit(f'<nav class="{fixed.PAGINATION_CLASS}">'), anchor("a"), anchor("b"), F.lit("</nav><nav>"))
     # Only this preparation brings html and addresses together by a join; the job itself never moves html.
-    linked = source.join(following, "page_id", "left").select(
+    return source.join(following, "page_id", "left").select(
         "page_id", "url", F.replace(F.col("html"), F.lit("<nav>"), nav).alias("html")
     )
-    job = pages_job(page_seeds(spark, source), linked, _FIELDS)
+
+
+def q_pages_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job over pages that carry a pagination nav to pages 2n+1 and 2n+2."""
+    source = table(spark, sf_dir, "pages")
+    job = pages_job(page_seeds(spark, source), linked_pages(source), _FIELDS)
     return job.select("file_no", "seed_pos", "depth", "url", "user_prompt")
 
 
+def _written_run(spark: SparkSession, sf_dir: str) -> PagesRun:
+    source = table(spark, sf_dir, "pages")
+    folder = scratch_path(spark, "runs")
+    return write_pages(page_seeds(spark, source), linked_pages(source), folder, _FIELDS, datetime(2024, 1, 2, 3, 4, 5))
+
+
+def q_pages_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job's pages and requests, written and read again."""
+    run = _written_run(spark, sf_dir)
+    texts, requests = spark.read.parquet(run.pages), spark.read.parquet(run.requests)
+    joined = texts.join(requests.select("file_no", "user_prompt"), "file_no")
+    return joined.select(
+        "run", "file_no", "seed_pos", "url", F.length("markdown").alias("chars"), F.length("user_prompt").alias("prompt_chars")
+    )
+
+
+def q_run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals per seed of a written run, with replies to two of three requests that parse, to the others that do not."""
+    requests = spark.read.parquet(_written_run(spark, sf_dir).requests)
+    number = F.col("file_no")
+    model = F.when(F.col("seed_pos") == 0, "small").when(F.col("seed_pos") == 1, "large").otherwise("unlisted")
+    answered = requests.where(number % 5 != 0).select(
+        number.alias("page_id"),
+        F.when(number % 3 == 0, "no json").otherwise(F.lit('{"listings": []}')).alias("reply"),
+        model.alias("model"),
+        token_count(F.col("user_prompt")).alias("input_tokens"),
+        number.cast("bigint").alias("output_tokens"),
+    )
+    return run_report(requests, answered, {"small": (0.5, 1.5), "large": (3.0, 12.25)})
+
+
 def q_run_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page text through each sink and back: rows and characters, newlines not counted."""
     texts = pages.page_markdown(table(spark, sf_dir, "pages")).select(
@@ -218,6 +268,7 @@ QUERIES = {
     "clean_url": q_clean_url,
     "page_source": q_page_source,
     "crawl_frontier": q_crawl_frontier,
+    "crawl_delta": q_crawl_delta,
     "page_number": q_page_number,
     "first_page": q_first_page,
     "token_count": q_token_count,
@@ -225,6 +276,8 @@ QUERIES = {
     "token_cut": q_token_cut,
     "prompt_table": q_prompt_table,
     "pages_job": q_pages_job,
+    "pages_run": q_pages_run,
+    "run_report": q_run_report,
     "run_sinks": q_run_sinks,
 }
 
@@ -281,6 +334,19 @@ select page_id, url as src_url, cast(row_number() over (partition by page_id ord
 from firsts"""
 
 
+_VISITED = f"""
+with linked as (
+  select p.page_id, p.url, replace(p.html, '<nav>', '<nav class="woocommerce-pagination">'
+    || coalesce('<a href="' || a.url || '">a</a>', '') || coalesce('<a href="' || b.url || '">b</a>', '') || '</nav><nav>') as html
+  from pages p left join pages a on a.page_id = 2 * p.page_id + 1 left join pages b on b.page_id = 2 * p.page_id + 2),
+leveled as (select *, cast(floor(log2(page_id + 1)) as int) as level from linked),
+visits as (
+  select 0 as seed_pos, level as depth, * from leveled
+  union all select 2, level, * from leveled
+  union all select 1, level - 2, * from leveled where level >= 2 and (page_id + 1) >> (level - 2) = 6),
+visited as (
+  select row_number() over (order by seed_pos, depth, page_id) as file_no, seed_pos, depth, url, {_TEXT} as text from visits)"""
+
 ORACLES = {
     "strip_chrome": r"""
 select page_id, regexp_replace(regexp_replace(html, '<header\b[^>]*>.*?</header\s*>', '', 'gis'),
@@ -343,20 +409,25 @@ from conversations group by 1""",
 with c as (select doc_id, text, regexp_extract_all(text, '[\s\pZ\x0b\x1c-\x1f\x85]*[^\s\pZ\x0b\x1c-\x1f\x85]+') as w from documents)
 select doc_id, case when len(w) <= 100 then text else array_to_string(w[1:100], '') end as text from c""",
     "prompt_table": f"select doc_id, '{_SYSTEM}' as system_prompt, '{_PREFIX}' || text as user_prompt from documents",
-    "pages_job": f"""
-with linked as (
-  select p.page_id, p.url, replace(p.html, '<nav>', '<nav class="woocommerce-pagination">'
-    || coalesce('<a href="' || a.url || '">a</a>', '') || coalesce('<a href="' || b.url || '">b</a>', '') || '</nav><nav>') as html
-  from pages p left join pages a on a.page_id = 2 * p.page_id + 1 left join pages b on b.page_id = 2 * p.page_id + 2),
-leveled as (select *, cast(floor(log2(page_id + 1)) as int) as level from linked),
-visits as (
-  select 0 as seed_pos, level as depth, * from leveled
-  union all select 2, level, * from leveled
-  union all select 1, level - 2, * from leveled where level >= 2 and (page_id + 1) >> (level - 2) = 6)
-select row_number() over (order by seed_pos, depth, page_id) as file_no, seed_pos, depth, url,
-  '{_PREFIX}' || {_TEXT} as user_prompt from visits""",
+    "pages_job": f"{_VISITED} select file_no, seed_pos, depth, url, '{_PREFIX}' || text as user_prompt from visited",
+    "pages_run": f"""{_VISITED},
+named as (select regexp_replace(regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '^www\\.', ''), '\\W+', '_', 'g')
+  || '_2024_01_02__03_04_05' as run from visited where file_no = 1)
+select run, file_no, seed_pos, url, length(text) as chars, length('{_PREFIX}' || text) as prompt_chars from visited, named""",
+    "run_report": f"""{_VISITED},
+calls as (
+  select seed_pos, file_no % 5 <> 0 as answered, file_no % 3 = 0 as bad, file_no,
+    len(regexp_extract_all('{_PREFIX}' || text, '[^\\s\\pZ\\x0b\\x1c-\\x1f\\x85]+')) as words from visited)
+select seed_pos, count(*) as pages, count(*) filter (answered) as calls,
+  cast(coalesce(sum(words) filter (answered and not bad), 0) as bigint) as input_tokens,
+  cast(coalesce(sum(file_no) filter (answered and not bad), 0) as bigint) as output_tokens,
+  coalesce(sum(words * case seed_pos when 0 then 0.5 when 1 then 3.0 end + file_no * case seed_pos when 0 then 1.5 when 1 then 12.25 end)
+    filter (answered and not bad), 0)::double as cost,
+  count(*) filter (answered and seed_pos = 2) as unpriced_calls, count(*) filter (answered and bad) as failed
+from calls group by 1""",
     "run_sinks": f"""
 with t as (select {_SITE} as run_key, replace({_TEXT}, chr(10), ' ') as value from pages)
 select kind, count(*) as rows, count(distinct run_key) as runs, cast(sum(length(value)) as bigint) as chars
 from t cross join (values ('raw'), ('json'), ('csv'), ('parquet')) k(kind) group by 1""",
 }
+ORACLES["crawl_delta"] = ORACLES["crawl_frontier"]  # batches change nothing

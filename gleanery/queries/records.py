@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import fixed
 from gleanery.functions.prices import clean_price
-from gleanery.operators import columns, listings, replies
+from gleanery.operators import columns, listings, overlap, paths, replies
 from gleanery.plans.merge_job import clean_job, combined_table, unify_job
 from gleanery.plans.replies_job import listing_documents as listing_documents_of
 from gleanery.plans.replies_job import write_replies
@@ -65,14 +65,14 @@ def q_listing_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_listing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One document per file: a file for each ship month, holding its records, then scanned whole."""
+    """One document per file: a file for each 5000 order keys, holding their records, then scanned whole."""
     folder = scratch_path(spark, "scan")
-    month = F.date_format("l_shipdate", "yyyy-MM")
+    run = F.floor(F.col("l_orderkey") / 5000).cast("string")
     cell = F.concat(F.lit('{"line": '), F.col("l_linenumber").cast("string"), F.lit("}"))
-    # A month is a bounded part of the sample table; what is tested is the scan.
-    docs = table(spark, sf_dir, "lineitem").groupBy(month.alias("month")).agg(F.collect_list(cell).alias("cells"))
+    # Of bounded size: a larger table has more files, not larger ones.
+    docs = table(spark, sf_dir, "lineitem").groupBy(run.alias("run")).agg(F.collect_list(cell).alias("cells"))
     text = F.concat(F.lit('{"listings": [\n'), F.array_join("cells", ",\n"), F.lit("\n]}"))
-    docs.select(text.alias("value"), F.concat(F.lit("sorted_data_"), "month", F.lit(".json")).alias("name")).write.partitionBy(
+    docs.select(text.alias("value"), F.concat(F.lit("sorted_data_"), "run", F.lit(".json")).alias("name")).write.partitionBy(
         "name"
     ).text(folder)
     found = listings.classify_documents(scan_listing_files(spark, f"{folder}/name=*", prefix="part-", suffix=".txt"))
@@ -104,6 +104,14 @@ def q_normalize_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.withColumn("tags", F.array_join(wide["tags"].cast("array<string>"), ","))
 
 
+def q_many_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with a key of their own order: two columns for all of them, the other keys in one value."""
+    text = _filled('{"line": <l_linenumber>, "name": "part <l_partkey>", "extra": {"o<l_orderkey>": <l_suppkey>, "none": null}}')
+    docs = table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("file"), F.parse_json(text).alias("record"))
+    wide = paths.normalize_many(docs, most=2)
+    return wide.select("file", "line", "name", F.to_json("rest").alias("rest"))
+
+
 def q_merge_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = combined_table(listing_documents(spark, sf_dir), _MAPPING)
     return wide.withColumn("tags", F.array_join(wide["tags"].cast("array<string>"), ","))
@@ -167,6 +175,13 @@ def q_column_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return columns.column_sample(events, ["event_id"], rows=3)
 
 
+def q_column_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of all line items that hold the same values; sketches large enough to be exact there."""
+    names = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax"]
+    found = overlap.column_overlap(table(spark, sf_dir, "lineitem"), names, entries=17)
+    return found.select("column_a", "column_b", "distinct_a", "distinct_b", "common", F.round("containment", 6).alias("containment"))
+
+
 def q_unify_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     event = F.col("event_type")
     sparse = table(spark, sf_dir, "events").select(
@@ -287,6 +302,7 @@ QUERIES = {
     "replies_merge": q_replies_merge,
     "unwrap_records": q_unwrap_records,
     "column_sample": q_column_sample,
+    "column_overlap": q_column_overlap,
     "unify_columns": q_unify_columns,
     "preview": q_preview,
     "empty_gate": q_empty_gate,
@@ -298,6 +314,7 @@ QUERIES = {
     "mapping_prompt": q_mapping_prompt,
     "fenced_json": q_fenced_json,
     "mapping_reply": q_mapping_reply,
+    "many_paths": q_many_paths,
     "merge_job": q_merge_job,
     "merge_chain": q_merge_chain,
 }
@@ -336,7 +353,18 @@ select 'event_type', cast(to_json(d) as varchar) from l"""
 ORACLES = {
     "listing_scan": f"select {_REASON} as reason, count(*) as documents from lineitem group by 1",
     "listing_files": """select count(*) as records, cast(sum(l_linenumber) as bigint) as lines
-from lineitem group by strftime(l_shipdate, '%Y-%m')""",
+from lineitem group by l_orderkey // 5000""",
+    "column_overlap": """
+with d as (
+  select distinct c, v from (unpivot (select cast(l_orderkey as varchar) as l_orderkey, cast(l_partkey as varchar) as l_partkey,
+    cast(l_suppkey as varchar) as l_suppkey, cast(l_linenumber as varchar) as l_linenumber, cast(l_quantity as varchar) as l_quantity,
+    cast(l_discount as varchar) as l_discount, cast(l_tax as varchar) as l_tax from lineitem) on columns(*) into name c value v) u),
+n as (select c, count(*) as n from d group by 1),
+p as (select a.c as column_a, b.c as column_b, count(*) as common from d a join d b on a.v = b.v and a.c < b.c group by 1, 2)
+select column_a, column_b, x.n as distinct_a, y.n as distinct_b, common, round(common / least(x.n, y.n), 6) as containment
+from p join n x on x.c = column_a join n y on y.c = column_b""",
+    "many_paths": """select l_orderkey || '-' || l_linenumber as file, cast(l_linenumber as bigint) as line, 'part ' || l_partkey as name,
+  '{"extra.o' || l_orderkey || '":' || l_suppkey || '}' as rest from lineitem""",
     "listing_reject": f"select {_FILE} as file, {_REASON} as reason from lineitem",
     "flatten_listings": f"select file, pos, cast(line as bigint) as line, name from ({_RECORDS})",
     "normalize_records": f"""select file, pos, cast(line as bigint) as line, price, w as "dims.w", h as "dims.q.h", tags, seen,

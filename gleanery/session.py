@@ -43,7 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
         if current:
             # Spark keeps each session's checkpoints in a child of the folder it was given.
             configured = current.rsplit("/", 1)[0]
-        elif sc.master.startswith("local"):
+        elif sc.master == "local" or sc.master.startswith("local["):
             configured = tempfile.mkdtemp(prefix="gleanery-")
         else:
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")

@@ -2,7 +2,9 @@ import random
 from collections import deque
 
 import pytest
+from pyspark.sql import functions as F
 
+from gleanery.operators.crawl_state import CrawlState
 from gleanery.operators.frontier import crawl_frontier, first_page, visit_numbers
 
 
@@ -67,3 +69,56 @@ def test_first_page_with_nulls(spark):
 def test_first_page(spark):
     df = spark.createDataFrame([(2, "b", "B"), (1, "c", "C"), (9, "a", "A"), (4, "a", "A4")], "page_id int, url string, html string")
     assert [tuple(r) for r in first_page(df, ["url", "page_id"]).select("page_id", "html").collect()] == [(4, "A4")]
+
+
+def depths(spark, seeds, edges):
+    full = crawl_frontier(*tables(spark, [(i, s) for i, s in enumerate(sorted(set(seeds)))], edges))
+    starts = dict(enumerate(sorted(set(seeds))))
+    return sorted((starts[r.seed_pos], r.url, r.depth) for r in full.collect())
+
+
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_batches_of_links_give_what_a_full_crawl_gives(spark, monkeypatch, tmp_path, small):
+    monkeypatch.setattr("gleanery.session.SMALL_ROWS", small)
+    rng = random.Random(5)
+    nodes = [f"u{i}" for i in range(60)]
+    state = CrawlState(spark, str(tmp_path / "state"), buckets=8)
+    edges, seeds = {}, []
+    for batch, starts in enumerate((["u1", "u2"], ["u1", "u9"], [])):
+        more = [(rng.choice(nodes), rng.choice(nodes)) for _ in range(50)]
+        if batch == 2:
+            more += more[:10] + [("u1", "u59"), (None, "u3"), ("u3", None)]  # known again, and a short way
+        seeds += starts
+        for a, b in more:
+            if a and b:
+                edges.setdefault(a, []).append(b)
+        state.add(
+            spark.createDataFrame([(s,) for s in starts], "url string"),
+            spark.createDataFrame(more, "src_url string, dst_url string"),
+        )
+        got = sorted(tuple(r) for r in state.depths().collect())
+        assert got == depths(spark, seeds, edges)
+    again = state.add(spark.createDataFrame([("u1",)], "url string"), spark.createDataFrame(more[:5], "src_url string, dst_url string"))
+    assert again == 0 and sorted(tuple(r) for r in state.depths().collect()) == got
+
+
+def test_a_round_reads_the_partitions_of_its_addresses(spark, tmp_path, monkeypatch):
+    state = CrawlState(spark, str(tmp_path / "state"), buckets=32)
+    tree = [(f"n{i}", f"n{j}") for i in range(400) for j in (2 * i + 1, 2 * i + 2)]
+    empty = spark.createDataFrame([], "url string")
+    state.add(spark.createDataFrame([("n0",)], "url string"), spark.createDataFrame(tree, "src_url string, dst_url string"))
+    read, near = [], CrawlState._near
+
+    def files(part):
+        return part.select(F.input_file_name()).distinct().count()
+
+    def spy(self, name, schema, rows, url):
+        part = near(self, name, schema, rows, url)
+        read.append((name, files(part)))
+        return part
+
+    monkeypatch.setattr(CrawlState, "_near", spy)
+    everything = {name: files(state._table(name, "bucket int")) for name in ("links", "depths")}
+    rounds = state.add(empty, spark.createDataFrame([("n800", "elsewhere")], "src_url string, dst_url string"))
+    assert rounds == 1
+    assert all(n <= everything[name] / 4 for name, n in read) and read

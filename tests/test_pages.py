@@ -70,6 +70,36 @@ def test_markdown_of_every_tag_kind(spark):
     assert page_markdown(df).first().markdown == "\n\n".join(text for _, text in expected)
 
 
+STRUCTURE = [
+    (
+        "<ol><li>one<ul><li>a<li>b<ol><li>deep</li></ol></li></ul></li><li>two</li></ol><p>end",
+        "1. one\n\n  * a\n\n  * b\n\n    1. deep\n\n2. two\n\nend",
+    ),
+    ('<ol start="5"><li>five</li><li><b>six</b></li></ol><ul><li>x</li></ul>', "5. five\n\n6. **six**\n\n* x"),
+    ("<ul><li>a<ul><li>b</li></ul></li></ul></ul><li>stray</li>", "* a\n\n  * b\n\n* stray"),
+    ("<ul><li>plain</li><li>list</li></ul>", "* plain\n\n* list"),
+    (
+        "<p>x  y</p><pre class='c'>\ndef f():\n    return <b>1</b> &lt; 2\n\n\tend  \n</pre><p>z</p>",
+        "x y\n\n    def f():\n        return **1** < 2\n    \n        end\n\nz",
+    ),
+    ("<PRE>word</PRE>after", "    word\n\nafter"),
+    (
+        "<table><tr><th>name</th><th>price</th></tr><tr><td>a</td><td>1</td></tr></table><table><tr><td>b</td></tr></table>",
+        "name| price\n---|---\n\na| 1\n\nb",
+    ),
+    ("<ol></ol><ol><li></li></ol></ol>", ""),
+]
+
+
+def test_nested_structure(spark):
+    df = spark.createDataFrame([(i, "u", h) for i, (h, _) in enumerate(STRUCTURE)], "page_id int, url string, html string")
+    texts = page_markdown(df, repair=False)
+    assert [r.markdown for r in texts.orderBy("page_id").collect()] == [m for _, m in STRUCTURE]
+    assert "Python" not in texts._jdf.queryExecution().executedPlan().toString()
+    kinds = [r.kind for r in page_blocks(df.where("page_id = 0")).orderBy("block_no").collect()]
+    assert kinds == ["item"] * 5 + ["text"]
+
+
 NAV = """<nav class="menu"><a href="/menu">m</a></nav>
 <!-- <nav class="woocommerce-pagination"><a href="/commented">c</a></nav> -->
 <nav id=p class='woocommerce-pagination  wide'><a class="x" href="?page=2">2</a><a name="no">n</a>

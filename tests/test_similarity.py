@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from conftest import plan_of, rows
+from pyspark.sql import functions as F
 from gleanery.operators import similarity
 from gleanery.operators.similarity import copies, cosine_pairs, string_ratio_pairs
 
@@ -48,25 +49,53 @@ def test_cosine_pairs_match_brute_force(spark, many_chunks, threshold, block_row
     assert len(members) == len(data) and sum(rep == 0 for _, rep in members) == 80
 
 
-def test_blocks_are_skipped_and_no_cross_join(spark, many_chunks):
-    data = clustered(2, copied=1)
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id bigint, embedding array<float>")
+def compared(monkeypatch, join):
+    """Rows that meet in a join's blocks and pairs compared there."""
     seen = {}
     original = similarity._meet
 
-    def spy(items, meetings, *rest):
-        seen["meetings"] = meetings.count()
-        seen["blocks"] = items.select("block").distinct().count()
-        return original(items, meetings, *rest)
+    def spy(rows, compare, schema):
+        counts = rows.groupBy("cell", "block").agg(F.count_if("held").alias("held"), F.count_if(~F.col("held")).alias("passing"))
+        seen.update(rows=rows.count(), pairs=sum(r.held * (r.held - 1) // 2 + r.held * r.passing for r in counts.collect()))
+        return original(rows, compare, schema)
+
+    monkeypatch.setattr(similarity, "_meet", spy)
+    result = join()
+    monkeypatch.setattr(similarity, "_meet", original)
+    return seen, result
+
 
-    similarity._meet = spy
-    try:
-        plan = plan_of(cosine_pairs(df, 0.95, block_rows=10))
-    finally:
-        similarity._meet = original
+def test_vectors_visit_only_cells_they_can_reach(spark, many_chunks, monkeypatch):
+    data = clustered(2, copied=1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id bigint, embedding array<float>")
+    seen, result = compared(monkeypatch, lambda: cosine_pairs(df, 0.95, block_rows=10))
+    plan = plan_of(result)
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    assert seen["blocks"] > 20
-    assert seen["meetings"] < seen["blocks"] * (seen["blocks"] + 1) / 2
+    assert seen["pairs"] < len(data) ** 2 / 5
+    assert {(r.id_a, r.id_b) for r in result.collect()} == brute_cosine(data, 0.95)
+
+
+def test_comparisons_grow_with_the_vectors_not_their_square(spark, monkeypatch):
+    """Ten times the clusters: about ten times the comparisons."""
+    counts = []
+    for clusters in (20, 200):
+        rng = np.random.default_rng(clusters)
+        centres = rng.normal(size=(clusters, 16))
+        data = (np.repeat(centres, 10, axis=0) + 0.02 * rng.normal(size=(clusters * 10, 16))).astype("float32")
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id bigint, embedding array<float>")
+        seen, result = compared(monkeypatch, lambda df=df: cosine_pairs(df, 0.99, block_rows=20))
+        counts.append(seen["pairs"])
+        assert result.count() == len(brute_cosine(data, 0.99)) > clusters * 50
+    assert counts[1] < 30 * counts[0]
+
+
+def test_near_copies_that_no_pivot_parts(spark, many_chunks):
+    """A cell that cannot be split is cut into blocks."""
+    rng = np.random.default_rng(3)
+    data = (np.ones((90, 4)) + 1e-4 * rng.normal(size=(90, 4))).astype("float32")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id bigint, embedding array<float>")
+    pairs = [(r.id_a, r.id_b) for r in cosine_pairs(df, 0.8, block_rows=8).collect()]
+    assert len(pairs) == len(set(pairs)) == 90 * 89
 
 
 def test_cosine_edge_inputs(spark):
@@ -118,3 +147,48 @@ def test_ratio_pairs_match_brute_force(spark, many_chunks, threshold):
                 expected[(i, j)] = ratio
     got = {(r.id_a, r.id_b): r.ratio for r in string_ratio_pairs(df, "id", "t", threshold, block_rows=16).collect()}
     assert got == expected
+
+
+@pytest.mark.parametrize("growth", [(1_000, 100_000), (10, 100_000), (10, 20)])
+@pytest.mark.parametrize("threshold", [-0.1, 0.0, 0.3, 0.7, 0.99, 1.0])
+def test_ratio_pairs_at_any_threshold(spark, monkeypatch, growth, threshold):
+    monkeypatch.setattr(similarity, "_GROWTH", growth)
+    rng = random.Random(8)
+    texts = sorted({"".join(rng.choices("abcdeé文", k=rng.randrange(0, 14))) for _ in range(45)} | {""})
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, t string")
+    want = {}
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            ratio = SequenceMatcher(None, a, b).ratio()
+            if i != j and ratio > threshold:
+                want[i, j] = ratio
+    found = string_ratio_pairs(df, "id", "t", threshold, block_rows=16).collect()
+    assert len(found) == len(want) and {(r.id_a, r.id_b): r.ratio for r in found} == want
+
+
+def test_compared_texts_grow_below_their_square(spark, monkeypatch):
+    """Ten times the texts: far fewer than a hundred times the pairs that meet."""
+    rng = random.Random(12)
+    names = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz_", k=rng.randrange(8, 14))) for _ in range(4000)]
+    counts = []
+    for n, growth in ((400, (1_000, 100_000)), (4000, (1_000, 100_000))):
+        monkeypatch.setattr(similarity, "_GROWTH", growth)
+        df = spark.createDataFrame(list(enumerate(names[:n])), "id bigint, t string")
+        seen, _ = compared(monkeypatch, lambda df=df: string_ratio_pairs(df, "id", "t", 0.85))
+        counts.append(seen["pairs"])
+    assert counts[1] < 60 * counts[0] and counts[1] < 4000**2 / 8
+
+
+def test_long_texts_and_frequent_characters_without_rank(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "RANKED", 5)
+    rng = random.Random(13)
+    base = "".join(rng.choices("abcdefgh ", k=400))
+    texts = [base, base[:390] + "zzzz", base[50:] + base[:50], "q" * 300, "q" * 290 + "r", base.upper()]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, t string")
+    want = {}
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            ratio = SequenceMatcher(None, a, b).ratio()
+            if i != j and ratio > 0.8:
+                want[i, j] = ratio
+    assert {(r.id_a, r.id_b): r.ratio for r in string_ratio_pairs(df, "id", "t", 0.8).collect()} == want
