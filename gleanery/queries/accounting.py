@@ -66,7 +66,7 @@ def q_budget_breach(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_budget_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event log as a call log, each day in its first forty minutes, so that every limit refuses some."""
-    micros = F.unix_micros("ts")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
     ts = F.timestamp_micros(micros - micros % _DAY + F.floor(micros % _DAY / 36))
     calls = table(spark, sf_dir, "events").select("event_id", ts.alias("ts"), F.col("value").cast("bigint").alias("tokens"))
     decided = admit_calls(calls, "event_id", requests_per_minute=5, tokens_per_minute=200, tokens_per_day=6000)
