@@ -7,7 +7,7 @@ other.
 
 Vectors fall into cells around pivots, cells of many vectors into cells again; a
 vector also visits the cells its angle can reach, so that every pair meets in
-one cell. Texts meet in an index of their rarest characters: two texts as
+one cell. A cell where that would spare too little stays whole. Texts meet in an index of their rarest characters: two texts as
 similar as asked share some of the first ones of each. What meets is compared in
 blocks of bounded size, one side held, the other passing by.
 """
@@ -30,6 +30,11 @@ from gleanery.session import sized, written
 
 PIVOTS = 16  # cells that a cell is split into
 LEVELS = 4  # times a cell is split: with PIVOTS, the bound on the pivots in memory
+BLOCK_ROWS = 4096  # vectors of a block at least
+BLOCKS = 24  # of a cell, while they fit BLOCK_BYTES: each vector passes by half of them
+BLOCK_BYTES = 16_000_000  # of a block's vectors, in double precision
+_MOVED = 256  # comparisons that cost as much as one row that is moved
+_PRODUCTS = 4_000_000  # cosines held at a time
 RANKED = 65_536  # most frequent characters (with their number in the text) that are known by rank
 _GROWTH = (1_000, 100_000)  # texts from which on one more common character is asked for
 _WAITING = 200_000  # rows of small groups compared at a time
@@ -53,8 +58,9 @@ def distinct_values(table: DataFrame, key: str, value: str) -> DataFrame:
 def _in_blocks(rows: DataFrame, block_rows: int) -> DataFrame:
     """Rows (``cell, home, rep, ...``) as ``cell, block, held, rep, ...``: where each is held, and where it passes by.
 
-    A cell's home rows are held in blocks; they pass by the later blocks of their
-    cell, visitors by all of them. Rows of one block meet in it.
+    A cell's home rows are held in blocks; they pass by half of the other blocks of
+    their cell, the next ones in a ring, visitors by all of them. Every two blocks
+    meet in one of them, and none has all rows pass by. Rows of one block meet in it.
     """
     counts = rows.where("home").groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > block_rows)
     counts = counts.withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int")).drop("n")
@@ -63,8 +69,11 @@ def _in_blocks(rows: DataFrame, block_rows: int) -> DataFrame:
     placed = rows.join(sized(written(counts, "cells")), "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.when(F.col("home"), F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).otherwise(F.lit(-1))
     placed = placed.withColumn("own", own)
-    later = F.sequence(F.greatest("own", F.lit(0)), F.col("blocks") - 1)
-    spread = placed.select("cell", "own", *rest, F.explode(later).alias("block"))
+    # Of an even number the block opposite is met by the lower half only.
+    half = F.floor((F.col("blocks") - F.when(2 * F.col("own") >= F.col("blocks"), 1).otherwise(0)) / 2)
+    last = F.when(F.col("home"), half).otherwise(F.col("blocks") - 1).cast("int")
+    next_ones = F.transform(F.sequence(F.lit(0), last), lambda k: F.pmod(F.greatest("own", F.lit(0)) + k, F.col("blocks")))
+    spread = placed.select("cell", "own", *rest, F.explode(next_ones).alias("block"))
     return spread.select("cell", "block", (F.col("own") == F.col("block")).alias("held"), *rest)
 
 
@@ -118,45 +127,90 @@ def _unit(rows: list) -> np.ndarray:
         return np.divide(rows, norm, out=np.zeros_like(rows), where=norm != 0)
 
 
-def _split(rows: DataFrame, pivots: dict[int, np.ndarray], limit: float) -> DataFrame:
-    """Rows in the cells around their cell's pivots: each at home with the nearest, visiting lower ones it can reach.
+def _reach(part: pd.DataFrame, anchors: np.ndarray, far: float) -> tuple[np.ndarray, np.ndarray]:
+    """Where each row is at home (row by place), and where it goes, that place included.
 
     What is at home around p lies, for every other pivot, on p's side of the plane
-    between the two. A vector further than ``limit`` beyond one of these planes
+    between the two. A vector further than ``far`` beyond one of these planes
     is near nothing there.
     """
+    apart = np.linalg.norm(anchors[:, None] - anchors[None], axis=2)
+    np.fill_diagonal(apart, np.inf)
+    near_to = _unit(list(part["vec"])) @ anchors.T
+    near = near_to.argmax(axis=1)
+    places = np.arange(len(anchors))
+    reach = np.stack([((near_to - near_to[:, i : i + 1]) / apart[i]).max(axis=1) <= far for i in places], axis=1)
+    home = part["home"].to_numpy()
+    # Of two cells the rows of the higher one visit the lower one.
+    reach &= ~home[:, None] | (places <= near[:, None])
+    return home[:, None] & (places == near[:, None]), reach
+
+
+def _far(limit: float) -> float:
+    return math.sin(limit) + 1e-6
+
+
+def _cost(homes: int, visitors: int, block_rows: int) -> float:
+    """Comparisons in a cell, and the rows moved for them counted as comparisons."""
+    blocks = -(-homes // block_rows)
+    return homes * (homes / 2 + visitors) + _MOVED * (homes * (blocks // 2 + 1) + visitors * blocks)
+
+
+def _worth_it(rows: DataFrame, pivots: dict[int, np.ndarray], limit: float, block_rows: int) -> dict[int, np.ndarray]:
+    """The cells whose split saves a quarter of their cost at least. Their rows are counted by place, not moved."""
+    shared = rows.sparkSession.sparkContext.broadcast(pivots)  # at most PIVOTS ** LEVELS vectors
+    far = _far(limit)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
+        for batch in batches:
+            out = []
+            for cell, part in batch.groupby("cell", sort=False):
+                at_home, reach = _reach(part, known[cell], far)
+                out.append((cell, -1, int(part["home"].sum()), int((~part["home"]).sum())))  # -1: as it is
+                counts = zip(at_home.sum(axis=0).tolist(), (reach & ~at_home).sum(axis=0).tolist(), strict=True)
+                out.extend((cell, place, homes, visitors) for place, (homes, visitors) in enumerate(counts))
+            yield pd.DataFrame(out, columns=["cell", "place", "homes", "visitors"])
+
+    found = rows.mapInPandas(work, "cell long, place int, homes long, visitors long")
+    found = found.groupBy("cell", "place").agg(F.sum("homes").alias("homes"), F.sum("visitors").alias("visitors"))
+    now, split = Counter(), Counter()
+    for r in found.collect():  # a row for each pivot and cell
+        (now if r["place"] < 0 else split)[r["cell"]] += _cost(r["homes"], r["visitors"], block_rows)
+    return {cell: anchors for cell, anchors in pivots.items() if 4 * split[cell] <= 3 * now[cell]}
+
+
+def _split(rows: DataFrame, pivots: dict[int, np.ndarray], limit: float) -> DataFrame:
+    """Rows in the cells around their cell's pivots: each at home with the nearest, visiting lower ones it can reach."""
     shared = rows.sparkSession.sparkContext.broadcast(pivots)  # at most PIVOTS ** LEVELS vectors
-    far = math.sin(limit) + 1e-6
+    far = _far(limit)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = shared.value
         for batch in batches:
             for cell, part in batch.groupby("cell", sort=False):
-                anchors = known[cell]
-                apart = np.linalg.norm(anchors[:, None] - anchors[None], axis=2)
-                np.fill_diagonal(apart, np.inf)
-                near_to = _unit(list(part["vec"])) @ anchors.T
-                near = near_to.argmax(axis=1)
-                places = np.arange(len(anchors))
-                reach = np.stack([((near_to - near_to[:, i : i + 1]) / apart[i]).max(axis=1) <= far for i in places], axis=1)
-                home = part["home"].to_numpy()
-                # Of two cells the rows of the higher one visit the lower one.
-                reach &= ~home[:, None] | (places <= near[:, None])
+                at_home, reach = _reach(part, known[cell], far)
                 row, place = np.nonzero(reach)
                 out = part.iloc[row].assign(cell=cell * PIVOTS + place + 1)
-                yield out.assign(home=home[row] & (place == near[row]))
+                yield out.assign(home=at_home[row, place])
 
     return rows.mapInPandas(work, rows.schema)
 
 
-def _cells(items: DataFrame, limit: float, cell_rows: int) -> DataFrame:
-    """``cell, home, rep, vec``: every two vectors within ``limit`` of each other meet in exactly one cell."""
+def _cells(items: DataFrame, limit: float, block_rows: int) -> DataFrame:
+    """``cell, home, rep, vec``: every two vectors within ``limit`` of each other meet in exactly one cell.
+
+    A cell of more than ``block_rows`` vectors is split where that pays: among vectors that reach
+    most pivots each would be copied to most cells, with nothing ruled out.
+    """
     open_rows = items.select(F.lit(0).cast("long").alias("cell"), F.lit(True).alias("home"), "rep", "vec")
     done = None
     for _ in range(LEVELS if 2 * limit < math.pi else 0):
         picks = [F.min_by("vec", F.xxhash64("rep", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)]
-        chosen = open_rows.where("home").groupBy("cell").agg(F.count("*").alias("n"), *picks).where(F.col("n") > cell_rows)
+        chosen = open_rows.where("home").groupBy("cell").agg(F.count("*").alias("n"), *picks).where(F.col("n") > block_rows)
         pivots = {r["cell"]: np.unique(_unit(list(r[2:])), axis=0) for r in chosen.collect()}  # at most PIVOTS ** LEVELS vectors
+        if pivots:
+            pivots = _worth_it(open_rows.where(F.col("cell").isin(list(pivots))), pivots, limit, block_rows)
         if not pivots:
             break
         large = F.col("cell").isin(list(pivots))  # at most PIVOTS ** LEVELS cells
@@ -166,19 +220,27 @@ def _cells(items: DataFrame, limit: float, cell_rows: int) -> DataFrame:
     return open_rows if done is None else done.unionByName(open_rows)
 
 
+def _block_rows(items: DataFrame) -> int:
+    """Vectors of a block: enough that a cell has no more than BLOCKS blocks, as far as BLOCK_BYTES allow."""
+    n, size = items.agg(F.count("*"), F.max(F.size("vec"))).first()
+    return max(BLOCK_ROWS, min(-(-n // BLOCKS), BLOCK_BYTES // (8 * max(size or 1, 1))))
+
+
 def cosine_pairs(
     vectors: DataFrame,
     threshold: float = fixed.SIMILARITY_THRESHOLD,
     key: str = "vec_id",
     vector: str = "embedding",
-    block_rows: int = 4096,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Ordered pairs of distinct vectors with cosine above ``threshold``: ``id_a, id_b, cosine``.
 
     Each pair is computed once, in double precision, and given in both orders.
-    Cells of more than ``block_rows`` vectors are split around pivots, and angles
-    to these rule out what cannot be near; which vectors serve as pivots changes
-    the work, never the result. Below a cosine of 0 nothing can be ruled out.
+    Cells of more than ``block_rows`` vectors (by default as ``_block_rows`` says) are
+    split around pivots, and angles to these rule out what cannot be near; where they
+    rule out little a cell stays whole and is compared block by block. Which vectors
+    serve as pivots changes the work, never the result. Below a cosine of 0 nothing
+    can be ruled out.
     Vectors are of one length; one that is not finite is similar to none.
     """
     id_type = vectors.schema[key].dataType.simpleString()
@@ -188,6 +250,7 @@ def cosine_pairs(
     finite = F.forall("vec", lambda x: ~F.isnan(x) & (F.abs(x) < F.lit(math.inf)))
     # A zero vector has cosine 0 with everything: pairs of it only below 0, where no cells are made.
     items = written(items.where(finite & (F.lit(threshold < 0) | (size > 0))), "vectors")
+    block_rows = block_rows or _block_rows(items)
     limit = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
     rows = _in_blocks(_cells(items, limit if threshold >= 0 else math.pi, block_rows), block_rows)
 
@@ -195,8 +258,9 @@ def cosine_pairs(
         a, b = _unit(list(held["vec"])), _unit(list(passing["vec"]))
         ids_a, ids_b = held["rep"].to_numpy(), passing["rep"].to_numpy()
         out = [pd.DataFrame({"id_a": ids_a[:0], "id_b": ids_b[:0], "cosine": np.zeros(0)})]
-        for start in range(0, len(a), 512):
-            product = a[start : start + 512] @ b.T
+        step = max(1, min(512, _PRODUCTS // max(len(b), 1)))
+        for start in range(0, len(a), step):
+            product = a[start : start + step] @ b.T
             i, j = np.nonzero(product > threshold)
             score = product[i, j]
             i = i + start

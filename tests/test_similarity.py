@@ -89,6 +89,33 @@ def test_comparisons_grow_with_the_vectors_not_their_square(spark, monkeypatch):
     assert counts[1] < 30 * counts[0]
 
 
+@pytest.mark.parametrize(("n", "blocks"), [(640, 32), (620, 31)])
+def test_vectors_that_reach_most_pivots_are_not_copied_to_them(spark, many_chunks, monkeypatch, n, blocks):
+    """Of scattered vectors each passes by half of the blocks, and none has all of them pass by."""
+    data = np.random.default_rng(5).normal(size=(n, 32)).astype("float32")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id bigint, embedding array<float>")
+    largest = []
+    met = similarity._meet
+
+    def spy(rows, compare, schema):
+        largest.append(max(r["count"] for r in rows.groupBy("cell", "block").count().collect()))
+        return met(rows, compare, schema)
+
+    monkeypatch.setattr(similarity, "_meet", spy)
+    seen, result = compared(monkeypatch, lambda: cosine_pairs(df, 0.4, block_rows=n // blocks))
+    assert seen["rows"] <= n * (blocks // 2 + 1) and largest[0] < 0.75 * n
+    pairs = [(r.id_a, r.id_b) for r in result.collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == brute_cosine(data, 0.4)
+
+
+def test_blocks_by_the_number_and_size_of_vectors(spark):
+    items = spark.range(200_000).select(F.array(F.lit(1.0), F.lit(2.0)).alias("vec"))
+    assert similarity._block_rows(items) == -(-200_000 // similarity.BLOCKS)
+    assert similarity._block_rows(items.limit(10)) == similarity._block_rows(items.limit(0)) == similarity.BLOCK_ROWS
+    wide = spark.range(200_000).select(F.array_repeat(F.lit(1.0), 250).alias("vec"))
+    assert similarity._block_rows(wide) == similarity.BLOCK_BYTES // 2000
+
+
 def test_near_copies_that_no_pivot_parts(spark, many_chunks):
     """A cell that cannot be split is cut into blocks."""
     rng = np.random.default_rng(3)
