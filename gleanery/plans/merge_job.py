@@ -11,6 +11,7 @@ from gleanery.operators.columns import Mapping, clean_columns, column_sample, un
 from gleanery.operators.listings import (
     FlatColumn,
     classify_documents,
+    discover_columns,
     flatten_listings,
     normalize_records,
     rejected_documents,
@@ -38,6 +39,16 @@ def combined_table(
     return unify_columns(cleaned_table(classify_documents(documents), key, columns), mapping)
 
 
+def _parsed(spark: SparkSession, folder: str, wholetext: bool) -> tuple[DataFrame, list[FlatColumn]]:
+    """The documents of a folder, parsed, classified and written without their text, and the columns of their records.
+
+    These are looked for in the written table, so that the records need no table of their own.
+    """
+    found = classify_documents(scan_listing_files(spark, folder, wholetext=wholetext)).drop("text")
+    classified = written(found, "classified")
+    return classified, discover_columns(flatten_listings(classified))
+
+
 class Cleaned(NamedTuple):
     path: str | None  # of the cleaned table; None when there are no rows
     rejects: DataFrame
@@ -49,9 +60,9 @@ def clean_job(spark: SparkSession, folder: str, output: str, wholetext: bool = T
 
     Documents are parsed once: records and rejects come from one written table.
     """
-    classified = written(classify_documents(scan_listing_files(spark, folder, wholetext=wholetext)), "classified")
+    classified, columns = _parsed(spark, folder, wholetext)
     rejects = rejected_documents(classified)
-    path = write_if_rows(cleaned_table(classified), output, "parquet")
+    path = write_if_rows(cleaned_table(classified, columns=columns), output, "parquet")
     if path is None:
         return Cleaned(None, rejects, spark.createDataFrame([], "system_prompt string, user_prompt string"))
     table = spark.read.parquet(path)
@@ -63,8 +74,9 @@ def unify_job(spark: SparkSession, cleaned: str, replies: DataFrame, output: str
 
     Without a usable mapping nothing is unified: the path of the cleaned table
     is returned as it is. Of several replies that with the lowest ``key`` counts.
+    Replies are worked out once: what they answer may have gone through the whole table.
     """
-    entries = mapping_entries(replies, key)
+    entries = written(mapping_entries(replies, key), "mapping")
     first = entries.agg({key: "min"}).first()[0]
     mapping = mapping_list(entries.where(entries[key] == first)) if first is not None else []
     if not mapping:
@@ -80,6 +92,6 @@ def merge_job(
     Returns the path written (None when nothing was) and the table of rejected
     documents.
     """
-    classified = written(classify_documents(scan_listing_files(spark, folder, wholetext=wholetext)), "classified")
-    table = unify_columns(cleaned_table(classified), mapping)
+    classified, columns = _parsed(spark, folder, wholetext)
+    table = unify_columns(cleaned_table(classified, columns=columns), mapping)
     return write_if_rows(table, output, "parquet"), rejected_documents(classified)
