@@ -13,36 +13,35 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 
-from gleanery.llm.common import frugal, pieces_of, words_of
-from gleanery.llm.windows import Bucket, Scheme, Slice, covered, distinct_runs, removals, with_spans
+from gleanery.llm.common import frugal, mixed, pieces_of, words_of
+from gleanery.llm.windows import Bucket, Scheme, Slice, covered, distinct_runs, removals, span_hashes, with_spans
 
 WORDS = 20  # words of a window
 GRAM = 5  # words of a gram
 _SLICE = 3 << 20
-_HASHES = 300_000  # word hashes a worker keeps
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def read_words(bodies: list[bytes], hashes: _WordHashes = _WordHashes()) -> Slice:  # noqa: B008  one table per worker
-    split = [words_of(b) for b in bodies]
-    words = [w for ws in split for w in ws]
-    if len(hashes) > _HASHES:
-        hashes.clear()
-    joined = b" ".join(words)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+_BLANK = 0x20
+_SPACE = np.zeros(256, bool)
+_SPACE[[*range(0x09, 0x0E), _BLANK]] = True
+_SALTED = mixed(np.arange(256, dtype=np.uint64) + np.uint64(1))
+
+
+def read_words(bodies: list[bytes]) -> Slice:
+    data = np.frombuffer(b" ".join([*bodies, b""]), np.uint8)
+    space = _SPACE[data]
+    kept = ~space
+    kept[1:] |= ~space[:-1]  # one white space after each word stays
+    ends = np.flatnonzero(space[1:] & ~space[:-1]) + 1
+    limits = np.cumsum(np.fromiter(map(len, bodies), np.int64, len(bodies)) + 1)
+    data, space = data[kept], space[kept]
+    data[space] = _BLANK
+    at = np.append(0, np.flatnonzero(space) + 1)
     return Slice(
-        np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)),
-        np.array([len(ws) for ws in split], np.int64),
-        np.frombuffer(joined, np.uint8),
-        np.append(0, np.cumsum(sizes)),
+        span_hashes(_SALTED[data], at[:-1], np.diff(at) - 1),
+        np.diff(np.searchsorted(ends, limits), prepend=0),
+        data,
+        at,
         1,
     )
 

@@ -32,6 +32,7 @@ HOT_BYTES = 1 << 20  # packed bytes of one minimiser beyond which its windows tr
 MOST_HOT = 2_000_000  # minimisers that are looked up as hot, at most: 16 MB
 
 
+_CELL_BITS = 20  # of a minimiser, that tell which stand alone in a bucket
 _FLUSH = 16 << 20  # packed bytes a task gathers before it compresses them by bucket
 
 
@@ -215,9 +216,10 @@ def _pack(parts: list[tuple[dict[str, np.ndarray], bytes]]) -> bytes:
     fields = {name: np.concatenate([f[name] for f, _ in parts]) for name in _NAMES}
     n = len(fields["d"])
     fields["d"] = np.diff(fields["d"], prepend=0)
+    fields["size"] = fields["size"] - fields["windows"]  # where a token is a byte, nearly all alike
     raw = b"".join(_planes(fields[name]) for name in _NAMES)
     data = b"".join(x for _, x in parts)
-    return zstandard.ZstdCompressor(level=6).compress(n.to_bytes(4, "little") + raw + data)
+    return zstandard.ZstdCompressor(level=4).compress(n.to_bytes(4, "little") + raw + data)
 
 
 def _unpack(payload: bytes) -> tuple[dict[str, np.ndarray], bytes]:
@@ -228,9 +230,16 @@ def _unpack(payload: bytes) -> tuple[dict[str, np.ndarray], bytes]:
         fields[name] = _unplanes(raw[at : at + width], kind, n)
         at += width
     fields["d"] = np.cumsum(fields["d"])
+    fields["size"] = fields["size"] + fields["windows"]
     return fields, bytes(raw[at:])
 
 
+def _in_company(low: np.ndarray, counted: np.ndarray) -> np.ndarray:
+    """Which minimisers stand on several of the counted rows; by their low bits, so on too many rather than too few."""
+    cell = low & np.uint32((1 << _CELL_BITS) - 1)
+    return (np.bincount(cell[counted], minlength=1 << _CELL_BITS) > 1)[cell]
+
+
 @dataclass
 class Bucket:
     """All runs whose minimisers fall into one bucket, ordered by document and start."""
@@ -247,16 +256,20 @@ class Bucket:
 
     @classmethod
     def parts(cls, payloads: list[bytes]) -> Iterator[Bucket]:
-        """The bucket in parts of bounded size, no minimiser in two of them."""
+        """The bucket in parts of bounded size, no minimiser in two of them.
+
+        A run whose minimiser no other run has equals none, and is left out.
+        """
         unpacked = [_unpack(p) for p in payloads]
         fields = {name: np.concatenate([f[name] for f, _ in unpacked]) for name in _NAMES}
         raw = b"".join(x for _, x in unpacked)
         del unpacked, payloads
         ends = np.cumsum(fields["size"], dtype=np.int64)
-        count = max(1, math.ceil(len(raw) / PART_BYTES))
-        part = fields["low"] % np.uint32(count)
+        use = np.flatnonzero((fields["size"] == 0) | (fields["again"] > 0) | _in_company(fields["low"], fields["size"] > 0))
+        count = max(1, math.ceil(fields["size"][use].sum(dtype=np.int64) / PART_BYTES))
+        part = fields["low"][use] % np.uint32(count)
         for i in range(count):
-            rows = np.flatnonzero(part == i)
+            rows = use[part == i]
             rows = rows[np.lexsort((fields["start"][rows], fields["tie"][rows], fields["d"][rows]))]
             size = fields["size"][rows].astype(np.int64)
             strings = [raw[e - n : e] for e, n in zip(ends[rows].tolist(), size.tolist(), strict=True)]

@@ -91,6 +91,37 @@ def test_settled_runs_leave_their_bucket(spark, many_chunks):
     assert len(sizes) > 2 and max(sizes) < 2 * np.mean(sizes)
 
 
+def test_runs_without_company_are_left_out():
+    """A run whose minimiser no other has equals none: only the others are cut out of a bucket and compared."""
+    import numpy as np
+
+    from gleanery.llm.windows import _FIELDS, Bucket, _pack
+
+    fields = {
+        "d": [1, 1, 2, 3, 4, 5], "tie": [0] * 6, "start": [0, 7, 0, 0, 0, 0], "windows": [1, 2, 1, 1, 1, 3],
+        "low": [10, 11, 10, 12, 13, 11], "size": [3, 4, 3, 2, 2, 0], "again": [0, 0, 0, 1, 0, 0],
+    }
+    fields = {name: np.array(fields[name], kind) for name, kind in _FIELDS}
+    (held,) = Bucket.parts([_pack([(fields, b"abcdefgabcxyzz")])])
+    assert held.d.tolist() == [1, 2, 3, 5] and held.windows.tolist() == [1, 1, 1, 3]  # settled rows pass through
+    assert [held.string(i) for i in range(4)] == [b"abc", b"abc", b"xy", b""]
+
+
+def test_words_are_read_as_they_are_split():
+    """Equal words have equal hashes whatever surrounds them; one space parts them."""
+    from gleanery.llm.substring import read_words
+
+    bodies = [b"  a bb\t\x0ba \x85x", b"", b" \x0c ", b"bb", "\u2003 é\xa0é  \r\n".encode(), b"\x1c \x00 a"]
+    got = read_words(bodies)
+    words = [w for b in bodies for w in b.split()]
+    assert got.counts.tolist() == [len(b.split()) for b in bodies] and len(got.at) == len(words) + 1
+    assert [got.data[a : b - got.gap].tobytes() for a, b in zip(got.at[:-1], got.at[1:], strict=True)] == words
+    assert got.data.tobytes() == b"".join(w + b" " for w in words)
+    hashes = got.tokens.tolist()
+    assert len(set(hashes)) == len(set(words)) == len(set(zip(hashes, words, strict=True)))
+    assert read_words([]).counts.tolist() == [] and read_words([b""]).counts.tolist() == [0]
+
+
 def test_texts_longer_than_a_slice(spark, monkeypatch):
     monkeypatch.setattr("gleanery.llm.substring._SLICE", 300)
     rng = random.Random(2)
