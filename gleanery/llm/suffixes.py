@@ -30,6 +30,7 @@ from gleanery.llm.windows import (
     gram_hashes,
     removals,
     sliding_min,
+    span_hashes,
     with_spans,
 )
 
@@ -147,42 +148,39 @@ def _fragments(data: np.ndarray, sizes: np.ndarray, k: int, anchor: int) -> tupl
 
 
 def first_documents(
-    strings: list[tuple[bytes, int, bytes]], owners: list[int], windows: list[int], k: int
-) -> list[np.ndarray]:
-    """For each window of each string the smallest owner of an equal window, by one suffix array.
+    strings: list[tuple[bytes, int, bytes]], owners: list[int], windows: np.ndarray, k: int
+) -> np.ndarray:
+    """For each window of each string, one after the other, the smallest owner of an equal window, by one suffix array.
 
     A string is (bytes before, number of the gram, bytes after), the gram being one
     symbol; ``k`` symbols make a window.
     """
     n = len(strings)
-    parts, starts, at = [], [], 0
-    for i, (before, gram, after) in enumerate(strings):
-        # Terminators fall, so that none is part of what precedes it.
-        part = np.empty(len(before) + len(after) + 2, np.int64)
-        part[: len(before)] = np.frombuffer(before, np.uint8)
-        part[len(before)] = 256 + gram
-        part[len(before) + 1 : -1] = np.frombuffer(after, np.uint8)
-        part[:-1] += n
-        part[-1] = n - 1 - i
-        parts.append(part)
-        starts.append(at)
-        at += len(part)
-    text = np.concatenate(parts)
-    counts, begins = np.array(windows), np.array(starts)
+    raw = b"".join([part for before, _, after in strings for part in (before, b"\0", after, b"\0")])
+    text = np.frombuffer(raw, np.uint8) + np.int64(n)
+    grams = np.array([gram for _, gram, _ in strings])
+    before = np.array([len(x) for x, _, _ in strings])
+    sizes = before + np.array([len(x) for _, _, x in strings]) + 2
+    begins = np.cumsum(sizes) - sizes
+    text[begins + before] = n + 256 + grams
+    text[begins + sizes - 1] = np.arange(n)[::-1]  # terminators fall, so that none is part of what precedes it
     holds = np.full(len(text), -1, np.int64)
-    where = ranges(begins, counts)
-    holds[where] = np.repeat(np.arange(n), counts)
+    where = ranges(begins, windows)
+    holds[where] = np.repeat(np.arange(n), windows)
     order = np.array(suffix_array(text))
     order = order[holds[order] >= 0]
     equal = np.ones(len(order) - 1, bool)
+    alike = np.arange(len(order) - 1)  # neighbours with the same symbols so far
     for j in range(k):
-        equal &= text[order[1:] + j] == text[order[:-1] + j]
+        same = text[order[alike + 1] + j] == text[order[alike] + j]
+        equal[alike[~same]] = False
+        alike = alike[same]
     run = np.append(0, np.cumsum(~equal))
     least = np.full(run[-1] + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, run, np.array(owners)[holds[order]])
     result = np.empty(len(text), np.int64)
     result[order] = least[run]
-    return [result[b : b + c] for b, c in zip(starts, windows, strict=True)]
+    return result[where]
 
 
 def _spread(values: np.ndarray, owners: np.ndarray) -> np.ndarray:
@@ -201,27 +199,24 @@ def shared_windows(held: Bucket, k: int, anchor: int) -> tuple[np.ndarray, np.nd
     whole = rows[held.d[rows] > held.d[first]]
     kept = rows[rows == first]
     kept = kept[_spread(held.low[kept], held.d[kept])]
-    twins = defaultdict(list)  # the same string elsewhere in the same document shares its verdict
-    again = (rows != first) & (held.d[rows] == held.d[first])
-    for row, of in zip(rows[again].tolist(), first[again].tolist(), strict=True):
-        twins[of].append(row)
-    found = [
-        (row, offset, count)
-        for of, offset, count in _settled(held, kept, k, anchor)
-        for row in [of, *twins.get(of, ())]
-    ]
-    part = np.array(found, np.int64).reshape(-1, 3)
+    found, offsets, counts = _settled(held, kept, k, anchor)
+    # The same string elsewhere in the same document shares its verdict.
+    twins = np.flatnonzero((rows != first) & (held.d[rows] == held.d[first]))
+    twins = twins[np.argsort(first[twins], kind="stable")]
+    begins, ends = (np.searchsorted(first[twins], found, side) for side in ("left", "right"))
+    many = ends - begins
     return (
-        np.concatenate([whole, part[:, 0]]),
-        np.concatenate([np.zeros(len(whole), np.int64), part[:, 1]]),
-        np.concatenate([held.windows[whole], part[:, 2]]),
+        np.concatenate([whole, found, rows[twins[ranges(begins, many)]]]),
+        np.concatenate([np.zeros(len(whole), np.int64), offsets, np.repeat(offsets, many)]),
+        np.concatenate([held.windows[whole], counts, np.repeat(counts, many)]),
     )
 
 
-def _settled(held: Bucket, kept: np.ndarray, k: int, anchor: int) -> Iterator[tuple[int, int, int]]:
-    """Row, offset and number of windows that stand in a smaller document, for different strings."""
+def _settled(held: Bucket, kept: np.ndarray, k: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, offsets and numbers of windows that stand in a smaller document, for different strings."""
+    nothing = (np.empty(0, np.int64),) * 3
     if not len(kept):
-        return
+        return nothing
     sizes = held.size[kept]
     data = held.data[ranges(held.at[kept], sizes)]
     base = np.cumsum(sizes) - sizes
@@ -229,6 +224,14 @@ def _settled(held: Bucket, kept: np.ndarray, k: int, anchor: int) -> Iterator[tu
     owner = held.d[kept[string]]
     shared = _spread(grams, owner)
     string, start, count, place, owner = (x[shared] for x in (string, start, count, place, owner))
+    if not len(start):
+        return nothing
+    # Unequal hashes tell unequal windows: strings without one that another document may hold are left out.
+    hashes = span_hashes(_SALTED[data], ranges(start, count), np.full(count.sum(), k))
+    shared = np.logical_or.reduceat(_spread(hashes, np.repeat(owner, count)), np.cumsum(count) - count)
+    if not shared.any():
+        return nothing
+    string, start, count, place, owner = (x[shared] for x in (string, start, count, place, owner))
     raw = data.tobytes()
     numbers: dict[bytes, int] = {}
     texts: dict[tuple[bytes, int, bytes], int] = {}
@@ -247,21 +250,22 @@ def _settled(held: Bucket, kept: np.ndarray, k: int, anchor: int) -> Iterator[tu
         members.append(i)
     strings = list(texts)
     held_by = np.bincount([gram for _, gram, _ in strings], minlength=len(numbers))
-    earliest = [np.full(c, d) for c, d in zip(windows, least, strict=True)]
+    earliest = np.repeat(least, windows)
+    ends = np.cumsum(windows)
     several = [i for i, (_, gram, _) in enumerate(strings) if held_by[gram] > 1]
     if several:
-        sorted_out = first_documents(
-            [strings[i] for i in several], [least[i] for i in several], [windows[i] for i in several], k - anchor + 1
+        many = np.array(windows)[several]
+        earliest[ranges(ends[several] - many, many)] = first_documents(
+            [strings[i] for i in several], [least[i] for i in several], many, k - anchor + 1
         )
-        for i, values in zip(several, sorted_out, strict=True):
-            earliest[i] = values
-    rows, offsets = kept[string].tolist(), (start - base[string]).tolist()
-    for i, row, offset, d in zip(members, rows, offsets, owner.tolist(), strict=True):
-        gone = np.flatnonzero(earliest[i] < d)
-        if len(gone):
-            edges = np.flatnonzero(np.diff(gone) > 1)
-            for a, b in zip(np.append(0, edges + 1), np.append(edges, len(gone) - 1), strict=True):
-                yield row, offset + int(gone[a]), int(gone[b] - gone[a] + 1)
+    gone = earliest[ranges(ends[members] - count, count)] < np.repeat(owner, count)
+    edge = np.zeros(len(gone) + 1, bool)  # where another string begins
+    edge[np.append(0, np.cumsum(count))] = True
+    begins = np.flatnonzero(gone & (edge[:-1] | ~np.append(False, gone[:-1])))
+    after = np.flatnonzero(gone & (edge[1:] | ~np.append(gone[1:], False))) + 1
+    of = np.repeat(np.arange(len(count)), count)[begins]
+    offset = (start - base[string] - np.cumsum(count) + count)[of] + begins
+    return kept[string[of]], offset, after - begins
 
 
 def remove_shared_bytes(docs: DataFrame, k: int = BYTES, m: int = GRAM, anchor: int = ANCHOR) -> DataFrame:

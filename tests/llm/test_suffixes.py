@@ -90,6 +90,59 @@ def test_longest_common_grams_win_whatever_the_hash(monkeypatch):
     assert ((place >= start) & (place + 32 <= start + 50 + windows - 1)).all() and windows.sum() == 60_000 - 49
 
 
+def bucket_of(rows):
+    """One bucket, all of whose strings have the same minimiser: (doc, start, string), in this order."""
+    import numpy as np
+
+    from gleanery.llm.windows import Bucket
+
+    d, start, strings = zip(*rows, strict=True)
+    size, none = np.array([len(x) for x in strings]), np.zeros(len(rows), np.int64)
+    return Bucket(
+        np.array(d), none, np.array(start), size - 49, none, none, np.cumsum(size) - size, size,
+        np.frombuffer(b"".join(strings), np.uint8),
+    )
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**9))
+def test_windows_of_a_bucket_equal_brute_force(seed):
+    from gleanery.llm.suffixes import shared_windows
+
+    rng = random.Random(seed)
+    passages = [bytes(rng.choices(b"ab" if i else b"a", k=rng.randrange(50, 90))) for i in range(4)]
+    cut = lambda p: p[rng.randrange(len(p) - 49) :]
+    edge = lambda: bytes(rng.choices(b"ab", k=rng.randrange(3)))
+    rows = [
+        (d, 1000 * i, edge() + cut(rng.choice(passages)) + edge())
+        for i, d in enumerate(sorted(rng.choices(range(6), k=rng.randrange(1, 30))))
+    ]
+    least = {}
+    for d, _, x in rows:
+        for s in range(len(x) - 49):
+            least[x[s : s + 50]] = min(least.get(x[s : s + 50], d), d)
+    want = {(i, s) for i, (d, _, x) in enumerate(rows) for s in range(len(x) - 49) if least[x[s : s + 50]] < d}
+    found = (x.tolist() for x in shared_windows(bucket_of(rows), 50, 32))
+    got = [(row, offset + j) for row, offset, count in zip(*found, strict=True) for j in range(count)]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_strings_without_an_equal_window_are_not_sorted(monkeypatch):
+    """Sharing a gram of 32 bytes is not enough: 50 have to be equal for a string to come into a suffix array."""
+    from gleanery.llm import suffixes
+
+    sorted_out = []
+    whole = suffixes.suffix_array
+    monkeypatch.setattr(suffixes, "suffix_array", lambda text: sorted_out.append(len(text)) or whole(text))
+    gram = bytes(range(97, 123)) + b"0123456789ABCD"  # 40 bytes in common
+    rows = [(1, 0, b"x" * 15 + gram + b"x" * 15), (2, 0, b"y" * 15 + gram + b"y" * 15)]
+    assert not len(suffixes.shared_windows(bucket_of(rows), 50, 32)[0]) and not sorted_out
+    rows.append((3, 0, b"z" * 5 + rows[0][2][5:60] + b"z" * 5))
+    found, offset, count = suffixes.shared_windows(bucket_of(rows), 50, 32)
+    assert set(found.tolist()) == {2} and count.sum() == 6 and offset.min() == 5
+    assert sorted_out
+
+
 def test_texts_longer_than_a_slice(spark, monkeypatch):
     monkeypatch.setattr("gleanery.llm.suffixes._SLICE", 500)
     rng = random.Random(6)
