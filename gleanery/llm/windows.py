@@ -33,7 +33,7 @@ MOST_HOT = 2_000_000  # minimisers that are looked up as hot, at most: 16 MB
 
 
 _CELL_BITS = 20  # of a minimiser, that tell which stand alone in a bucket
-_FLUSH = 16 << 20  # packed bytes a task gathers before it compresses them by bucket
+_FLUSH = 32 << 20  # packed bytes a task gathers before it compresses them by bucket
 
 
 @dataclass(frozen=True)
