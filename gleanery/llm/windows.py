@@ -337,8 +337,9 @@ def hot_minimisers(keyed: DataFrame, scheme: Scheme, packed_bytes: int) -> np.nd
     counted = written(counted, "hot")
     total = counted.where("low is null").agg(F.sum("n")).collect()[0][0] or 0  # one number
     # Sums may miss half of what a hot minimiser has: half the share is enough. At most 2 * share rows.
-    rows = counted.where("low is not null and n > 64").where(F.col("n") * (2 * share) >= total)
-    rows = rows.where(F.col("n") * F.lit(packed_bytes) >= F.lit(HOT_BYTES / 2) * total)
+    # The least number is worked out here: runs times bytes do not fit 64 bits from some gigabytes on.
+    least = max(65, -(-total // (2 * share)), -(-HOT_BYTES * total // (2 * max(1, packed_bytes))))
+    rows = counted.where(F.col("low").isNotNull() & (F.col("n") >= least))
     return np.sort(rows.select("low").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 

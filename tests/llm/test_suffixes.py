@@ -66,6 +66,25 @@ def test_equals_brute_force(spark, monkeypatch, hot):
     assert sorted(got, key=repr) == expected(rows, 50)
 
 
+def test_hot_minimisers_of_very_many_bytes(spark):
+    """Runs times bytes go beyond 64 bits: the same choice as by exact numbers."""
+    from collections import Counter
+
+    from gleanery.llm.suffixes import _SLICE, read_bytes
+    from gleanery.llm.windows import HOT_BYTES, Scheme, _keyed, hot_minimisers, runs_of
+
+    passage = " shared by all of the texts and so found very often in them "
+    bodies = [f"{i:07d}" * 9 + passage for i in range(300)]
+    scheme = Scheme(read_bytes, 50, 12, within=False, spread=3.45, slice_bytes=_SLICE)
+    times = Counter(runs_of(read_bytes([b.encode() for b in bodies]), 50, 12)[0].low.tolist())
+    total = sum(times.values())
+    packed = 1 << 55
+    assert total * packed > 1 << 63
+    docs = spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string").coalesce(1)
+    want = sorted(low for low, n in times.items() if n > 64 and 2 * n * packed >= HOT_BYTES * total)
+    assert want and hot_minimisers(_keyed(docs), scheme, packed).tolist() == want
+
+
 def test_places_beyond_the_reserved_bits(spark, monkeypatch):
     monkeypatch.setattr("gleanery.llm.suffixes._PLACES", 2)
     rows = sample(9)
