@@ -282,7 +282,8 @@ def remove_shared_bytes(docs: DataFrame, k: int = BYTES, m: int = GRAM, anchor:
     """
     if not 1 <= m <= anchor <= k:
         raise ValueError("grams are at most as long as anchors, anchors as windows")
-    scheme = Scheme(read_bytes, k, m, within=False, spread=(k + (k - m) / 2) / ((k - m + 2) / 2), slice_bytes=_SLICE)
+    spread = (k + (k - m) / 2) / ((k - m + 2) / 2)
+    scheme = Scheme(read_bytes, k, m, within=False, spread=spread, slice_bytes=_SLICE, fine=anchor)
     joined = with_spans(docs, removals(docs, scheme, partial(shared_windows, k=k, anchor=anchor)))
 
     @frugal

@@ -4,13 +4,13 @@ A window's minimiser is the smallest hash of the short grams in it. Consecutive
 windows that share one form a run and travel as one packed string to the bucket
 of that minimiser: equal windows have equal minimisers, so they always meet. A
 minimiser found so often that its runs would fill a bucket is split: its windows
-travel one by one, by the hash of the whole window.
+travel by the smallest of their longer grams, where the scheme has such, and by
+the hash of the whole window, one by one, where that is found as often.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -46,6 +46,7 @@ class Scheme:
     within: bool  # whether an earlier start in the same document counts, or only another document
     spread: float  # packed bytes for each byte of text, roughly
     slice_bytes: int
+    fine: int = 0  # tokens of the longer grams that split hot minimisers; 0: their windows travel alone at once
 
 
 @dataclass
@@ -167,30 +168,61 @@ def first_equal(data: np.ndarray, at: np.ndarray, size: np.ndarray, hashes: np.n
     return same
 
 
-def _alone(part: Slice, runs: Runs, k: int, hot: np.ndarray) -> Runs:
-    """Runs of hot minimisers cut into single windows, each known by its own hash."""
+def _parted(runs: Runs, hot: np.ndarray) -> tuple[Runs, Runs]:
+    """The runs whose minimisers are not hot, and those whose are."""
     is_hot = np.zeros(len(runs.low), bool)
     if len(hot):
         place = np.minimum(np.searchsorted(hot, runs.low), len(hot) - 1)
         is_hot = hot[place] == runs.low
-    if not is_hot.any():
-        return runs
-    many = runs.windows[is_hot]
-    start = ranges(runs.start[is_hot], many)
+    return tuple(Runs(runs.doc[x], runs.start[x], runs.windows[x], runs.low[x]) for x in (~is_hot, is_hot))
+
+
+def _together(some: Runs, others: Runs) -> Runs:
+    order = np.lexsort((np.concatenate([some.start, others.start]), np.concatenate([some.doc, others.doc])))
+    return Runs(*(np.concatenate([getattr(some, x), getattr(others, x)])[order] for x in ("doc", "start", "windows", "low")))
+
+
+def _alone(part: Slice, runs: Runs, k: int, hot: np.ndarray) -> Runs:
+    """Runs of hot minimisers cut into single windows, each known by its own hash."""
+    cool, runs = _parted(runs, hot)
+    if not len(runs.low):
+        return cool
+    start = ranges(runs.start, runs.windows)
     low = span_hashes(part.tokens, start, np.full(len(start), k))
-    doc = np.concatenate([runs.doc[~is_hot], np.repeat(runs.doc[is_hot], many)])
-    start = np.concatenate([runs.start[~is_hot], start])
-    order = np.lexsort((start, doc))
-    windows = np.concatenate([runs.windows[~is_hot], np.ones(many.sum(), np.int64)])
-    return Runs(doc[order], start[order], windows[order], np.concatenate([runs.low[~is_hot], low])[order])
+    return _together(cool, Runs(np.repeat(runs.doc, runs.windows), start, np.ones(len(start), np.int64), low))
+
+
+def _fine_runs(part: Slice, runs: Runs, k: int, fine: int) -> Runs:
+    """The windows of ``runs`` as runs that share the smallest of their longer grams."""
+    first, windows = _joined(runs)
+    length = windows + k - 1
+    base = np.cumsum(length) - length
+    tokens = part.tokens[ranges(runs.start[first], length)]
+    cut = runs_of(Slice(tokens, length, part.data, None, 0), k, fine)[0]
+    return Runs(runs.doc[first][cut.doc], (runs.start[first] - base)[cut.doc] + cut.start, cut.windows, cut.low)
+
+
+def _split(part: Slice, runs: Runs, k: int, fine: int, hot: np.ndarray, fine_hot: np.ndarray) -> Runs:
+    """Runs of hot minimisers cut into shorter ones. How a window is cut depends on its own tokens only."""
+    if not fine:
+        return _alone(part, runs, k, hot)
+    cool, runs = _parted(runs, hot)
+    if not len(runs.low):
+        return cool
+    return _together(cool, _alone(part, _fine_runs(part, runs, k, fine), k, fine_hot))
+
+
+def _joined(runs: Runs) -> tuple[np.ndarray, np.ndarray]:
+    """Runs joined where they follow each other: which are the first ones, and with how many windows."""
+    begins = np.ones(len(runs.doc), bool)
+    begins[1:] = (runs.doc[1:] != runs.doc[:-1]) | (runs.start[1:] != runs.start[:-1] + runs.windows[:-1])
+    first = np.flatnonzero(begins)
+    return first, np.add.reduceat(runs.windows, first) if len(first) else runs.windows
 
 
 def _settled_runs(runs: Runs, gone: np.ndarray) -> dict[str, np.ndarray]:
     """Runs that are gone, joined where they follow each other: which are the first ones, with how many windows."""
-    doc, start, windows = runs.doc[gone], runs.start[gone], runs.windows[gone]
-    begins = np.append(True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + windows[:-1]))[: len(doc)]
-    first = np.flatnonzero(begins)
-    many = np.add.reduceat(windows, first) if len(first) else windows
+    first, many = _joined(Runs(runs.doc[gone], runs.start[gone], runs.windows[gone], runs.low[gone]))
     nothing = np.zeros(len(gone), np.int64)
     return {"first": first, "many": many, "size": nothing, "again": nothing}
 
@@ -212,18 +244,20 @@ _FIELDS = (("d", np.int64), ("tie", np.int32), ("start", np.int32), ("windows",
 _NAMES = tuple(name for name, _ in _FIELDS)
 
 
-def _pack(parts: list[tuple[dict[str, np.ndarray], bytes]]) -> bytes:
+_LEVEL = 4
+
+
+def _pack(parts: list[tuple[dict[str, np.ndarray], bytes]], press: zstandard.ZstdCompressor | None = None) -> bytes:
     fields = {name: np.concatenate([f[name] for f, _ in parts]) for name in _NAMES}
     n = len(fields["d"])
     fields["d"] = np.diff(fields["d"], prepend=0)
     fields["size"] = fields["size"] - fields["windows"]  # where a token is a byte, nearly all alike
-    raw = b"".join(_planes(fields[name]) for name in _NAMES)
-    data = b"".join(x for _, x in parts)
-    return zstandard.ZstdCompressor(level=4).compress(n.to_bytes(4, "little") + raw + data)
+    raw = [n.to_bytes(4, "little"), *[_planes(fields[name]) for name in _NAMES], *[x for _, x in parts]]
+    return (press or zstandard.ZstdCompressor(level=_LEVEL)).compress(b"".join(raw))
 
 
-def _unpack(payload: bytes) -> tuple[dict[str, np.ndarray], bytes]:
-    raw = memoryview(zstandard.ZstdDecompressor().decompress(payload))
+def _unpack(payload: bytes, press: zstandard.ZstdDecompressor) -> tuple[dict[str, np.ndarray], bytes]:
+    raw = memoryview(press.decompress(payload))
     n, at, fields = int.from_bytes(raw[:4], "little"), 4, {}
     for name, kind in _FIELDS:
         width = n * np.dtype(kind).itemsize
@@ -260,7 +294,8 @@ class Bucket:
 
         A run whose minimiser no other run has equals none, and is left out.
         """
-        unpacked = [_unpack(p) for p in payloads]
+        press = zstandard.ZstdDecompressor()
+        unpacked = [_unpack(p, press) for p in payloads]
         fields = {name: np.concatenate([f[name] for f, _ in unpacked]) for name in _NAMES}
         raw = b"".join(x for _, x in unpacked)
         del unpacked, payloads
@@ -298,14 +333,23 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(d, tie, body)
 
 
-def hot_minimisers(keyed: DataFrame, scheme: Scheme, packed_bytes: int) -> np.ndarray:
-    """Minimisers whose runs fill HOT_BYTES, ascending; at most MOST_HOT.
+def hot_minimisers(
+    keyed: DataFrame, scheme: Scheme, packed_bytes: int, within: np.ndarray | None = None
+) -> tuple[np.ndarray, int]:
+    """Minimisers whose runs fill HOT_BYTES, ascending, at most MOST_HOT; and how many runs those were counted on.
 
+    ``within``: those of the longer grams, in windows of these minimisers.
     A task passes on those that fill half that share of its own runs, so it
     passes on a bounded number, and one that is hot overall is passed on by
     tasks holding at least half of it.
     """
     share = min(MOST_HOT, max(1, packed_bytes // HOT_BYTES))
+    k, m, fine = scheme.k, scheme.m, scheme.fine
+    known = None if within is None else keyed.sparkSession.sparkContext.broadcast(within)  # at most MOST_HOT numbers
+
+    def minimisers(part: Slice) -> np.ndarray:
+        runs = runs_of(part, k, m)[0]
+        return runs.low if known is None else _fine_runs(part, _parted(runs, known.value)[1], k, fine).low
 
     @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +368,7 @@ def hot_minimisers(keyed: DataFrame, scheme: Scheme, packed_bytes: int) -> np.nd
             seen, times = seen[keep], times[keep]
 
         for _, _, part in _slices(scheme, batches):
-            low = runs_of(part, scheme.k, scheme.m)[0].low
+            low = minimisers(part)
             total += len(low)
             waiting.append(low)
             if sum(map(len, waiting)) > 500_000:
@@ -340,7 +384,9 @@ def hot_minimisers(keyed: DataFrame, scheme: Scheme, packed_bytes: int) -> np.nd
     # The least number is worked out here: runs times bytes do not fit 64 bits from some gigabytes on.
     least = max(65, -(-total // (2 * share)), -(-HOT_BYTES * total // (2 * max(1, packed_bytes))))
     rows = counted.where(F.col("low").isNotNull() & (F.col("n") >= least))
-    return np.sort(rows.select("low").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
+    found = rows.toArrow()
+    hot = np.sort(found.column("low").to_numpy().astype(np.int64).view(np.uint64))
+    return hot, sum(found.column("n").to_pylist())
 
 
 def removals(
@@ -359,16 +405,22 @@ def removals(
     shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(4 * shuffled, packed // BUCKET_BYTES)
     keyed = _keyed(docs)
-    hot = spark.sparkContext.broadcast(hot_minimisers(keyed, scheme, packed))  # at most MOST_HOT numbers
-    k, m, within = scheme.k, scheme.m, scheme.within
+    k, m, within, fine = scheme.k, scheme.m, scheme.within, scheme.fine
+    hot, runs = hot_minimisers(keyed, scheme, packed)
+    fine_hot = hot[:0]
+    if fine and len(hot):
+        # Their windows as bytes of longer grams; half the runs may be missing from the number.
+        windows = 2 * runs * (k - m + 2) // 2
+        fine_hot, _ = hot_minimisers(keyed, scheme, windows * (3 * k - fine) // (k - fine + 2), hot)
+    split = spark.sparkContext.broadcast((hot, fine_hot))  # at most MOST_HOT numbers each
 
     @frugal
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[int, list] = defaultdict(list)
+        waiting: list[tuple[np.ndarray, dict[str, np.ndarray], bytes]] = []
         held = 0
         for d, tie, part in _slices(scheme, batches):
             runs, grams = runs_of(part, k, m)
-            runs = _alone(part, runs, k, hot.value)
+            runs = _split(part, runs, k, fine, *split.value)
             if not len(runs.doc):
                 continue
             length = runs.windows + k - 1
@@ -405,13 +457,9 @@ def removals(
             bucket = (mixed(meets) % _U(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             fields = {name: values[order].astype(kind) for (name, kind), values in zip(_FIELDS, map(fields.get, _NAMES), strict=True)}
-            edges = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(bucket))
             raw = part.data.tobytes()
             strings = [raw[x : x + n] for x, n in zip(at[order].tolist(), size[order].tolist(), strict=True)]
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                waiting[int(bucket[order[a]])].append(
-                    ({name: v[a:b] for name, v in fields.items()}, b"".join(strings[a:b]))
-                )
+            waiting.append((bucket[order], fields, b"".join(strings)))
             held += int(size.sum()) + 20 * len(size)
             if held > _FLUSH:
                 yield flush(waiting)
@@ -419,13 +467,23 @@ def removals(
         if waiting:
             yield flush(waiting)
 
-    def flush(waiting: dict[int, list]) -> pa.RecordBatch:
-        payloads = [_pack(parts) for parts in waiting.values()]
-        out = pa.RecordBatch.from_pydict(
-            {"bucket": pa.array(list(waiting), pa.int64()), "payload": pa.array(payloads, pa.binary())}
-        )
+    def flush(waiting: list[tuple[np.ndarray, dict[str, np.ndarray], bytes]]) -> pa.RecordBatch:
+        of = np.concatenate([bucket for bucket, _, _ in waiting])
+        order = np.argsort(of, kind="stable")
+        fields = {name: np.concatenate([f[name] for _, f, _ in waiting])[order] for name in _NAMES}
+        edges = np.append(np.flatnonzero(np.diff(of[order], prepend=-1)), len(of))
+        met = of[order[edges[:-1]]]
+        spans = []  # of each bucket in the bytes of each slice
+        for bucket, f, data in waiting:
+            ends = np.append(0, np.cumsum(f["size"], dtype=np.int64))
+            spans.append((data, *(ends[np.searchsorted(bucket, met, side)].tolist() for side in ("left", "right"))))
+        press = zstandard.ZstdCompressor(level=_LEVEL)
+        payloads = [
+            _pack([({name: v[a:b] for name, v in fields.items()}, b"".join([s[x[i] : y[i]] for s, x, y in spans]))], press)
+            for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+        ]
         waiting.clear()
-        return out
+        return pa.RecordBatch.from_pydict({"bucket": pa.array(met), "payload": pa.array(payloads, pa.binary())})
 
     @frugal
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,8 @@
 import hashlib
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -68,8 +70,6 @@ def test_equals_brute_force(spark, monkeypatch, hot):
 
 def test_hot_minimisers_of_very_many_bytes(spark):
     """Runs times bytes go beyond 64 bits: the same choice as by exact numbers."""
-    from collections import Counter
-
     from gleanery.llm.suffixes import _SLICE, read_bytes
     from gleanery.llm.windows import HOT_BYTES, Scheme, _keyed, hot_minimisers, runs_of
 
@@ -82,7 +82,45 @@ def test_hot_minimisers_of_very_many_bytes(spark):
     assert total * packed > 1 << 63
     docs = spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string").coalesce(1)
     want = sorted(low for low, n in times.items() if n > 64 and 2 * n * packed >= HOT_BYTES * total)
-    assert want and hot_minimisers(_keyed(docs), scheme, packed).tolist() == want
+    assert want and hot_minimisers(_keyed(docs), scheme, packed)[0].tolist() == want
+
+
+def test_hot_minimisers_are_split_by_longer_grams(spark, monkeypatch):
+    """Windows that share a common gram travel joined, not as 50 bytes each; those of one more common alone."""
+    from gleanery.llm import windows
+    from gleanery.llm.suffixes import _SLICE, read_bytes
+
+    rng = random.Random(8)
+    middle = "a common gram!"
+    bodies = ["".join(rng.choices("bcdefgh", k=150)) + middle + "".join(rng.choices("bcdefgh", k=150)) for _ in range(400)]
+    scheme = windows.Scheme(read_bytes, 50, 12, within=False, spread=3.45, slice_bytes=_SLICE, fine=32)
+    part = read_bytes([b.encode() for b in bodies])
+    runs = windows.runs_of(part, 50, 12)[0]
+    hot = np.array([low for low, n in Counter(runs.low.tolist()).items() if n > 64], np.uint64)
+    hot.sort()
+    assert len(hot)
+    split = windows._split(part, runs, 50, 32, hot, hot[:0])
+    where = lambda r: (windows.ranges(r.start, r.windows).tolist(), np.repeat(r.doc, r.windows).tolist())
+    assert where(split) == where(runs)  # every window once, in the same order
+    alone = windows._alone(part, runs, 50, hot)
+    assert where(alone) == where(runs)
+    size = lambda r: int((r.windows + 49).sum())
+    assert size(split) - size(runs) < (size(alone) - size(runs)) / 5
+    # Equal windows have one minimiser, whatever document and place they are found in.
+    data = part.data.tobytes()
+    held = {}
+    for start, many, low in zip(split.start.tolist(), split.windows.tolist(), split.low.tolist(), strict=True):
+        for i in range(start, start + many):
+            held.setdefault(data[i : i + 50], set()).add(low)
+    assert all(len(x) == 1 for x in held.values())
+    everywhere = np.unique(split.low)
+    single = windows._split(part, runs, 50, 32, hot, everywhere)
+    assert where(single) == where(runs) and size(single) == size(alone)
+    # Counted over a table, in windows of the hot minimisers only.
+    monkeypatch.setattr(windows, "HOT_BYTES", 1000)
+    docs = spark.createDataFrame(list(enumerate(bodies * 80)), "doc_id long, text string").coalesce(1)
+    fine_hot, _ = windows.hot_minimisers(windows._keyed(docs), scheme, 1 << 40, hot)
+    assert len(fine_hot) and set(fine_hot.tolist()) <= set(everywhere.tolist())
 
 
 def test_places_beyond_the_reserved_bits(spark, monkeypatch):
