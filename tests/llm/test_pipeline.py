@@ -87,6 +87,22 @@ def test_cuts_leave_whole_characters(spark):
     assert got == {1: "a" + shared, 2: "è", 3: "ab" + shared[:20]}
 
 
+def test_suffix_stage_of_very_many_bytes(spark, folder, written, monkeypatch):
+    """Runs times bytes go beyond 64 bits: the stage gives the same rows."""
+    from gleanery.llm import windows
+
+    shared = words(99, 40)
+    rows = [(i, f"{words(i, 60)} {shared}", "en", "h", 5) for i in range(40)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = sorted(tuple(r) for r in corpus_pipeline.suffix_dedup(spark, docs, folder).collect())
+    assert shared in want[0][1] and shared not in want[1][1]
+    whole = windows.hot_minimisers
+    monkeypatch.setattr(
+        windows, "hot_minimisers", lambda keyed, scheme, packed, *more: whole(keyed, scheme, packed << 40, *more)
+    )
+    assert sorted(tuple(r) for r in corpus_pipeline.suffix_dedup(spark, docs, folder).collect()) == want
+
+
 def test_extra_columns_with_clashing_names(spark, folder, written):
     extra = [c for c in ("row", "rest", "d", "tie", "kept", "_leaked", "fp", "n", "body", "lines", "salt", "windows")]
     row = (1, words(1, 60), "en", "h", 5, *["x"] * len(extra))
